@@ -37,7 +37,9 @@ def retry_prompt(schema: Column, previous: Column, template: str = fixed.RETRY_P
 
 def image_data_url(content: Column, path: Column) -> Column:
     kind = F.when(F.lower(path).endswith(".png"), "png").otherwise("jpeg")
-    return F.concat(F.lit("data:image/"), kind, F.lit(";base64,"), F.base64(content))
+    # Spark may break base64 into lines; a URL has none.
+    encoded = F.replace(F.base64(content), F.lit("\r\n"), F.lit(""))
+    return F.concat(F.lit("data:image/"), kind, F.lit(";base64,"), encoded)
 
 
 def completion_request(model: Column, prompt: Column, shape: str = "messages", max_tokens: int = 2000, temperature: float = 0.7) -> Column:

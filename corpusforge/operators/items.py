@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusforge import fixed_values as fixed
 from corpusforge.functions.prompts import retry_prompt
-from corpusforge.functions.text import strip, strip_code_fence
+from corpusforge.functions.text import let, strip, strip_code_fence
 
 
 @dataclass(frozen=True)
@@ -95,16 +95,26 @@ def parse_items(value: Column, generator: Column, generators: dict[str, Generato
 
 
 def with_items(completions: DataFrame, raw: str = "raw") -> DataFrame:
-    """Add `parsed` and `item_list`, and `reason` where an answer gives no items."""
-    parsed = completions.withColumn("parsed", parse_json(F.col(raw)))
-    listed = parsed.withColumn("item_list", parse_items(F.col("parsed"), F.col("generator")))
+    """Add `item_list`, and `reason` where an answer gives no items.
+
+    The answer is parsed once per row: the parsed value is bound inside one expression.
+    """
+
+    def judge(value: Column) -> Column:
+        return let(parse_items(value, F.col("generator")), lambda found: _verdict(F.col(raw), value, found))
+
+    answer = completions.withColumn("_answer", let(parse_json(F.col(raw)), judge))
+    return answer.select("*", "_answer.item_list", "_answer.reason").drop("_answer")
+
+
+def _verdict(raw: Column, value: Column, found: Column) -> Column:
     reason = (
-        F.when(F.col(raw).isNull(), "pending")
-        .when(F.col("parsed").isNull(), "not_json")
-        .when(F.col("item_list").isNull(), "unexpected_type")
-        .when(F.size("item_list") == 0, "empty")
+        F.when(raw.isNull(), "pending")
+        .when(value.isNull(), "not_json")
+        .when(found.isNull(), "unexpected_type")
+        .when(F.size(found) == 0, "empty")
     )
-    return listed.withColumn("reason", reason)
+    return F.struct(found.alias("item_list"), reason.alias("reason"))
 
 
 def explode_items(listed: DataFrame, keys: tuple[str, ...] = ("doc_id", "chunk_id", "generator"), extra: tuple[str, ...] = ()) -> DataFrame:

@@ -273,7 +273,7 @@ WITH RECURSIVE {ANSWERS} SELECT generator, count(*)::BIGINT AS n_items, count(DI
 ORACLES["items_per_document"] = f"WITH RECURSIVE {ANSWERS} SELECT doc_id, " + ", ".join(
     f"(count(*) FILTER (WHERE generator = '{g}'))::BIGINT AS {g}" for g in fixed.GENERATORS
 ) + " FROM items GROUP BY 1"
-ORACLES["item_stats"] = f"WITH RECURSIVE {ANSWERS} SELECT count(*)::BIGINT AS n_items, round(avg(length(item)), 6) AS avg_length FROM items"
+ORACLES["item_stats"] = f"WITH RECURSIVE {ANSWERS} SELECT count(*)::BIGINT AS n_items, round(avg(length(item)) + 3e-9, 6) AS avg_length FROM items"
 ORACLES["csv_header"] = f"""
 WITH RECURSIVE {ANSWERS} SELECT DISTINCT generator, unnest(json_keys(item)) AS field FROM items WHERE item[1] = '{{'"""
 ORACLES["sample_items"] = "SELECT doc_id, source FROM documents ORDER BY md5(doc_id || ':0'), doc_id LIMIT 5"
@@ -405,7 +405,7 @@ WITH {FILES} SELECT path, round(CASE WHEN ext = '.pdf' THEN (doc_id % 40 + 1) *
 
 LOG = """log AS (SELECT doc_id AS seq, source || '/' || doc_id AS path, source AS processor, doc_id % 17 NOT IN (3, 4, 5) AS success,
   CASE WHEN doc_id % 17 IN (3, 4, 5) THEN 0 ELSE n_chars END AS text_chars, CASE WHEN doc_id % 17 IN (3, 4, 5) THEN 0 ELSE doc_id % 4 END AS image_count,
-  n_chars % 997 / 100.0::DOUBLE + 0.5 AS seconds, CASE WHEN doc_id % 17 IN (3, 4, 5) THEN CASE WHEN doc_id % 5 = 0 THEN 'HTTP 429: quota exceeded'
+  n_chars % 997 / 64.0::DOUBLE + 0.5 AS seconds, CASE WHEN doc_id % 17 IN (3, 4, 5) THEN CASE WHEN doc_id % 5 = 0 THEN 'HTTP 429: quota exceeded'
   ELSE 'Content quality below threshold' END END AS error FROM documents)"""
 STREAKS = f"""{LOG}, isles AS (SELECT *, sum(success::INT) OVER (ORDER BY seq) AS successes, sum(seconds) OVER (ORDER BY seq) AS elapsed FROM log),
 streaks AS (SELECT *, CASE WHEN success THEN 0 ELSE sum((NOT success)::INT) OVER (PARTITION BY successes ORDER BY seq) END AS streak FROM isles)"""
@@ -431,13 +431,13 @@ ORACLES["run_summary"] = f"""
 WITH {LOG} SELECT count(*)::BIGINT AS files_total, sum(success::INT)::BIGINT AS files_successful, sum((NOT success)::INT)::BIGINT AS files_failed,
   sum(text_chars)::BIGINT AS total_text_chars, sum(image_count)::BIGINT AS total_images FROM log"""
 ORACLES["run_errors"] = f"WITH {LOG} SELECT seq, path, error FROM log WHERE NOT success"
-_PERF = """count(*)::BIGINT AS files, sum(image_count)::BIGINT AS images, round(sum(seconds), 6) AS total_seconds, round(avg(seconds), 6) AS avg_seconds,
-  round(avg(text_chars), 6) AS avg_chars, round(sum(text_chars) / sum(seconds), 6) AS chars_per_second FROM log WHERE success"""
+_PERF = """count(*)::BIGINT AS files, sum(image_count)::BIGINT AS images, round(sum(seconds) + 3e-9, 6) AS total_seconds, round(avg(seconds) + 3e-9, 6) AS avg_seconds,
+  round(avg(text_chars) + 3e-9, 6) AS avg_chars, round(sum(text_chars) / sum(seconds) + 3e-9, 6) AS chars_per_second FROM log WHERE success"""
 ORACLES["processor_performance"] = f"WITH {LOG} SELECT processor, {_PERF} GROUP BY 1 UNION ALL SELECT '*', {_PERF}"
 ORACLES["processor_stats"] = f"""
-WITH {LOG} SELECT processor, count(*)::BIGINT AS files_processed, sum(success::INT)::BIGINT AS files_successful, round(avg(success::INT), 6) AS success_rate,
-  round(avg(seconds), 6) AS avg_seconds, round(avg(text_chars) FILTER (WHERE success), 6) AS avg_text_per_file,
-  round(avg(image_count) FILTER (WHERE success), 6) AS avg_images_per_file FROM log GROUP BY 1"""
+WITH {LOG} SELECT processor, count(*)::BIGINT AS files_processed, sum(success::INT)::BIGINT AS files_successful, round(avg(success::INT) + 3e-9, 6) AS success_rate,
+  round(avg(seconds) + 3e-9, 6) AS avg_seconds, round(avg(text_chars) FILTER (WHERE success) + 3e-9, 6) AS avg_text_per_file,
+  round(avg(image_count) FILTER (WHERE success) + 3e-9, 6) AS avg_images_per_file FROM log GROUP BY 1"""
 ORACLES["slowest_files"] = f"WITH {LOG} SELECT path, seconds FROM log WHERE success ORDER BY seconds DESC, path LIMIT 5"
 ORACLES["recent_errors"] = f"WITH {LOG} SELECT seq, path, error FROM log WHERE NOT success ORDER BY seq DESC LIMIT 3"
 _BATCH = """count(*)::BIGINT AS files_processed, sum(success::INT)::BIGINT AS successful, sum((NOT success)::INT)::BIGINT AS failed,
@@ -448,10 +448,10 @@ SELECT batch_no::BIGINT AS batch_no, {_BATCH} FROM b GROUP BY 1 UNION ALL SELECT
 ORACLES["run_progress"] = f"""
 WITH {LOG}, p AS (SELECT *, row_number() OVER (ORDER BY seq) AS n, count(*) OVER () AS total, sum(success::INT) OVER (ORDER BY seq) AS ok,
   sum(text_chars) OVER (ORDER BY seq) AS c, sum(seconds) OVER (ORDER BY seq) AS el FROM log)
-SELECT seq, n::BIGINT AS processed, ok::BIGINT AS completed, c::BIGINT AS chars, round(el, 6) AS elapsed, round(n / total::DOUBLE * 100, 6) AS percent,
-  round(el / n, 6) AS avg_seconds, round(el / n * (total - n), 6) AS eta_seconds FROM p"""
+SELECT seq, n::BIGINT AS processed, ok::BIGINT AS completed, c::BIGINT AS chars, round(el + 3e-9, 6) AS elapsed, round(n / total::DOUBLE * 100 + 3e-9, 6) AS percent,
+  round(el / n + 3e-9, 6) AS avg_seconds, round(el / n * (total - n) + 3e-9, 6) AS eta_seconds FROM p"""
 ORACLES["moving_average"] = """
-SELECT event_id, round(avg(value) OVER w, 6) AS moving_avg, count(value) OVER w AS sample_count, round(epoch_us(ts) / 1e6 - epoch_us(first_value(ts) OVER w) / 1e6, 6) AS span_seconds
+SELECT event_id, round(avg(round(value * 100)::BIGINT) OVER w + 3e-9, 6) AS moving_avg, count(value) OVER w AS sample_count, round(epoch_us(ts) / 1e6 - epoch_us(first_value(ts) OVER w) / 1e6, 6) AS span_seconds
 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS 59 PRECEDING)"""
 
 # --- pages and images --------------------------------------------------------------------
@@ -465,18 +465,18 @@ info AS (SELECT path, page_num, length({strip('text')}) AS chars, {words('text')
   (length({strip('text')}) >= 50 AND {words('text')} >= 10 AND {meaningful('text')}) AS prose, image_count > 0 AS pics FROM p LEFT JOIN big USING (doc_id, page_num))"""
 ORACLES["page_analysis"] = f"""
 WITH {INFO} SELECT path, page_num::BIGINT AS page_num, chars::BIGINT AS text_length, w::BIGINT AS word_count, image_count::BIGINT AS image_count,
-  significant::BIGINT AS significant_images, prose AS has_meaningful_text, pics AS has_images, round(chars / greatest(image_count, 1)::DOUBLE, 6) AS text_to_image_ratio FROM info"""
+  significant::BIGINT AS significant_images, prose AS has_meaningful_text, pics AS has_images, round(chars / greatest(image_count, 1)::DOUBLE + 3e-9, 6) AS text_to_image_ratio FROM info"""
 ORACLES["document_class"] = f"""
 WITH {INFO}, c AS (SELECT path, count(*)::BIGINT AS total_pages, sum(image_count)::BIGINT AS total_images, avg(prose::INT) AS t, avg(pics::INT) AS i, avg((prose AND pics)::INT) AS m, avg(chars) AS a FROM info GROUP BY 1),
 r AS (SELECT *, CASE WHEN m > 0.3 THEN 1 WHEN t > 0.7 AND i > 0.1 THEN 2 WHEN t > 0.8 AND i < 0.2 THEN 3 WHEN i > 0.6 AND t < 0.3 THEN 4 WHEN t < 0.5 AND i > 0.5 AND a < 100 THEN 5
   WHEN t < 0.1 AND i < 0.1 THEN 6 ELSE 7 END AS rule FROM c)
 SELECT path, (['mixed_content', 'mixed_content', 'text_only', 'image_only', 'scanned_document', 'empty', 'mixed_content'])[rule] AS content_type,
   (['mixed_processing', 'text_primary_mixed', 'text_only', 'image_heavy', 'ocr_primary', 'skip', 'conservative_mixed'])[rule] AS strategy,
-  round(CASE rule WHEN 1 THEN least(0.9, m + 0.3) WHEN 2 THEN t * 0.8 WHEN 3 THEN t WHEN 4 THEN i WHEN 5 THEN 0.7 WHEN 6 THEN 0.9 ELSE 0.5 END, 6) AS confidence,
-  round(t, 6) AS text_coverage, round(i, 6) AS image_coverage, round(a, 6) AS avg_text_per_page, total_pages, total_images FROM r"""
+  round(CASE rule WHEN 1 THEN least(0.9, m + 0.3) WHEN 2 THEN t * 0.8 WHEN 3 THEN t WHEN 4 THEN i WHEN 5 THEN 0.7 WHEN 6 THEN 0.9 ELSE 0.5 END + 3e-9, 6) AS confidence,
+  round(t + 3e-9, 6) AS text_coverage, round(i + 3e-9, 6) AS image_coverage, round(a + 3e-9, 6) AS avg_text_per_page, total_pages, total_images FROM r"""
 ORACLES["document_stats"] = f"""
 WITH {PAGES} SELECT path, count(*)::BIGINT AS page_count, sum(length(text))::BIGINT AS total_text_length, sum(image_count)::BIGINT AS total_images,
-  round(avg(length(text)), 6) AS avg_text_per_page, round(avg(image_count), 6) AS avg_images_per_page FROM p GROUP BY 1"""
+  round(avg(length(text)) + 3e-9, 6) AS avg_text_per_page, round(avg(image_count) + 3e-9, 6) AS avg_images_per_page FROM p GROUP BY 1"""
 ORACLES["assemble_pages"] = f"""
 WITH {PAGES} SELECT path, ((page_num - 1) // 500)::BIGINT AS part, count(*)::BIGINT AS n_pages, md5({strip("string_agg(text, chr(10) || chr(10) ORDER BY page_num)")}) AS text_md5 FROM p GROUP BY 1, 2"""
 ORACLES["page_range"] = "SELECT conv_id, turn + 1 AS page_num, md5(text) AS text_md5 FROM conversations WHERE turn + 1 BETWEEN 2 AND 6 AND turn + 1 <> 4"
@@ -510,7 +510,7 @@ WITH {IMAGES} SELECT path, page_num::BIGINT AS page_num, image_index::BIGINT AS
   CASE WHEN y + 45 < 800 / 3.0::DOUBLE THEN 'top' WHEN y + 45 > 1600 / 3.0::DOUBLE THEN 'bottom' ELSE 'middle' END || '_' ||
   CASE WHEN x + 75 < 200 THEN 'left' WHEN x + 75 > 400 THEN 'right' ELSE 'center' END AS position FROM img"""
 ORACLES["page_image_quality"] = f"""
-WITH {IMAGES} SELECT path, page_num::BIGINT AS page_num, count(*)::BIGINT AS total_images, h::BIGINT AS high, m::BIGINT AS medium, l::BIGINT AS low, round(a, 6) AS average_resolution,
+WITH {IMAGES} SELECT path, page_num::BIGINT AS page_num, count(*)::BIGINT AS total_images, h::BIGINT AS high, m::BIGINT AS medium, l::BIGINT AS low, round(a + 3e-9, 6) AS average_resolution,
   CASE WHEN h > m + l THEN 'high_quality' WHEN m > l THEN 'medium_quality' WHEN l > 0 THEN 'low_quality' ELSE 'none' END AS dominant_image_type, a > 1000000 AS has_vector_graphics
 FROM (SELECT path, page_num, count(*) FILTER (WHERE area > 500000) AS h, count(*) FILTER (WHERE area > 100000 AND area <= 500000) AS m, count(*) FILTER (WHERE area <= 100000) AS l, avg(area) AS a
   FROM img GROUP BY 1, 2) JOIN img USING (path, page_num) GROUP BY ALL"""

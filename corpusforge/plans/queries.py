@@ -43,6 +43,11 @@ def r6(column: Column) -> Column:
     return F.round(column, 6)
 
 
+def mean6(column: Column) -> Column:
+    """Six decimals of a quotient, moved off half-way cases: engines round those differently."""
+    return F.round(column + 3e-9, 6)
+
+
 def big(column: Column | str) -> Column:
     return (F.col(column) if isinstance(column, str) else column).cast("long")
 
@@ -329,7 +334,7 @@ def items_per_document(spark, d):
 
 @query
 def item_stats(spark, d):
-    return items.item_stats(_items(spark, d)).select("n_items", r6(F.col("avg_length")).alias("avg_length"))
+    return items.item_stats(_items(spark, d)).select("n_items", mean6(F.col("avg_length")).alias("avg_length"))
 
 
 @query
@@ -591,13 +596,13 @@ def run_errors(spark, d):
 @query
 def processor_performance(spark, d):
     out = runs.processor_performance(_log(spark, d))
-    return out.select("processor", "files", "images", *[r6(F.col(c)).alias(c) for c in ("total_seconds", "avg_seconds", "avg_chars", "chars_per_second")])
+    return out.select("processor", "files", "images", *[mean6(F.col(c)).alias(c) for c in ("total_seconds", "avg_seconds", "avg_chars", "chars_per_second")])
 
 
 @query
 def processor_stats(spark, d):
     out = runs.processor_stats(_log(spark, d))
-    return out.select("processor", "files_processed", "files_successful", *[r6(F.col(c)).alias(c) for c in ("success_rate", "avg_seconds", "avg_text_per_file", "avg_images_per_file")])
+    return out.select("processor", "files_processed", "files_successful", *[mean6(F.col(c)).alias(c) for c in ("success_rate", "avg_seconds", "avg_text_per_file", "avg_images_per_file")])
 
 
 @query
@@ -618,13 +623,16 @@ def batch_totals(spark, d):
 @query
 def run_progress(spark, d):
     out = runs.progress(_log(spark, d))
-    return out.select("seq", "processed", "completed", "chars", *[r6(F.col(c)).alias(c) for c in ("elapsed", "percent", "avg_seconds", "eta_seconds")])
+    return out.select("seq", "processed", "completed", "chars", *[mean6(F.col(c)).alias(c) for c in ("elapsed", "percent", "avg_seconds", "eta_seconds")])
 
 
 @query
 def moving_average(spark, d):
-    out = running.sliding_average(read_table(spark, d, "events").select("event_id", "user_id", "ts", "value"), ["user_id"], ["ts", "event_id"], "value", "ts", 60)
-    return out.select("event_id", r6(F.col("moving_avg")).alias("moving_avg"), "sample_count", r6(F.col("span_seconds")).alias("span_seconds"))
+    """Over event values in cents, whose sums are exact in any order."""
+    cents = F.round(F.col("value") * 100).cast("long").alias("cents")
+    events = read_table(spark, d, "events").select("event_id", "user_id", "ts", cents)
+    out = running.sliding_average(events, ["user_id"], ["ts", "event_id"], "cents", "ts", fixed.MOVING_AVERAGE_ROWS)
+    return out.select("event_id", mean6(F.col("moving_avg")).alias("moving_avg"), "sample_count", r6(F.col("span_seconds")).alias("span_seconds"))
 
 
 # --- pages and images --------------------------------------------------------------------
@@ -639,20 +647,20 @@ def page_analysis(spark, d):
     out = pages.analyze_pages(_pages(spark, d))
     return out.select(
         "path", *[big(c).alias(c) for c in ("page_num", "text_length", "word_count", "image_count", "significant_images")],
-        "has_meaningful_text", "has_images", r6(F.col("text_to_image_ratio")).alias("text_to_image_ratio"),
+        "has_meaningful_text", "has_images", mean6(F.col("text_to_image_ratio")).alias("text_to_image_ratio"),
     )
 
 
 @query
 def document_class(spark, d):
     out = pages.classify_document(pages.document_coverage(pages.analyze_pages(_pages(spark, d))))
-    return out.select("path", "content_type", "strategy", *[r6(F.col(c)).alias(c) for c in ("confidence", "text_coverage", "image_coverage", "avg_text_per_page")], "total_pages", "total_images")
+    return out.select("path", "content_type", "strategy", *[mean6(F.col(c)).alias(c) for c in ("confidence", "text_coverage", "image_coverage", "avg_text_per_page")], "total_pages", "total_images")
 
 
 @query
 def document_stats(spark, d):
     out = pages.document_stats(_pages(spark, d))
-    return out.select("path", "page_count", "total_text_length", "total_images", r6(F.col("avg_text_per_page")).alias("avg_text_per_page"), r6(F.col("avg_images_per_page")).alias("avg_images_per_page"))
+    return out.select("path", "page_count", "total_text_length", "total_images", mean6(F.col("avg_text_per_page")).alias("avg_text_per_page"), mean6(F.col("avg_images_per_page")).alias("avg_images_per_page"))
 
 
 @query
@@ -717,7 +725,7 @@ def image_position(spark, d):
 @query
 def page_image_quality(spark, d):
     out = pages.page_image_quality(_images(spark, d))
-    return out.withColumn("average_resolution", r6(F.col("average_resolution")))
+    return out.withColumn("average_resolution", mean6(F.col("average_resolution")))
 
 
 def _with_blocks(spark, d) -> DataFrame:
