@@ -104,7 +104,7 @@ def epub_image_quality(area: Column, size_bytes: Column) -> Column:
 def is_single_color(color_counts: Column, area: Column) -> Column:
     """At most 3 colours, or one covering over 95 %; null or over 100 colours means no."""
     few = F.size(color_counts) <= 3
-    dominant = F.exists(color_counts, lambda c: c["n"] / area > 0.95)
+    dominant = F.exists(color_counts, lambda c: c["n"] > area * 0.95)
     return F.when(color_counts.isNull() | (F.size(color_counts) > 100), F.lit(False)).otherwise(few | dominant)
 
 

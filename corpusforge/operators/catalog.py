@@ -6,15 +6,21 @@ known size is under `spark.sql.autoBroadcastJoinThreshold` and shuffles it beyon
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusforge import fixed_values as fixed
 from corpusforge.functions.prompts import estimate_cost
 
+_ARROW_TYPES = {"string": pa.string(), "long": pa.int64(), "double": pa.float64(), "int": pa.int32(), "boolean": pa.bool_()}
+_ARROW_SCHEMA = pa.schema([(n, _ARROW_TYPES[t]) for n, t in (c.split(" ") for c in fixed.MODEL_CATALOG_SCHEMA.split(", "))])
 
 def model_catalog(spark: SparkSession, rows: list[tuple] | None = None) -> DataFrame:
-    return spark.createDataFrame(rows or fixed.MODEL_CATALOG, fixed.MODEL_CATALOG_SCHEMA)
+    """The catalogue as a table whose size Spark knows (an Arrow table becomes a local relation)."""
+    names = [column.split(" ")[0] for column in fixed.MODEL_CATALOG_SCHEMA.split(", ")]
+    table = pa.Table.from_pylist([dict(zip(names, row)) for row in rows or fixed.MODEL_CATALOG], schema=_ARROW_SCHEMA)
+    return spark.createDataFrame(table, fixed.MODEL_CATALOG_SCHEMA)
 
 
 def pick_highest_priority(entries: DataFrame, name: str = "provider", priority: str = "priority", seq: str = "seq") -> DataFrame:

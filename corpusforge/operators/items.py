@@ -137,17 +137,26 @@ def retry_requests(listed: DataFrame, attempt: str = "attempt", max_retries: int
     return again.select(*keys, (F.col(attempt) + 1).alias("attempt"), retry_prompt(schema, previous).alias("prompt"))
 
 
+def _field(g: Generator, field: str) -> Column:
+    value = F.try_variant_get("item", f"$.{field}", g.fields[field])
+    return F.coalesce(value, F.try_variant_get("item", "$", "string")) if field == g.wrap else value
+
+
 def typed_items(items: DataFrame, generator: str, generators: dict[str, Generator] = GENERATORS) -> DataFrame:
     """Items of one generator with its own columns instead of the variant."""
     g = generators[generator]
     own = items.filter(F.col("generator") == generator)
-    columns = []
-    for field, kind in g.fields.items():
-        value = F.try_variant_get("item", f"$.{field}", kind)
-        if field == g.wrap:
-            value = F.coalesce(value, F.try_variant_get("item", "$", "string"))
-        columns.append(value.alias(field))
-    return own.select(*[c for c in own.columns if c != "item"], *columns)
+    return own.select(*[c for c in own.columns if c != "item"], *[_field(g, f).alias(f) for f in g.fields])
+
+
+def all_typed_items(items: DataFrame, generators: dict[str, Generator] = GENERATORS) -> DataFrame:
+    """Items of all generators in one flat table, in one pass; fields of other kinds are null."""
+    columns: dict[str, Column] = {}
+    for g in generators.values():
+        for f in g.fields:
+            value = F.when(F.col("generator") == g.name, _field(g, f))
+            columns[f] = F.coalesce(columns[f], value) if f in columns else value
+    return items.select(*[c for c in items.columns if c != "item"], *[c.alias(f) for f, c in columns.items()])
 
 
 def conversation_messages(items: DataFrame) -> DataFrame:
@@ -177,6 +186,8 @@ def tag_metadata(items: DataFrame, timestamp: Column) -> DataFrame:
 
 
 def merge_items(*parts: DataFrame) -> DataFrame:
+    """Items from several runs or sources as one flat table. For generators of one run see
+    `all_typed_items`, which reads the items once."""
     merged = parts[0]
     for part in parts[1:]:
         merged = merged.unionByName(part, allowMissingColumns=True)

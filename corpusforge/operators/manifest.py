@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusforge import fixed_values as fixed
 from corpusforge.functions.formats import file_ext, file_name, file_stem
 from corpusforge.operators.quality import admission, route_processor
-from corpusforge.operators.running import OrderedRows
+from corpusforge.operators.running import OrderedRows, RunningSum, number_rows
 
 MB = 1024 * 1024
 
@@ -133,7 +133,7 @@ def retention(store: DataFrame, now: Column, max_bytes: float, max_days: int = f
     marked = store.withColumn("_old", age_days > max_days) if max_days > 0 else store.withColumn("_old", F.lit(False))
     ordered = OrderedRows(marked, [], [F.col("accessed_at").desc(), F.col(key).desc()])
     live = F.when(F.col("_old"), 0).otherwise(F.col("size"))
-    rows = ordered.running_sum("_newer", live).rows
+    rows = ordered.add(_newer=RunningSum(live)).rows
     verdict = F.when(F.col("_old"), "expired").when(F.col("_newer") > max_bytes, "evicted").otherwise("kept")
     return rows.withColumn("verdict", verdict).drop("_old", "_newer")
 
@@ -157,7 +157,7 @@ def sample_store_types(store: DataFrame, n: int = fixed.STORE_SAMPLE) -> DataFra
 
 def assign_batches(manifest: DataFrame, size: int = fixed.BATCH_SIZE, order: str = "path") -> DataFrame:
     """Consecutive batches of `size` files in path order, numbered from 1."""
-    numbered = OrderedRows(manifest, [], [order]).row_number("_n").rows
+    numbered = number_rows(manifest, [], [order], "_n")
     return numbered.withColumn("batch_no", (F.floor((F.col("_n") - 1) / size) + 1).cast("long")).drop("_n")
 
 

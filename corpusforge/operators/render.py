@@ -174,12 +174,12 @@ def render_blocks(items: DataFrame, keys: list[str], kind: str, fmt: str, fields
         raise ValueError(f"unknown document format: {fmt}")
     block = _json_block(own) if fmt == "json" else makers[fmt](kind, columns)
     body = items.select(*keys, F.col("item_no").alias("block_no"), block.alias("block"))
-    counts = items.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_items"))
-    blocks = body.unionByName(counts.select(*keys, F.lit(0).cast("long").alias("block_no"), _heading(kind, fmt).alias("block")))
     ending = {"xml": f"</{kind}>\n", "json": "]"}.get(fmt)
+    frame = [F.struct(F.lit(0).cast("long").alias("block_no"), _heading(kind, fmt).alias("block"))]
     if ending:
-        blocks = blocks.unionByName(counts.select(*keys, (F.col("n_items") + 1).alias("block_no"), F.lit(ending).alias("block")))
-    return blocks
+        frame.append(F.struct((F.col("n_items") + 1).alias("block_no"), F.lit(ending).alias("block")))
+    counts = items.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_items"))
+    return body.unionByName(counts.select(*keys, F.inline(F.array(*frame))))
 
 
 def generic_document(kind: str, data: Column) -> Column:

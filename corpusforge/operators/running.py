@@ -9,6 +9,8 @@ has at most one row per part and is safe to broadcast.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,58 @@ from corpusforge.session import materialize
 PART = "_part"
 
 
+@dataclass(frozen=True)
+class RowNumber:
+    """Position in the group, from 1."""
+
+    def local(self, ordered, span) -> Column:
+        return F.row_number().over(ordered).cast("long")
+
+    def total(self) -> Column:
+        return F.count(F.lit(1))
+
+    carry = staticmethod(F.sum)
+
+    def add(self, own: Column, before: Column) -> Column:
+        return own + F.coalesce(before, F.lit(0))
+
+
+@dataclass(frozen=True)
+class RunningSum:
+    """Sum of `value` over the group up to and including the row."""
+
+    value: Column
+
+    def local(self, ordered, span) -> Column:
+        return F.sum(self.value).over(span)
+
+    def total(self) -> Column:
+        return F.sum(self.value)
+
+    carry = staticmethod(F.sum)
+
+    def add(self, own: Column, before: Column) -> Column:
+        return F.coalesce(own + before, own, before)
+
+
+@dataclass(frozen=True)
+class RunningMax:
+    """Greatest `value` of the group up to and including the row; null before the first."""
+
+    value: Column
+
+    def local(self, ordered, span) -> Column:
+        return F.max(self.value).over(span)
+
+    def total(self) -> Column:
+        return F.max(self.value)
+
+    carry = staticmethod(F.max)
+
+    def add(self, own: Column, before: Column) -> Column:
+        return F.greatest(own, before)
+
+
 class OrderedRows:
     """Rows of `df` in the order `group`, `order`; `order` must be unique within a group."""
 
@@ -24,80 +78,53 @@ class OrderedRows:
         n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         ranged = df.repartitionByRange(n, *group, *order).withColumn(PART, F.spark_partition_id())
         # Written once: the borders between parts must not move while later steps read them.
-        self._init(materialize(ranged, "ordered"), group, order)
+        self.df, self.group, self.order = materialize(ranged, "ordered"), group, order
+
+    def add(self, **values: RowNumber | RunningSum | RunningMax) -> "OrderedRows":
+        """Add running columns, all in one pass. A value may use columns added before."""
+        ordered = Window.partitionBy(*self.group, PART).orderBy(*self.order)
+        span = ordered.rowsBetween(Window.unboundedPreceding, 0)
+        before = Window.partitionBy(*self.group).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+
+        totals = self.df.groupBy(*self.group, PART).agg(*[v.total().alias(f"_{name}") for name, v in values.items()])
+        carried = totals.select(
+            *self.group,
+            PART,
+            F.row_number().over(Window.partitionBy(*self.group).orderBy(PART)).alias("_rank"),
+            *[v.carry(F.col(f"_{name}")).over(before).alias(f"_{name}") for name, v in values.items()],
+        ).filter("_rank > 1")
 
-    def _init(self, df: DataFrame, group: list[str], order: list[Column | str]) -> None:
-        self.df, self.group, self.order = df, group, order
+        own = self.df.select("*", *[v.local(ordered, span).alias(name) for name, v in values.items()])
+        on = F.col(f"a.{PART}") == F.col(f"b.{PART}")
+        for key in self.group:
+            on = on & F.col(f"a.{key}").eqNullSafe(F.col(f"b.{key}"))
+        # At most one row per part: the group that goes on from an earlier part.
+        joined = own.alias("a").join(F.broadcast(carried.alias("b")), on, "left")
+        finished = [v.add(F.col(f"a.{name}"), F.col(f"b._{name}")).alias(name) for name, v in values.items()]
 
-    def _with(self, df: DataFrame) -> "OrderedRows":
         new = OrderedRows.__new__(OrderedRows)
-        new._init(df, self.group, self.order)
+        new.df = joined.select(*[F.col(f"a.{c}") for c in self.df.columns], *finished)
+        new.group, new.order = self.group, self.order
         return new
 
     @property
     def rows(self) -> DataFrame:
         return self.df.drop(PART)
 
-    def _running(self, name: str, local: Column, total: Column, carry, add) -> "OrderedRows":
-        """Add column `name`: the part's own running value joined with the carried one.
-
-        `local` is the value inside a part, `total` its aggregate over the part, `carry` combines
-        the totals of earlier parts, and `add` joins the carried value to a local one.
-        """
-        df = self.df.withColumn(name, local)
-        per_part = df.groupBy(*self.group, PART).agg(total.alias("_total"))
-        before = Window.partitionBy(*self.group).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
-        carried = per_part.withColumn("_carry", carry(F.col("_total")).over(before)).drop("_total")
-        carried = carried.filter(F.col("_carry").isNotNull())
-        keys = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in self.group]
-        on = F.col(f"a.{PART}") == F.col(f"b.{PART}")
-        for key in keys:
-            on = on & key
-        joined = df.alias("a").join(F.broadcast(carried.alias("b")), on, "left")
-        others = [F.col(f"a.{c}") for c in self.df.columns]
-        return self._with(joined.select(*others, add(F.col(f"a.{name}"), F.col("b._carry")).alias(name)))
-
-    def _window(self):
-        return Window.partitionBy(*self.group, PART).orderBy(*self.order)
-
-    def row_number(self, name: str = "row_no") -> "OrderedRows":
-        """Number the rows of each group from 1."""
-        return self._running(
-            name,
-            F.row_number().over(self._window()).cast("long"),
-            F.count(F.lit(1)),
-            F.sum,
-            lambda own, before: own + F.coalesce(before, F.lit(0)),
-        )
-
-    def running_sum(self, name: str, value: Column) -> "OrderedRows":
-        """Sum of `value` over the group up to and including the row."""
-        span = self._window().rowsBetween(Window.unboundedPreceding, 0)
-        return self._running(
-            name,
-            F.sum(value).over(span),
-            F.sum(value),
-            F.sum,
-            lambda own, before: F.coalesce(own + before, own, before),
-        )
-
-    def running_max(self, name: str, value: Column) -> "OrderedRows":
-        """Greatest `value` of the group up to and including the row; null before the first."""
-        span = self._window().rowsBetween(Window.unboundedPreceding, 0)
-        return self._running(name, F.max(value).over(span), F.max(value), F.max, lambda own, before: F.greatest(own, before))
-
 
 def number_rows(df: DataFrame, group: list[str], order: list[Column | str], name: str = "row_no") -> DataFrame:
-    return OrderedRows(df, group, order).row_number(name).rows
+    return OrderedRows(df, group, order).add(**{name: RowNumber()}).rows
 
 
-def sliding_average(df: DataFrame, group: list[str], order: list[Column | str], value: str, moment: str, n: int, span: int = 100_000) -> DataFrame:
+def sliding_average(
+    df: DataFrame, group: list[str], order: list[Column | str], value: str, moment: str, n: int, span: int = 100_000
+) -> DataFrame:
     """Mean of the last `n` rows of the group, how many they are, and the seconds they cover.
 
     The rows of a group are numbered and cut into spans; each span also gets the `n - 1` rows
     before it, so no group needs to fit one task.
     """
-    numbered = OrderedRows(df, group, order).row_number("_n").rows
+    numbered = number_rows(df, group, order, "_n")
     span = max(span, n)
     own = F.floor((F.col("_n") - 1) / span)
     leads = (F.col("_n") - 1) % span >= span - (n - 1)

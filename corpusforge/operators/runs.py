@@ -6,14 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusforge import fixed_values as fixed
-from corpusforge.operators.running import OrderedRows
+from corpusforge.operators.running import OrderedRows, RowNumber, RunningMax, RunningSum
 
 
 def failure_streaks(run_log: DataFrame) -> DataFrame:
     """The log with `streak` (failures in a row up to here), `successes` and `elapsed` so far."""
-    rows = OrderedRows(run_log, [], ["seq"]).row_number("_n")
-    rows = rows.running_max("_last_ok", F.when(F.col("success"), F.col("_n")))
-    rows = rows.running_sum("successes", F.col("success").cast("long")).running_sum("elapsed", F.col("seconds"))
+    rows = OrderedRows(run_log, [], ["seq"]).add(
+        _n=RowNumber(), successes=RunningSum(F.col("success").cast("long")), elapsed=RunningSum(F.col("seconds"))
+    )
+    rows = rows.add(_last_ok=RunningMax(F.when(F.col("success"), F.col("_n"))))
     streak = F.col("_n") - F.coalesce(F.col("_last_ok"), F.lit(0))
     return rows.rows.withColumn("streak", streak).drop("_n", "_last_ok")
 
@@ -123,10 +124,13 @@ def batch_totals(batched_log: DataFrame) -> DataFrame:
 def progress(run_log: DataFrame) -> DataFrame:
     """After each file: share done, totals so far, mean seconds, and seconds left."""
     total = run_log.agg(F.count(F.lit(1))).scalar()
-    rows = OrderedRows(run_log, [], ["seq"]).row_number("processed")
-    rows = rows.running_sum("completed", F.col("success").cast("long"))
-    rows = rows.running_sum("chars", F.when(F.col("success"), F.col("text_chars")).otherwise(0))
-    rows = rows.running_sum("elapsed", F.col("seconds")).rows
+    ordered = OrderedRows(run_log, [], ["seq"]).add(
+        processed=RowNumber(),
+        completed=RunningSum(F.col("success").cast("long")),
+        chars=RunningSum(F.when(F.col("success"), F.col("text_chars")).otherwise(0)),
+        elapsed=RunningSum(F.col("seconds")),
+    )
+    rows = ordered.rows
     mean = F.col("elapsed") / F.col("processed")
     return rows.select(
         "seq",

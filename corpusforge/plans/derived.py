@@ -127,7 +127,9 @@ def page_layouts(documents: DataFrame) -> DataFrame:
             pick(seed + i, ["RGB", "RGBA", "L"]).alias("mode"),
             F.when((seed + i) % 5 == 0, F.lit(None).cast("long")).otherwise((seed * 53 + i * 19) % 20_000).alias("n_colors"),
             F.transform(
-                F.sequence(F.lit(1), ((seed + i) % 6 + 1).cast("int")), lambda c: F.struct((z["area"] / F.pow(F.lit(30.0), c - 1)).alias("n"))
+                F.sequence(F.lit(1), ((seed + i) % 6 + 1).cast("int")),
+                # The first colour covers 10 to 21 parts of 22, the others little.
+                lambda c: F.struct((z["area"] * F.when(c == 1, (seed + i) % 12 + 10).otherwise(1) / 22).alias("n")),
             ).alias("color_counts"),
             F.when((seed + i) % 3 == 0, F.lit(None).cast("double")).otherwise((seed * 7 + i) % 100 / 100).alias("quality_score"),
         ),

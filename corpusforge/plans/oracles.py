@@ -263,6 +263,8 @@ ORACLES["tagged_items"] = f"""
 WITH RECURSIVE {ANSWERS} SELECT generator AS item_generator, '2024-01-20T00:00:00Z' AS item_timestamp, count(*)::BIGINT AS n_items FROM items GROUP BY 1"""
 ORACLES["items_merged"] = f"""
 WITH RECURSIVE {ANSWERS} SELECT {_KEYS}, generator, CASE generator WHEN 'summaries' THEN 'a ' ELSE 'q ' END || tag AS lead FROM items WHERE generator <> 'conversations'"""
+ORACLES["items_of_two_runs"] = """
+SELECT doc_id, split_part(text, chr(10), 1) AS question, lang, NULL::VARCHAR AS summary FROM documents UNION ALL SELECT item_id, NULL, NULL, text FROM benchmark"""
 ORACLES["items_override"] = f"""
 WITH RECURSIVE {ANSWERS}, toxic AS (SELECT doc_id FROM labels WHERE toxic = 1),
 u AS (SELECT doc_id, generator, item FROM items WHERE NOT (generator = 'qa_pairs' AND doc_id IN (SELECT doc_id FROM toxic))
@@ -493,8 +495,7 @@ IMAGES = f"""{PAGES}, img AS (SELECT *, (seed * 101 + image_index * 37) % 400000
   CASE WHEN (seed + image_index) % 3 <> 0 THEN (seed * 7 + image_index) % 100 / 100.0::DOUBLE END AS quality_score,
   (seed * 29 + image_index * 83) % 400 AS x, (seed * 17 + image_index * 211) % 700 AS y, (seed + image_index) % 6 + 1 AS kinds FROM areas)"""
 _PIXEL = "CASE WHEN area > 0 THEN size_bytes / area::DOUBLE ELSE 0.0 END"
-# The largest of the derived colour counts covers the whole area, so one colour always dominates.
-_SINGLE = "CASE WHEN area > 0 THEN true ELSE kinds <= 3 END"
+_SINGLE = "(kinds <= 3 OR area > 0 AND (seed + image_index) % 12 = 11)"
 ORACLES["image_quality"] = f"""
 WITH {IMAGES} SELECT path, page_num::BIGINT AS page_num, image_index::BIGINT AS image_index,
   round(least(1.0, area / 100000.0::DOUBLE) * 0.4 + least(1.0, ({_PIXEL}) / CASE mode WHEN 'RGB' THEN 3.0 WHEN 'RGBA' THEN 4.0 ELSE 1.0 END) * 0.3 + coalesce(least(1.0, n_colors / 1000.0::DOUBLE), 1.0) * 0.3, 6) AS quality,

@@ -306,11 +306,18 @@ def tagged_items(spark, d):
 
 @query
 def items_merged(spark, d):
-    found = _items(spark, d)
-    merged = items.merge_items(*[items.typed_items(found, g) for g in ("qa_pairs", "embeddings", "summaries")])
+    merged = items.all_typed_items(_items(spark, d)).filter("generator <> 'conversations'")
     return merged.select("doc_id", big("chunk_id").alias("chunk_id"), big("item_no").alias("item_no"), "generator", F.coalesce("question", "sentence1", "summary").alias("lead"))
 
 
+@query
+def items_of_two_runs(spark, d):
+    """Items of the corpus and of the benchmark texts, as two runs merged into one table."""
+    bench = read_table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), F.col("text").alias("summary"))
+    first_lines = documents(spark, d).select("doc_id", F.split_part("text", F.lit("\n"), F.lit(1)).alias("question"), F.col("lang"))
+    return items.merge_items(first_lines, bench)
+
+
 @query
 def items_override(spark, d):
     """Media items replace the text items of the generators they ran for, here on toxic documents."""
@@ -418,8 +425,7 @@ def render_summaries(spark, d):
 @query
 def labelled_filter(spark, d):
     labels = read_table(spark, d, "labels").select("doc_id", F.col("quality").cast("double").alias("quality_score"))
-    joined = quality.join_labels(documents(spark, d).select("doc_id", "lang"), labels)
-    return items.merge_items(quality.filter_by_quality(joined))
+    return quality.filter_by_quality(quality.join_labels(documents(spark, d).select("doc_id", "lang"), labels))
 
 
 @query
