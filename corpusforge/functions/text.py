@@ -134,28 +134,21 @@ def text_profile(text: Column) -> dict[str, Column]:
 
 
 def is_header_footer(line: Column) -> Column:
-    low = F.lower(line)
-    listed = F.lit(False)
-    for word in fixed.HEADER_FOOTER_WORDS:
-        listed = listed | low.contains(word)
-    return (word_count(line) <= 3) | listed
+    """At most 3 words, or one of the listed words anywhere."""
+    listed = "|".join(re.escape(word).replace("\\ ", " ") for word in fixed.HEADER_FOOTER_WORDS)
+    return (word_count(line) <= 3) | F.lower(line).rlike(listed)
 
 
 def is_meaningful_text(text: Column, min_lines: int = fixed.MIN_PAGE_LINES) -> Column:
-    """At least `min_lines` non-empty lines, more than half of them real prose."""
-    prose = (
-        lambda l: (F.length(l) > 10) & ~l.rlike(r"\A\p{Nd}+\z") & (word_count(l) > 2) & ~is_header_footer(l)
-    )
-    # One struct per text, so the line array is built once and counted twice.
-    counts = F.aggregate(
-        F.transform(lines(text), strip),
-        F.struct(F.lit(0).alias("n"), F.lit(0).alias("good")),
-        lambda acc, l: F.struct(
-            (acc["n"] + (l != "").cast("int")).alias("n"), (acc["good"] + prose(l).cast("int")).alias("good")
-        ),
-        lambda acc: (acc["n"] >= min_lines) & (acc["good"] * 2 > acc["n"]),
-    )
-    return F.coalesce(counts, F.lit(False))
+    """At least `min_lines` non-empty lines, more than half of them real prose.
+
+    Prose is longer than 10 characters, not a number, and no header or footer (which also asks
+    for more than 3 words).
+    """
+    prose = lambda l: (F.length(l) > 10) & ~is_header_footer(l) & ~l.rlike(r"\A\p{Nd}+\z")
+    full = F.filter(F.transform(lines(text), strip), lambda l: l != "")
+    enough = lambda rows: (F.size(rows) >= min_lines) & (F.size(F.filter(rows, prose)) * 2 > F.size(rows))
+    return F.coalesce(let(full, enough), F.lit(False))
 
 
 def estimate_tokens_chars(text: Column) -> Column:

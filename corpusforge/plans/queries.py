@@ -12,7 +12,7 @@ from corpusforge.plans import corpus, derived
 from corpusforge.session import shared_dir
 from corpusforge.settings import Settings
 from corpusforge.sources.files import decode_text
-from corpusforge.sources.tables import read_table, spread
+from corpusforge.sources.tables import is_small, read_table, spread
 from corpusforge.streaming import corpus as streaming
 
 QUERIES = {}
@@ -877,7 +877,9 @@ def _run_stream(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
 
 @query
 def stream_corpus(spark, d):
-    docs = streaming.stream_table(spark, d, documents(spark, d).schema, "documents.parquet")
+    table = documents(spark, d)
+    partitions = spark.sparkContext.defaultParallelism if is_small(table) else None
+    docs = streaming.stream_table(spark, d, table.schema, "documents.parquet", partitions=partitions)
     out = _run_stream(spark, streaming.corpus_chunks(docs, ["doc_id"]), "stream-corpus")
     return out.select("doc_id", big("chunk_id").alias("chunk_id"), F.md5("chunk").alias("chunk_md5"))
 

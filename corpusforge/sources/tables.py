@@ -18,7 +18,10 @@ def table_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def is_small(df: DataFrame) -> bool:
+    return table_bytes(df) < df.sparkSession.sparkContext.defaultParallelism * SPREAD_BYTES_PER_CORE
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use every core on a small input of heavy per-row work; leave a large one alone."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if table_bytes(df) < cores * SPREAD_BYTES_PER_CORE else df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if is_small(df) else df

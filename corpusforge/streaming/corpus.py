@@ -28,10 +28,16 @@ def stream_files(spark: SparkSession, folder: str, pattern: str | None = None, m
     return reader.load(folder).withColumnRenamed("modificationTime", "mtime")
 
 
-def stream_table(spark: SparkSession, folder: str, schema: StructType, pattern: str, max_files: int = 1000) -> DataFrame:
-    """New Parquet files of a folder whose names match `pattern`."""
+def stream_table(spark: SparkSession, folder: str, schema: StructType, pattern: str, max_files: int = 1000,
+                 partitions: int | None = None) -> DataFrame:
+    """New Parquet files of a folder whose names match `pattern`.
+
+    `partitions` spreads each micro-batch over that many tasks: useful for few small files, a
+    needless shuffle for many.
+    """
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).option("pathGlobFilter", pattern)
-    return reader.parquet(folder)
+    rows = reader.parquet(folder)
+    return rows.repartition(partitions) if partitions else rows
 
 
 def corpus_chunks(docs: DataFrame, keep: list[str], text: str = "text", min_length: int = fixed.MIN_TEXT_LENGTH,
