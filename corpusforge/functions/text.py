@@ -133,10 +133,17 @@ def text_profile(text: Column) -> dict[str, Column]:
     }
 
 
+def has_words(text: Column, n: int) -> Column:
+    """At least `n` words; stops reading at the n-th."""
+    return text.rlike(rf"(?:[^{WS}]+[{WS}]+){{{n - 1}}}[^{WS}]")
+
+
 def is_header_footer(line: Column) -> Column:
     """At most 3 words, or one of the listed words anywhere."""
     listed = "|".join(re.escape(word).replace("\\ ", " ") for word in fixed.HEADER_FOOTER_WORDS)
-    return (word_count(line) <= 3) | F.lower(line).rlike(listed)
+    # The look-ahead rejects most positions by one character.
+    firsts = "".join(sorted({word[0] for word in fixed.HEADER_FOOTER_WORDS}))
+    return ~has_words(line, 4) | F.lower(line).rlike(f"(?=[{firsts}])(?:{listed})")
 
 
 def is_meaningful_text(text: Column, min_lines: int = fixed.MIN_PAGE_LINES) -> Column:
