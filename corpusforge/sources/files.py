@@ -10,6 +10,7 @@ from typing import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,6 +78,10 @@ def _book_members(content: bytes) -> list[dict]:
 
 
 BOOK_SCHEMA = "path string, kind string, member_no int, name string, html string, size_bytes long, error string"
+_BOOK_ARROW = pa.schema(
+    [("path", pa.string()), ("kind", pa.string()), ("member_no", pa.int32()), ("name", pa.string()),
+     ("html", pa.string()), ("size_bytes", pa.int64()), ("error", pa.string())]
+)
 
 
 def read_epub(files: DataFrame) -> DataFrame:
@@ -85,22 +90,20 @@ def read_epub(files: DataFrame) -> DataFrame:
     A file that cannot be opened gives one row with `error`.
     """
 
-    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split(" ")[0] for c in BOOK_SCHEMA.split(", ")]
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
                 rows, counts = [], {}
                 try:
-                    for member in _book_members(bytes(content)):
+                    for member in _book_members(content):
                         counts[member["kind"]] = counts.get(member["kind"], 0) + 1
                         rows.append({"path": path, "member_no": counts[member["kind"]], **member})
                 except Exception as exc:  # a broken file must not end the task
                     rows = [{"path": path, "kind": "error", "error": str(exc)}]
-                out = pd.DataFrame(rows, columns=names)
-                yield out.astype({"member_no": "Int32", "size_bytes": "Int64"})
+                yield pa.RecordBatch.from_pylist(rows, schema=_BOOK_ARROW)
 
     books = files.filter(file_ext(F.col("path")) == ".epub").select("path", "content")
-    return books.mapInPandas(unpack, BOOK_SCHEMA)
+    return books.mapInArrow(unpack, BOOK_SCHEMA)
 
 
 def epub_text(members: DataFrame, start: int = 1, end: int | None = None, skip: list[int] | None = None, min_length: int = 0) -> DataFrame:
