@@ -19,6 +19,9 @@ MIN_PAGE_CHARS = 50
 MIN_PAGE_WORDS = 10
 MIN_PAGE_LINES = 2
 SIGNIFICANT_IMAGE_AREA = 10000
+# Smallest image kept, in pixels: from any page, and from a page that mixes text and images.
+# Books also ask for as many bytes as pixels.
+SMALL_IMAGE = {"page": 1000, "mixed": 10000, "epub": 1000}
 NEARBY_DISTANCE = 50
 HEADER_FOOTER_WORDS = [
     "page ",
@@ -124,6 +127,12 @@ STYLE_PROMPTS = {
         "summaries": "Create business-focused summaries with actionable insights based on this content.",
     },
 }
+SYSTEM_PROMPTS = {
+    "conversations": "You are an expert educator. Create natural, multi-turn conversations that help people learn. Generate realistic user questions and helpful, detailed AI responses.",
+    "embeddings": "Create pairs of sentences with similar meanings but different wording. Focus on semantic similarity for training embedding models.",
+    "qa_pairs": "Generate clear, specific questions that can be answered from the given content. Provide complete, accurate answers based on the source material.",
+    "summaries": "Create concise, informative summaries that capture the key points and main ideas. Focus on the most important information.",
+}
 TASK_ROUTES = {
     "conversations": "openai/text",
     "embeddings": "openai/text",

@@ -120,6 +120,13 @@ def resolution_class(area: Column) -> Column:
     return F.when(area > 500000, "high").when(area > 100000, "medium").otherwise("low")
 
 
+def is_small_image(area: Column, size_bytes: Column, source: str) -> Column:
+    """Too small to keep, by where the image comes from."""
+    least = fixed.SMALL_IMAGE[source]
+    small = area < least
+    return small | (size_bytes < least) if source == "epub" else small
+
+
 def keep_image(area: Column, score: Column, single_color: Column, min_area: int, threshold: float, skip_single: bool) -> Column:
     """Large enough, good enough (unknown score counts as 1), and not one flat colour."""
     keep = (F.coalesce(area, F.lit(min_area)) >= min_area) & (F.coalesce(score, F.lit(1.0)) >= threshold)

@@ -26,6 +26,10 @@ def prompt_for(style: Column, generator: Column, custom: dict[str, str] | None =
     return chosen
 
 
+def system_prompt(generator: Column) -> Column:
+    return _lookup(fixed.SYSTEM_PROMPTS, generator)
+
+
 def _lookup(values: dict[str, str], key: Column) -> Column:
     pairs = [F.lit(x) for item in values.items() for x in item]
     return F.try_element_at(F.create_map(*pairs), key)

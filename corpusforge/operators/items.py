@@ -235,35 +235,51 @@ def sample_items(items: DataFrame, key: Column, n: int = fixed.SAMPLE_ITEMS, see
     return items.orderBy(order, key).limit(n)
 
 
-def complete(prompts: DataFrame, call: Callable[[str], str], max_retries: int = 3, backoff: float = 1.0,
-             concurrency: int = 8, keys: tuple[str, ...] = ("doc_id", "chunk_id", "generator")) -> DataFrame:
+def complete(
+    prompts: DataFrame,
+    call: Callable[..., str],
+    max_retries: int = 3,
+    backoff: float = 1.0,
+    concurrency: int = 8,
+    keys: tuple[str, ...] = ("doc_id", "chunk_id", "generator"),
+    media: str | None = None,
+    fallback: Callable[..., str] | None = None,
+) -> DataFrame:
     """Run the user's completion function over the prompts, `concurrency` calls at a time.
 
+    `call` gets the prompt and, with a `media` column, the media path too. `fallback` is asked
+    once when `call` keeps failing; if that fails as well, the row has `error` instead of `raw`.
     Write the result to a table before using it: calls cost money and must not run again when a
-    later stage is recomputed. A call that keeps failing becomes a row with `error`.
+    later stage is recomputed.
     """
     import time
 
-    kept = prompts.select(*keys, "prompt")
+    asked = [*keys, "prompt", *([media] if media else [])]
+    kept = prompts.select(*asked)
     fields = [f"{f.name} {f.dataType.simpleString()}" for f in kept.schema if f.name in keys]
 
+    def ask(*arguments) -> tuple[str | None, str | None, int]:
+        error, tries = None, [call] * max_retries + ([fallback] if fallback else [])
+        for attempt, function in enumerate(tries, 1):
+            try:
+                return function(*arguments), None, attempt
+            except Exception as exc:  # one bad call must not end the task
+                error = str(exc)
+                if attempt < len(tries):
+                    time.sleep(backoff)
+        return None, error, len(tries)
+
     def run(batches):
         for batch in batches:
-            answers, errors, attempts = [], [], []
-            for prompt in batch["prompt"]:
-                answer, error, attempt = None, None, 0
-                while answer is None and attempt < max_retries:
-                    attempt += 1
-                    try:
-                        answer, error = call(prompt), None
-                    except Exception as exc:  # one bad call must not end the task
-                        error = str(exc)
-                        if attempt < max_retries:
-                            time.sleep(backoff)
-                answers.append(answer)
-                errors.append(error)
-                attempts.append(attempt)
-            yield batch[list(keys)].assign(raw=answers, error=errors, attempt=attempts)
-
-    schema = ", ".join([*fields, "raw string", "error string", "attempt int"])
+            columns = [batch[c] for c in asked[len(keys):]]
+            answers = [ask(*row) for row in zip(*columns)]
+            raw, error, calls = zip(*answers) if answers else ((), (), ())
+            yield batch[list(keys)].assign(raw=list(raw), error=list(error), calls=list(calls))
+
+    schema = ", ".join([*fields, "raw string", "error string", "calls int"])
     return kept.repartition(concurrency, *keys).mapInPandas(run, schema)
+
+
+def echo(prompt: str, *media: str) -> str:
+    """A stand-in completion function for trials without a service."""
+    return f"Local model result for prompt: {prompt[:50]}... (implement your logic here)."

@@ -73,6 +73,10 @@ def validation_summary(manifest: DataFrame, max_bytes: int = fixed.MAX_FILE_BYTE
     )
 
 
+def sort_files(manifest: DataFrame) -> DataFrame:
+    return manifest.orderBy("path")
+
+
 def limit_files(manifest: DataFrame, n: int = fixed.TEST_MODE_FILES) -> DataFrame:
     """The first `n` paths (a feature of test mode): a bounded top-n, not a full sort."""
     return manifest.orderBy("path").limit(n)

@@ -7,6 +7,9 @@ breaks, are the document. That keeps every row small however many items a docume
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from typing import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -142,42 +145,63 @@ def _xml_block(kind: str, columns: list[str]) -> Column:
     return _join(F.concat(F.lit(f"  <{element}"), attributes, F.lit(">")), *body, f"  </{element}>")
 
 
-def _json_block(fields: list[str]) -> Column:
+def _json_block(kind: str, columns: list[str]) -> Column:
     """An element of a JSON array; all but the first begin with the comma."""
     comma = F.when(F.col("item_no") == 1, "").otherwise(",")
-    return F.concat(comma, F.to_json(F.struct(*fields)))
+    return F.concat(comma, F.to_json(F.struct(*columns)))
+
+
+def _total() -> Column:
+    return F.col("n_items").cast("string")
+
 
+@dataclass(frozen=True)
+class DocumentFormat:
+    """How a document is laid out: heading, item block and ending of a kind of item.
 
-def _heading(kind: str, fmt: str) -> Column:
-    n = F.col("n_items").cast("string")
-    if fmt == "txt":
-        return F.concat(F.lit(f"{TEXT_TITLE[kind]}\n{'=' * TEXT_WIDTH}\nTotal {KINDS[kind][1]}: "), n, F.lit("\n"))
-    if fmt == "markdown":
-        return F.concat(F.lit(f"# {KINDS[kind][0]} Training Data\n\n**Total {KINDS[kind][1]}:** "), n, F.lit("\n"))
-    if fmt == "xml":
-        return F.concat(F.lit(f'<?xml version="1.0" ?>\n<{kind}'), _attribute("count", F.col("n_items")), F.lit(">"))
-    return F.lit("[")
+    The heading and ending may use `n_items`; a block may use `item_no` and the item's columns,
+    whose names it is given. Add an entry to `FORMATS` for a format of your own.
+    """
+
+    heading: Callable[[str], Column]
+    block: Callable[[str, list[str]], Column]
+    ending: Callable[[str], Column] | None = None
+
+
+FORMATS = {
+    "txt": DocumentFormat(
+        lambda kind: F.concat(F.lit(f"{TEXT_TITLE[kind]}\n{'=' * TEXT_WIDTH}\nTotal {KINDS[kind][1]}: "), _total(), F.lit("\n")),
+        _text_block,
+    ),
+    "markdown": DocumentFormat(
+        lambda kind: F.concat(F.lit(f"# {KINDS[kind][0]} Training Data\n\n**Total {KINDS[kind][1]}:** "), _total(), F.lit("\n")),
+        _markdown_block,
+    ),
+    "xml": DocumentFormat(
+        lambda kind: F.concat(F.lit(f'<?xml version="1.0" ?>\n<{kind}'), _attribute("count", F.col("n_items")), F.lit(">")),
+        _xml_block,
+        lambda kind: F.lit(f"</{kind}>\n"),
+    ),
+    "json": DocumentFormat(lambda kind: F.lit("["), _json_block, lambda kind: F.lit("]")),
+}
 
 
-def render_blocks(items: DataFrame, keys: list[str], kind: str, fmt: str, fields: list[str] | None = None) -> DataFrame:
+def render_blocks(items: DataFrame, keys: list[str], kind: str, fmt: str) -> DataFrame:
     """Blocks of the documents of numbered items, one document per value of `keys`.
 
     `items` has `item_no` (see `number_items`) and the fields of its kind, and may have
-    `source_file` and, for summaries, `original_text`. `fields` are the columns of JSON forms.
+    `source_file` and, for summaries, `original_text`.
     """
-    columns = items.columns
-    own = fields or [c for c in columns if c not in (*keys, "item_no")]
+    own = [c for c in items.columns if c not in (*keys, "item_no")]
     if fmt == "jsonl":
         return items.select(*keys, F.col("item_no").alias("block_no"), F.to_json(F.struct(*own)).alias("block"))
-    makers = {"txt": _text_block, "markdown": _markdown_block, "xml": _xml_block}
-    if fmt != "json" and fmt not in makers:
+    if fmt not in FORMATS:
         raise ValueError(f"unknown document format: {fmt}")
-    block = _json_block(own) if fmt == "json" else makers[fmt](kind, columns)
-    body = items.select(*keys, F.col("item_no").alias("block_no"), block.alias("block"))
-    ending = {"xml": f"</{kind}>\n", "json": "]"}.get(fmt)
-    frame = [F.struct(F.lit(0).cast("long").alias("block_no"), _heading(kind, fmt).alias("block"))]
-    if ending:
-        frame.append(F.struct((F.col("n_items") + 1).alias("block_no"), F.lit(ending).alias("block")))
+    layout = FORMATS[fmt]
+    body = items.select(*keys, F.col("item_no").alias("block_no"), layout.block(kind, own).alias("block"))
+    frame = [F.struct(F.lit(0).cast("long").alias("block_no"), layout.heading(kind).alias("block"))]
+    if layout.ending:
+        frame.append(F.struct((F.col("n_items") + 1).alias("block_no"), layout.ending(kind).alias("block")))
     counts = items.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_items"))
     return body.unionByName(counts.select(*keys, F.inline(F.array(*frame))))
 

@@ -228,7 +228,7 @@ _STYLE_ROWS = ", ".join(f"({quoted(s)}, {quoted(g)}, {quoted(p)})" for s, ps in
 ORACLES["prompt_styles"] = f"""
 WITH s(style, generator, prompt) AS (VALUES {_STYLE_ROWS}), g(generator) AS (VALUES ('conversations'), ('qa_pairs'), ('embeddings'), ('summaries')),
 d AS (SELECT doc_id, {one_of('doc_id', list(_STYLES))} AS style FROM documents)
-SELECT doc_id, x.style, x.generator, prompt FROM (SELECT * FROM d CROSS JOIN g) x LEFT JOIN s ON s.style = x.style AND s.generator = x.generator"""
+SELECT doc_id, x.style, x.generator, prompt, {case_of('x.generator', {g: quoted(p) for g, p in fixed.SYSTEM_PROMPTS.items()}, 'NULL')} AS system_prompt FROM (SELECT * FROM d CROSS JOIN g) x LEFT JOIN s ON s.style = x.style AND s.generator = x.generator"""
 
 # Answers by shape. `n` items each; shapes 6 and 7 give none.
 ANSWERS = f"""{GENERATORS}, {chunks("documents")},
@@ -502,7 +502,7 @@ WITH {IMAGES} SELECT path, page_num::BIGINT AS page_num, image_index::BIGINT AS
   round((least(1.0, area / 100000.0::DOUBLE) + least(1.0, ({_PIXEL}) / 3.0)) / 2, 6) AS epub_quality,
   CASE WHEN area > 500000 THEN 'high' WHEN area > 100000 THEN 'medium' ELSE 'low' END AS resolution,
   CASE WHEN n_colors IS NULL THEN 'many (>16M)' WHEN n_colors > 10000 THEN 'many (~' || n_colors // 1000 || 'K)' ELSE n_colors::VARCHAR END AS colors,
-  {_SINGLE} AS single_color FROM img"""
+  {_SINGLE} AS single_color, area < 1000 AS small_page, area < 10000 AS small_mixed, area < 1000 OR size_bytes < 1000 AS small_epub FROM img"""
 ORACLES["image_filter"] = f"""
 WITH {IMAGES} SELECT path, page_num::BIGINT AS page_num, image_index::BIGINT AS image_index, area::BIGINT AS area FROM img
 WHERE area >= 10000 AND coalesce(quality_score, 1.0) >= 0.3 AND NOT ({_SINGLE})"""

@@ -242,7 +242,8 @@ def prompt_fanout(spark, d):
 def prompt_styles(spark, d):
     docs = documents(spark, d).select("doc_id", derived.pick(F.col("doc_id"), STYLES).alias("style"))
     pairs = docs.select("*", F.explode(F.array(*map(F.lit, fixed.GENERATORS))).alias("generator"))
-    return pairs.withColumn("prompt", prompts.prompt_for(F.col("style"), F.col("generator")))
+    own = {"prompt": prompts.prompt_for(F.col("style"), F.col("generator")), "system_prompt": prompts.system_prompt(F.col("generator"))}
+    return pairs.withColumns(own)
 
 
 def _answers(spark, d) -> DataFrame:
@@ -713,6 +714,7 @@ def image_quality(spark, d):
         layout.resolution_class(i["area"]).alias("resolution"),
         layout.color_count_label(i["n_colors"]).alias("colors"),
         layout.is_single_color(F.col("color_counts"), i["area"]).alias("single_color"),
+        *[layout.is_small_image(i["area"], i["size_bytes"], s).alias(f"small_{s}") for s in ("page", "mixed", "epub")],
     )
 
 

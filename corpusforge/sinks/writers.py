@@ -51,12 +51,15 @@ def write_documents(blocks: DataFrame, path: str, keys: list[str], mode: str = "
     ordered.select(*keys, F.col("block").alias("value")).write.mode(mode).partitionBy(*keys).text(path)
 
 
+# Writers of a whole dataset by format name: items, path and keys. Any other name is a document
+# format; add an entry for a sink of your own.
+WRITERS = {"jsonl": write_jsonl, "csv": write_csv}
+
+
 def write_items(items: DataFrame, path: str, kind: str, fmt: str, keys: list[str]) -> None:
-    """Write items per document in one of `FORMATS`."""
-    if fmt == "jsonl":
-        write_jsonl(items, path, keys)
-    elif fmt == "csv":
-        write_csv(items, path, keys)
+    """Write items per document in a dataset format of `WRITERS` or a document format."""
+    if fmt in WRITERS:
+        WRITERS[fmt](items, path, keys)
     else:
         write_documents(render_blocks(items, keys, kind, fmt), path, keys)
 

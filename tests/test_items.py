@@ -96,9 +96,9 @@ def test_completion_hook_retries_and_reports(spark):
         return json.dumps({"echo": prompt})
 
     got = {r["doc_id"]: r for r in items.complete(prompts, call, max_retries=2, backoff=0.0, concurrency=2).collect()}
-    assert got[1]["raw"] == '{"echo": "good"}' and got[1]["attempt"] == 1
-    assert got[2]["raw"] is None and got[2]["error"] == "429 quota" and got[2]["attempt"] == 2
-    assert got[3]["raw"] and got[3]["attempt"] == 2 and got[3]["error"] is None
+    assert got[1]["raw"] == '{"echo": "good"}' and got[1]["calls"] == 1
+    assert got[2]["raw"] is None and got[2]["error"] == "429 quota" and got[2]["calls"] == 2
+    assert got[3]["raw"] and got[3]["calls"] == 2 and got[3]["error"] is None
 
 
 def test_long_conversation_is_cut_into_segments(spark):
