@@ -13,8 +13,17 @@ from corpusforge.operators.chunking import drop_blank_docs, explode_chunks, fan_
 from corpusforge.operators.quality import min_text_length, quality_gate
 from corpusforge.settings import Settings
 
-# The default prompts, each followed by the chunk.
-TEMPLATES = {g: fixed.DEFAULT_PROMPTS[g] + "\n\nContent:\n{chunk}" for g in fixed.GENERATORS}
+
+def templates_of(settings: Settings = Settings()) -> dict[str, str]:
+    """Template of each text generator: the custom ones, or else those of the style, each
+    followed by the chunk. A style without a prompt for a generator takes the default one."""
+    if settings.custom_prompts:
+        return {g: settings.custom_prompts[g] for g in settings.text_generators if g in settings.custom_prompts}
+    style = {**fixed.DEFAULT_PROMPTS, **fixed.STYLE_PROMPTS.get(settings.prompt_style, {})}
+    return {g: style[g] + "\n\nContent:\n{chunk}" for g in settings.text_generators if g in style}
+
+
+TEMPLATES = templates_of()
 
 
 def clean_documents(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -40,8 +49,7 @@ def corpus_cost(docs: DataFrame, catalog: DataFrame, routes: dict[str, tuple[str
 
     `routes` names the provider and model of each generator.
     """
-    templates = {g: TEMPLATES[g] for g in settings.text_generators}
-    prompts = prompts_of(document_chunks(docs, settings), templates)
+    prompts = prompts_of(document_chunks(docs, settings), templates_of(settings))
     pairs = [x for g, (p, m) in routes.items() for x in (F.lit(g), F.struct(F.lit(p).alias("p"), F.lit(m).alias("m")))]
     route = F.try_element_at(F.create_map(*pairs), F.col("generator"))
     calls = prompts.select(

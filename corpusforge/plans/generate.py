@@ -7,10 +7,9 @@ from typing import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusforge.functions.prompts import build_prompt
 from corpusforge.operators.chunking import drop_blank_docs, explode_chunks, fan_out
 from corpusforge.operators.items import complete, explode_items, rejects, retry_requests, with_items
-from corpusforge.plans.corpus import TEMPLATES
+from corpusforge.plans.corpus import prompts_of, templates_of
 from corpusforge.session import materialize
 from corpusforge.settings import Settings
 
@@ -18,12 +17,9 @@ KEYS = ("doc_id", "chunk_id", "generator")
 
 
 def text_prompts(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """A prompt for each chunk and text generator; custom prompts replace the defaults as a whole."""
-    templates = dict(settings.custom_prompts) or TEMPLATES
-    wanted = {g: templates[g] for g in settings.text_generators if g in templates}
+    """A prompt for each chunk and text generator; custom prompts replace the style as a whole."""
     chunks = explode_chunks(drop_blank_docs(documents), keep=["doc_id"], size=settings.chunk_size, overlap=settings.overlap)
-    prompt = build_prompt(F.col("template"), F.col("chunk")).alias("prompt")
-    return fan_out(chunks, wanted).select(*KEYS, prompt)
+    return prompts_of(chunks, templates_of(settings)).select(*KEYS, "prompt")
 
 
 def media_prompts(media: DataFrame, templates: dict[str, str]) -> DataFrame:

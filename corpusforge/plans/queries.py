@@ -888,6 +888,6 @@ def stream_corpus(spark, d):
 
 @query
 def stream_dedupe(spark, d):
-    docs = streaming.stream_table(spark, d, documents(spark, d).schema, "documents.parquet").select("text", "n_chars")
-    first = streaming.stream_dedupe(docs, F.col("text")).select("content_hash", "n_chars")
+    docs = streaming.stream_table(spark, d, documents(spark, d).schema, "documents.parquet").select("doc_id", "text", "n_chars")
+    first = streaming.stream_dedupe(docs, F.col("text"), spread_by=F.col("doc_id")).select("content_hash", "n_chars")
     return _run_stream(spark, first, "stream-dedupe")

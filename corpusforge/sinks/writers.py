@@ -59,7 +59,10 @@ WRITERS = {"jsonl": write_jsonl, "csv": write_csv}
 def write_items(items: DataFrame, path: str, kind: str, fmt: str, keys: list[str]) -> None:
     """Write items per document in a dataset format of `WRITERS` or a document format."""
     if fmt in WRITERS:
-        WRITERS[fmt](items, path, keys)
+        # Items of a document next to each other, so that it becomes one file and not one per
+        # task; the item number in the key lets a huge document spread over several.
+        near = [*keys, *(["item_no"] if "item_no" in items.columns else [])]
+        WRITERS[fmt](items.repartitionByRange(*near), path, keys)
     else:
         write_documents(render_blocks(items, keys, kind, fmt), path, keys)
 

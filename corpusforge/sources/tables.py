@@ -4,22 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-# A small table often sits in one file with one row group, which only one task can read. Up to
-# this size per core it is spread over the cores; larger tables are read as they are stored.
-SPREAD_BYTES_PER_CORE = 32 * 1024 * 1024
+# A scan with fewer splits than this per core is small, and may even sit in one row group that
+# only one task can read. Spreading it moves at most this many splits per core.
+SPLITS_PER_CORE = 2
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
-def table_bytes(df: DataFrame) -> int:
-    """Size of a scan by the optimiser's statistics (file sizes for a plain Parquet scan)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def is_small(df: DataFrame) -> bool:
-    return table_bytes(df) < df.sparkSession.sparkContext.defaultParallelism * SPREAD_BYTES_PER_CORE
+    """Whether a scan has too few splits to keep every core at work."""
+    return df.rdd.getNumPartitions() < SPLITS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism
 
 
 def spread(df: DataFrame) -> DataFrame:

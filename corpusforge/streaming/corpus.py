@@ -48,13 +48,25 @@ def corpus_chunks(docs: DataFrame, keep: list[str], text: str = "text", min_leng
     return explode_chunks(good, text, keep=keep)
 
 
-def stream_dedupe(docs: DataFrame, content: Column, event_time: str | None = None, delay: str = "1 day") -> DataFrame:
-    """First arrival of each content. With an event time, state older than `delay` is dropped;
-    without one the state grows with the number of different contents."""
-    hashed = docs.withColumn("content_hash", file_hash(content))
+def stream_dedupe(docs: DataFrame, content: Column, spread_by: Column | None = None, salts: int = 16,
+                  event_time: str | None = None, delay: str = "1 day") -> DataFrame:
+    """First arrival of each content.
+
+    `spread_by`, a column that differs between copies, splits the copies of one content over
+    `salts` tasks first, so that only one row per salt meets in the last step. With an event
+    time, state older than `delay` is dropped; without one the state grows with the number of
+    different contents.
+    """
+    first = docs.withColumn("content_hash", file_hash(content))
+    steps = [["content_hash"]]
+    if spread_by is not None:
+        first = first.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)))
+        steps = [["content_hash", "_salt"], ["content_hash"]]
     if event_time:
-        return hashed.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["content_hash"])
-    return hashed.dropDuplicates(["content_hash"])
+        first = first.withWatermark(event_time, delay)
+    for keys in steps:
+        first = first.dropDuplicatesWithinWatermark(keys) if event_time else first.dropDuplicates(keys)
+    return first.drop("_salt")
 
 
 def stream_metrics(run_log: DataFrame) -> DataFrame:

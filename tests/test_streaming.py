@@ -32,9 +32,10 @@ def test_only_new_files_are_read(spark, documents, tmp_path):
     assert spark.read.parquet(out).count() == documents.count()
 
 
-def test_stream_dedupe_over_batches(spark, documents, arrivals, tmp_path):
+@pytest.mark.parametrize("spread_by", [None, "doc_id"])
+def test_stream_dedupe_over_batches(spark, documents, arrivals, tmp_path, spread_by):
     stream = corpus.stream_table(spark, arrivals, documents.schema, "*.parquet", max_files=1)
-    first = corpus.stream_dedupe(stream, F.col("text")).select("content_hash")
+    first = corpus.stream_dedupe(stream, F.col("text"), F.col(spread_by) if spread_by else None).select("content_hash")
     corpus.append_to(first, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out"))
     assert got.count() == got.distinct().count() == dedupe.dedupe(documents, "doc_id").count()
@@ -43,7 +44,7 @@ def test_stream_dedupe_over_batches(spark, documents, arrivals, tmp_path):
 def test_stream_dedupe_with_event_time(spark, documents, arrivals, tmp_path):
     stream = corpus.stream_table(spark, arrivals, documents.schema, "*.parquet", max_files=1)
     timed = stream.withColumn("at", F.lit("2024-01-01").cast("timestamp"))
-    first = corpus.stream_dedupe(timed, F.col("text"), "at").select("content_hash")
+    first = corpus.stream_dedupe(timed, F.col("text"), F.col("doc_id"), event_time="at").select("content_hash")
     corpus.append_to(first, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 189
 
