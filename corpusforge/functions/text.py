@@ -36,6 +36,15 @@ def is_blank(text: Column) -> Column:
     return ~text.rlike(rf"[^{WS}]")
 
 
+def has_length(text: Column, n: int) -> Column:
+    """Whether the stripped text has at least `n` characters; reads no further than it must."""
+    if n <= 0:
+        return text.isNotNull()
+    if n == 1:
+        return ~is_blank(text)
+    return text.rlike(rf"(?s)\A[{WS}]*[^{WS}].{{{n - 2}}}.*?[^{WS}]")
+
+
 def let(value: Column, body) -> Column:
     """`body(value)` with `value` computed once per row, however often the body uses it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

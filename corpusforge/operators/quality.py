@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from corpusforge import fixed_values as fixed
 from corpusforge.functions.formats import file_ext
-from corpusforge.functions.text import WS, is_blank, strip, text_quality, word_count
+from corpusforge.functions.text import WS, has_length, has_words, is_blank, text_quality, word_count
 
 
 def min_text_length(text: Column, n: int = fixed.MIN_TEXT_LENGTH) -> Column:
     """Blank the text when its stripped form is shorter than `n`. Comes before cleaning."""
-    return F.when(F.length(strip(text)) < n, F.lit("")).otherwise(text)
+    return F.when(~has_length(text, n), F.lit("")).otherwise(text)
 
 
 def quality_status(
@@ -25,7 +25,7 @@ def quality_status(
     """`ok`, or why the document fails: `too_short`, `low_quality`, `no_content`."""
     images = F.lit(0) if valid_images is None else valid_images
     status = (
-        F.when(F.length(strip(text)) < min_length, "too_short")
+        F.when(~has_length(text, min_length), "too_short")
         .when(text_quality(text) < threshold, "low_quality")
         .when(is_blank(text) & (images == 0), "no_content")
         .otherwise("ok")
@@ -39,9 +39,9 @@ def quality_gate(docs: DataFrame, text: str = "text", **rules) -> DataFrame:
 
 def simple_extraction_check(text: Column, min_length: int = fixed.MIN_TEXT_LENGTH) -> Column:
     """Long enough, at least 10 words, words of 15 characters or fewer on average."""
-    words = word_count(text)
-    letters = F.length(F.regexp_replace(text, f"[{WS}]+", ""))
-    return (F.length(strip(text)) >= min_length) & (words >= 10) & (letters <= words * 15)
+    words = F.split(text, f"[{WS}]+", -1)
+    count = word_count(text)
+    return has_length(text, min_length) & has_words(text, 10) & (F.length(F.array_join(words, "")) <= count * 15)
 
 
 def admission(path: Column, size: Column, max_bytes: int = fixed.MAX_FILE_BYTES, extensions: list[str] | None = None) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from corpusforge import fixed_values as fixed
 from corpusforge.functions.formats import file_ext
-from corpusforge.functions.text import html_to_text, normalize_newlines, srt_to_text, strip, vtt_to_text
+from corpusforge.functions.text import has_length, html_to_text, normalize_newlines, srt_to_text, vtt_to_text
 from corpusforge.operators.pages import assemble_document
 from corpusforge.operators.quality import admission, page_filter
 
@@ -109,7 +109,7 @@ def read_epub(files: DataFrame) -> DataFrame:
 def epub_text(members: DataFrame, start: int = 1, end: int | None = None, skip: list[int] | None = None, min_length: int = 0) -> DataFrame:
     """Chapters of the wanted range to one text per book, each under its chapter line."""
     chapters = members.filter("kind = 'chapter'").select("path", F.col("member_no").alias("page_num"), html_to_text(F.col("html")).alias("text"))
-    wanted = page_filter(chapters, start, end, skip).filter(F.length(strip(F.col("text"))) >= min_length)
+    wanted = page_filter(chapters, start, end, skip).filter(has_length(F.col("text"), min_length))
     return assemble_document(wanted, headers="=== Chapter %d ===")
 
 

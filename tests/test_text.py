@@ -44,6 +44,12 @@ def test_words_and_strip_follow_unicode_white_space(spark):
     assert values(spark, texts, lambda t: text.has_words(t, 4)) == [len(t.split()) > 3 for t in texts]
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 10, 40])
+def test_has_length_is_the_stripped_length(spark, n):
+    texts = [*strange_texts(), "a" + " " * 50, " " * 50 + "a", "ab\n" * 20]
+    assert values(spark, texts, lambda t: text.has_length(t, n)) == [len(t.strip()) >= n for t in texts]
+
+
 def test_clean_text_on_strange_characters(spark):
     def expected(t):
         t = unicodedata.normalize("NFKC", t).replace("\r\n", "\n").replace("\r", "\n")
