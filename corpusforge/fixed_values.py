@@ -89,6 +89,7 @@ RETRY_PROMPT = (
     "Your output wasn't valid JSON. Please re-emit exactly valid JSON matching this schema:"
     "\n\n{schema}\n\nPrevious output:\n{previous}"
 )
+ECHO_ANSWER = "Local model result for prompt: {prompt}... (implement your logic here)."
 DEFAULT_PROMPTS = {
     "conversations": "Create a natural conversation between a user and an AI assistant based on this content.",
     "qa_pairs": "Generate questions and answers based on this content.",

@@ -22,6 +22,7 @@ class Generator:
     schema: str
     fields: dict[str, str]
     wrap: str | None = None  # field that takes a bare string item
+    parse: Callable[[Column], Column] | None = None  # own way from a parsed answer to an array of items
 
 
 GENERATORS = {
@@ -87,21 +88,22 @@ def parse_items(value: Column, generator: Column, generators: dict[str, Generato
         if g.wrap:
             text = F.try_variant_get(value, f"$.{g.wrap}", "string")
             options.append(F.when(text.isNotNull(), _list_at(F.try_parse_json(F.to_json(F.array(text))), "$")))
-        found = F.when(generator == g.name, F.coalesce(*options)).otherwise(found)
+        own = g.parse(value) if g.parse else F.coalesce(*options)
+        found = F.when(generator == g.name, own).otherwise(found)
     return (
         F.when(kind.startswith("ARRAY"), _list_at(value, "$"))
         .when(kind.startswith("OBJECT"), F.coalesce(_list_at(value, "$.items"), found, F.array(value)))
     )
 
 
-def with_items(completions: DataFrame, raw: str = "raw") -> DataFrame:
+def with_items(completions: DataFrame, raw: str = "raw", generators: dict[str, Generator] = GENERATORS) -> DataFrame:
     """Add `item_list`, and `reason` where an answer gives no items.
 
     The answer is parsed once per row: the parsed value is bound inside one expression.
     """
 
     def judge(value: Column) -> Column:
-        return let(parse_items(value, F.col("generator")), lambda found: _verdict(F.col(raw), value, found))
+        return let(parse_items(value, F.col("generator"), generators), lambda found: _verdict(F.col(raw), value, found))
 
     answer = completions.withColumn("_answer", let(parse_json(F.col(raw)), judge))
     return answer.select("*", "_answer.item_list", "_answer.reason").drop("_answer")
@@ -282,4 +284,4 @@ def complete(
 
 def echo(prompt: str, *media: str) -> str:
     """A stand-in completion function for trials without a service."""
-    return f"Local model result for prompt: {prompt[:50]}... (implement your logic here)."
+    return fixed.ECHO_ANSWER.format(prompt=prompt[:50])

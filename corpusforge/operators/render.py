@@ -39,7 +39,6 @@ TEXT_RULE = {"conversations": 30, "qa_pairs": 20, "embeddings": 25, "summaries":
 TEXT_WIDTH = 50
 TEXT_EXCERPT = 200
 MARKDOWN_EXCERPT = 500
-EXTENSIONS = {"jsonl": ".jsonl", "json": ".json", "csv": ".csv", "txt": ".txt", "markdown": ".markdown", "xml": ".xml"}
 
 
 def number_items(items: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

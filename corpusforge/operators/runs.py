@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,29 +11,76 @@ from corpusforge import fixed_values as fixed
 from corpusforge.operators.running import OrderedRows, RowNumber, RunningMax, RunningSum
 
 
-def failure_streaks(run_log: DataFrame) -> DataFrame:
-    """The log with `streak` (failures in a row up to here), `successes` and `elapsed` so far."""
+@dataclass(frozen=True)
+class RunState:
+    """Where a run stands after the rows seen so far; one row, whatever the size of the log."""
+
+    streak: int = 0
+    max_streak: int = 0
+    successes: int = 0
+    elapsed: float = 0.0
+    quota: bool = False
+
+    def reason(self, max_failures: int = fixed.MAX_CONSECUTIVE_FAILURES, max_files: int | None = None,
+               max_seconds: float | None = None, on_quota: bool = True) -> str | None:
+        """Why the run should not go on under these limits."""
+        if self.max_streak >= max_failures:
+            return "consecutive failures"
+        if max_seconds is not None and self.elapsed >= max_seconds:
+            return "time limit"
+        if max_files is not None and self.successes >= max_files:
+            return "file limit"
+        return "quota exceeded" if on_quota and self.quota else None
+
+
+def failure_streaks(run_log: DataFrame, start: RunState = RunState()) -> DataFrame:
+    """The log with `streak` (failures in a row up to here), `successes` and `elapsed` so far,
+    going on from `start`."""
     rows = OrderedRows(run_log, [], ["seq"]).add(
-        _n=RowNumber(), successes=RunningSum(F.col("success").cast("long")), elapsed=RunningSum(F.col("seconds"))
+        _n=RowNumber(), _ok=RunningSum(F.col("success").cast("long")), _seconds=RunningSum(F.col("seconds"))
     )
     rows = rows.add(_last_ok=RunningMax(F.when(F.col("success"), F.col("_n"))))
-    streak = F.col("_n") - F.coalesce(F.col("_last_ok"), F.lit(0))
-    return rows.rows.withColumn("streak", streak).drop("_n", "_last_ok")
+    added = {
+        "streak": F.col("_n") - F.coalesce(F.col("_last_ok"), F.lit(-start.streak)),
+        "successes": F.col("_ok") + start.successes,
+        "elapsed": F.col("_seconds") + start.elapsed,
+    }
+    return rows.rows.withColumns(added).drop("_n", "_ok", "_seconds", "_last_ok")
+
+
+def run_state(run_log: DataFrame, start: RunState = RunState()) -> RunState:
+    """The state after these rows (an aggregate of one row, read by the driver)."""
+    last = failure_streaks(run_log, start).agg(
+        F.max_by("streak", "seq").alias("streak"),
+        F.max("streak").alias("max_streak"),
+        F.max("successes").alias("successes"),
+        F.max("elapsed").alias("elapsed"),
+        F.max(~F.col("success") & _mentions_quota()).alias("quota"),
+    ).first()
+    if last["streak"] is None:
+        return start
+    return RunState(
+        last["streak"], max(start.max_streak, last["max_streak"]), last["successes"], last["elapsed"], start.quota or last["quota"]
+    )
 
 
-def stop_reason(max_failures: int = fixed.MAX_CONSECUTIVE_FAILURES, max_files: int | None = None, max_seconds: float | None = None,
-                on_quota: bool = True) -> Column:
-    """Why a run would stop after a row, null to go on. Limits come before the quota message."""
+def _mentions_quota() -> Column:
     message = F.lower(F.coalesce(F.col("error"), F.lit("")))
     quota = F.lit(False)
     for word in fixed.QUOTA_WORDS:
         quota = quota | message.contains(word)
+    return quota
+
+
+def stop_reason(max_failures: int = fixed.MAX_CONSECUTIVE_FAILURES, max_files: int | None = None, max_seconds: float | None = None,
+                on_quota: bool = True) -> Column:
+    """Why a run would stop after a row, null to go on. Limits come before the quota message."""
     reason = F.when(F.col("streak") >= max_failures, "consecutive failures")
     if max_seconds is not None:
         reason = reason.when(F.col("elapsed") >= max_seconds, "time limit")
     if max_files is not None:
         reason = reason.when(F.col("successes") >= max_files, "file limit")
-    return reason.when(~F.col("success") & quota, "quota exceeded") if on_quota else reason
+    return reason.when(~F.col("success") & _mentions_quota(), "quota exceeded") if on_quota else reason
 
 
 def auto_stop_point(run_log: DataFrame, **limits) -> DataFrame:

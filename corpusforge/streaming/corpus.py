@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import astuple
 from typing import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +15,7 @@ from corpusforge.functions.formats import file_hash
 from corpusforge.functions.text import clean_text
 from corpusforge.operators.chunking import explode_chunks
 from corpusforge.operators.quality import min_text_length, quality_gate
-from corpusforge.operators.runs import auto_stop_point
+from corpusforge.operators.runs import RunState, run_state
 
 
 def stream_files(spark: SparkSession, folder: str, pattern: str | None = None, max_files: int = 1000) -> DataFrame:
@@ -91,22 +92,37 @@ class AutoStop(Exception):
     """Raised before a micro-batch when the run has met one of its limits."""
 
 
-def run_with_auto_stop(log: DataFrame, sink: Callable[[DataFrame, int], None], history: Callable[[SparkSession], DataFrame | None],
-                       checkpoint: str, available_now: bool = True, **limits) -> StreamingQuery:
-    """Append each micro-batch of a run log until the stored log meets a limit.
+STATE_SCHEMA = "batch_id long, streak long, max_streak long, successes long, elapsed double, quota boolean"
 
-    `sink` appends a batch to the log table and `history` reads that table back (None while it
-    does not exist), so the decision is over the whole run and holds after a restart. A batch
-    after the limit is refused before it is stored: it stays uncommitted and nothing is lost.
+
+def _state_before(spark: SparkSession, path: str, batch_id: int) -> RunState:
+    """The state stored by the latest earlier batch: one row of a table of one row per batch."""
+    fields = [c.split(" ")[0] for c in STATE_SCHEMA.split(", ")[1:]]
+    rows = spark.read.schema(STATE_SCHEMA).json(path).filter(F.col("batch_id") < batch_id)
+    last = rows.agg(F.max_by(F.struct(*fields), "batch_id").alias("s")).first()["s"]
+    return RunState(*last) if last else RunState()
+
+
+def run_with_auto_stop(log: DataFrame, sink: Callable[[DataFrame, int], None], state_path: str, checkpoint: str,
+                       available_now: bool = True, **limits) -> StreamingQuery:
+    """Hand each micro-batch of a run log to `sink` until the run meets a limit.
+
+    Each batch goes on from the stored state of the one before, so its cost does not grow with
+    the run, and the decision holds after a restart. A batch after the limit is refused before
+    it is handed on: it stays uncommitted and nothing is lost. `sink` must be idempotent per
+    batch id, since Spark may hand a batch again after a failure.
     """
+    log.sparkSession.createDataFrame([], STATE_SCHEMA).write.mode("append").json(state_path)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        stored = history(batch.sparkSession)
-        if stored is not None:
-            reason = auto_stop_point(stored, **limits).first()["reason"]
-            if reason:
-                raise AutoStop(reason)
+        spark = batch.sparkSession
+        before = _state_before(spark, state_path, batch_id)
+        reason = before.reason(**limits)
+        if reason:
+            raise AutoStop(reason)
         sink(batch, batch_id)
+        after = astuple(run_state(batch, before))
+        spark.createDataFrame([(batch_id, *after)], STATE_SCHEMA).coalesce(1).write.mode("append").json(state_path)
 
     writer = log.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer

@@ -32,6 +32,15 @@ def test_item_counts(spark, generator, raw, n):
     assert items.explode_items(listed(spark, (generator, raw))).count() == n
 
 
+def test_a_generator_of_ones_own(spark):
+    lines = items.Generator("lines", (), "", {"text": "string"}, parse=lambda v: F.try_variant_get(v, "$.body.lines", "array<variant>"))
+    df = spark.createDataFrame([(1, 0, "lines", 1, '{"body": {"lines": [{"text": "a"}, {"text": "b"}]}}')], KEYS)
+    own = {**items.GENERATORS, "lines": lines}
+    found = items.explode_items(items.with_items(df, generators=own))
+    assert [r["text"] for r in items.typed_items(found, "lines", own).orderBy("item_no").collect()] == ["a", "b"]
+    assert items.echo("p" * 60).startswith("Local model result for prompt: " + "p" * 50 + "...")
+
+
 def test_reasons(spark):
     got = items.rejects(listed(spark, ("qa_pairs", "sorry"), ("qa_pairs", "42"), ("qa_pairs", "[]"), ("qa_pairs", None), ("qa_pairs", "[1]")))
     assert {r["doc_id"]: r["reason"] for r in got.collect()} == {0: "not_json", 1: "unexpected_type", 2: "empty", 3: "pending"}

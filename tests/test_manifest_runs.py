@@ -26,6 +26,19 @@ def test_auto_stop_golden(spark):
     assert runs.auto_stop_point(log_of(spark, [1, 0], "QUOTA"), on_quota=False).first()["reason"] is None
 
 
+def test_state_goes_on_from_batch_to_batch(spark):
+    flags = [1, 0, 0, 0, 1, 1, 0, 0]
+    whole = runs.run_state(log_of(spark, flags, "429"))
+    assert whole == runs.RunState(streak=2, max_streak=3, successes=3, elapsed=16.0, quota=True)
+    log, state = log_of(spark, flags, "429"), runs.RunState()
+    for low, high in ((0, 2), (3, 3), (4, 6), (7, 9)):
+        state = runs.run_state(log.filter(F.col("seq").between(low, high)), state)
+    assert state == whole
+    assert runs.run_state(log.limit(0), whole) == whole
+    assert whole.reason() == "consecutive failures" and whole.reason(9, max_seconds=16) == "time limit"
+    assert whole.reason(9, max_files=3) == "file limit" and whole.reason(9) == "quota exceeded" and whole.reason(9, on_quota=False) is None
+
+
 def test_checkpoint_halves(spark):
     log = log_of(spark, [1, 0, 0, 0, 1])
     got = {r["seq"]: r["state"] for r in runs.checkpoint_split(log).collect()}

@@ -77,13 +77,10 @@ def test_auto_stop_refuses_the_next_batch_and_loses_nothing(spark, tmp_path):
         rows = [(3 * i + j, f"f{3 * i + j}", bool(ok), 1.0, None) for j, ok in enumerate(flags)]
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(source))
 
-    def history(session):
-        return session.read.schema(schema).parquet(table) if (tmp_path / "log").exists() else None
-
     def start(**limits):
         stream = corpus.stream_table(spark, str(source), spark.createDataFrame([], schema).schema, "*.parquet", max_files=1)
         sink = lambda batch, batch_id: batch.write.mode("append").parquet(table)
-        return corpus.run_with_auto_stop(stream, sink, history, str(tmp_path / "cp"), **limits)
+        return corpus.run_with_auto_stop(stream, sink, str(tmp_path / "state"), str(tmp_path / "cp"), **limits)
 
     with pytest.raises(StreamingQueryException, match="consecutive failures"):
         start().awaitTermination()
