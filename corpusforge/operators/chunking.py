@@ -18,6 +18,11 @@ from corpusforge import fixed_values as fixed
 from corpusforge.functions.text import LINE_BREAK, is_blank, let, strip
 
 
+# Overlaps up to this size are safe for the matcher's stack whatever the characters (see `_narrow`).
+SAFE_OVERLAP = 500
+WIDE = r"[\x{10000}-\x{10ffff}]"
+
+
 def _segment_pattern(size: int, overlap: int) -> str:
     """Cut a text at the ends of its chunks.
 
@@ -53,8 +58,27 @@ def _carry(segments: Column, i: Column, size: int, overlap: int) -> Column:
     return F.when(i == 0, "").otherwise(F.right(before, F.lit(overlap)))
 
 
+def _narrow(text: Column) -> Column:
+    """The text with wide (supplementary) characters replaced by narrow ones, length unchanged.
+
+    The matcher recurses where narrow and wide characters alternate inside a bounded repetition
+    of the dot, and a long one could exhaust its stack.
+    """
+    return F.regexp_replace(text, WIDE, "\ufffd")
+
+
 def _segments(text: Column, size: int, overlap: int) -> Column:
-    return F.regexp_extract_all(text, F.lit(_segment_pattern(size, overlap)), 0)
+    pattern = F.lit(_segment_pattern(size, overlap))
+    plain = F.regexp_extract_all(text, pattern, 0)
+    if overlap <= SAFE_OVERLAP:
+        return plain
+    # Segments of the narrow text; a text with wide characters is then cut by their lengths.
+    cut = lambda acc, s: F.struct(
+        (acc["at"] + F.length(s)).alias("at"), F.array_append(acc["out"], text.substr(acc["at"], F.length(s))).alias("out")
+    )
+    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<string>").alias("out"))
+    by_length = F.aggregate(F.regexp_extract_all(_narrow(text), pattern, 0), start, cut, lambda acc: acc["out"])
+    return F.when(text.rlike(WIDE), by_length).otherwise(plain)
 
 
 def _tail(segments: Column, size: int, overlap: int) -> Column:
@@ -117,28 +141,40 @@ def drop_contained_tail(spans: Column) -> Column:
 
 
 def chunk_paragraph(text: Column, size: int = fixed.CHUNK_SIZE) -> Column:
-    """Paragraphs merged in order while they fit; an oversize paragraph stays whole."""
-    paragraphs = F.filter(F.transform(F.split(text, "\n\n", -1), strip), lambda p: p != "")
-
-    def add(acc: Column, p: Column) -> Column:
-        fits = F.length(acc["cur"]) + F.length(p) + 2 <= size
-        done = F.when(fits | (acc["cur"] == ""), acc["done"]).otherwise(F.array_append(acc["done"], acc["cur"]))
-        cur = F.when(fits & (acc["cur"] != ""), F.concat(acc["cur"], F.lit("\n\n"), p)).otherwise(p)
-        return F.struct(done.alias("done"), cur.alias("cur"))
-
-    return F.aggregate(
-        paragraphs,
-        F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur")),
-        add,
-        lambda acc: F.when(acc["cur"] == "", acc["done"]).otherwise(F.array_append(acc["done"], acc["cur"])),
-    )
+    """Paragraphs merged in order while they fit; an oversize paragraph stays whole.
+
+    On the stripped paragraphs joined again, a chunk is the longest piece of at most `size`
+    characters that ends at a paragraph, or else the first paragraph. For a text with wide
+    characters, matching its narrow form tells how many paragraphs each chunk takes, and the
+    chunks are slices of the paragraphs.
+    """
+    end = r"(?=\n\n|\z)"
+    pattern = F.lit(rf"(?s)(.{{1,{size}}}{end}|.+?{end})(?:\n\n|\z)")
+    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<at:int,n:int>>").alias("out"))
+
+    def place(acc: Column, piece: Column) -> Column:
+        n = ((F.length(piece) - F.length(F.replace(piece, F.lit("\n\n"), F.lit("")))) / 2 + 1).cast("int")
+        slot = F.struct(acc["at"].alias("at"), n.alias("n"))
+        return F.struct((acc["at"] + n).alias("at"), F.array_append(acc["out"], slot).alias("out"))
+
+    def build(paragraphs: Column) -> Column:
+        joined = F.array_join(paragraphs, "\n\n")
+        pieces = F.regexp_extract_all(_narrow(joined), pattern, 1)
+        slots = F.aggregate(pieces, start, place, lambda acc: acc["out"])
+        slices = F.transform(slots, lambda s: F.array_join(F.slice(paragraphs, s["at"], s["n"]), "\n\n"))
+        return F.when(joined.rlike(WIDE), slices).otherwise(pieces)
+
+    return let(F.filter(F.transform(F.split(text, "\n\n", -1), strip), lambda p: p != ""), build)
 
 
 def chunk_lines(text: Column, lines_per_chunk: int = fixed.LINES_PER_CHUNK) -> Column:
     """Groups of consecutive lines, stripped, blank groups dropped."""
-    flat = F.concat(F.regexp_replace(text, LINE_BREAK, "\n"), F.lit("\n"))
-    groups = F.regexp_extract_all(flat, F.lit(rf"(?:[^\n]*\n){{1,{lines_per_chunk}}}"), 0)
-    return F.filter(F.transform(groups, strip), lambda c: c != "")
+
+    def groups(rows: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(rows), F.lit(lines_per_chunk))
+        return F.transform(starts, lambda at: strip(F.array_join(F.slice(rows, at, F.lit(lines_per_chunk)), "\n")))
+
+    return F.filter(let(F.split(text, LINE_BREAK, -1), groups), lambda c: c != "")
 
 
 def chunk_separator(text: Column, separator: str = fixed.CHUNK_SEPARATOR) -> Column:

@@ -80,10 +80,18 @@ def test_contained_tail_can_be_dropped(one):
     assert [s["chunk"] for s in spans] == ["aaaa bbbb cccc.", "bb cccc. dddd eeee f", "d eeee ffff gggg"]
 
 
-def test_long_text_of_wide_characters(one):
-    """Mixed narrow and wide characters must not exhaust the matcher."""
-    text = "a😀" * 30000
-    assert one(chunking.chunk_default(F.col("t")), t=text) == [c for _, _, c in windows(text, 4000, 200)]
+@pytest.mark.parametrize("size, overlap", [(4000, 200), (4000, 500), (4000, 2000), (60000, 20000)])
+def test_long_text_of_wide_characters(one, size, overlap):
+    """Alternating narrow and wide characters must not exhaust the matcher's stack."""
+    text = ("a😀" * 700 + "b.") * 60
+    assert one(chunking.chunk_default(F.col("t"), size, overlap), t=text) == [c for _, _, c in windows(text, size, overlap)]
+    spans = one(chunking.chunk_spans(F.col("t"), size, overlap), t=text)
+    assert [(s["start"], s["end"], s["chunk"]) for s in spans] == windows(text, size, overlap)
+
+
+def test_many_lines_in_a_chunk(one):
+    text = "one é😀 line\n" * 30000
+    assert [len(c) for c in one(chunking.chunk_lines(F.col("t"), 20000), t=text)] == [20000 * 12 - 1, 10000 * 12 - 1]
 
 
 @pytest.mark.parametrize("size", [5, 9, 40])
@@ -91,6 +99,11 @@ def test_paragraphs(spark, texts, size):
     assert collect(spark, texts, lambda t: chunking.chunk_paragraph(t, size)) == [merged(t, size) for t in texts]
 
 
+def test_many_and_wide_paragraphs(one):
+    text = "\n\n".join(["a😀b" * 30, "one é line", "two"] * 4000)
+    assert one(chunking.chunk_paragraph(F.col("t"), 900), t=text) == merged(text, 900)
+
+
 def test_paragraph_golden(one):
     text = "aa\n\nbbb\n\ncccc\n\n" + "d" * 13
     assert one(chunking.chunk_paragraph(F.col("t"), 9), t=text) == ["aa\n\nbbb", "cccc", "d" * 13]
