@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusforge.llm import packing, wavelet
+from corpusforge.llm import decontamination, line_rules, packing, wavelet
 from corpusforge.session import shared_dir
 from corpusforge.sources.tables import read_table
 
@@ -20,6 +20,12 @@ def query(fn):
     return fn
 
 
+@query
+def op1_decontamination(spark: SparkSession, d: str) -> DataFrame:
+    found = decontamination.contaminated(read_table(spark, d, "documents"), read_table(spark, d, "benchmark"))
+    return found.select("doc_id", "item_id", "containment", "n_found", "n_shingles")
+
+
 @query
 def op2_packing(spark: SparkSession, d: str) -> DataFrame:
     docs = read_table(spark, d, "documents")
@@ -27,6 +33,11 @@ def op2_packing(spark: SparkSession, d: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+@query
+def op9_line_rules(spark: SparkSession, d: str) -> DataFrame:
+    return line_rules.quality_rules(read_table(spark, d, "documents"))
+
+
 @query
 def op10_token_files(spark: SparkSession, d: str) -> DataFrame:
     docs = read_table(spark, d, "documents")
