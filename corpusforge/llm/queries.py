@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusforge.llm import decontamination, line_rules, packing, simhash, wavelet
+from corpusforge.llm import decontamination, line_rules, packing, simhash, suffix_dedup, wavelet
 from corpusforge.session import shared_dir
 from corpusforge.sources.tables import read_table
 
@@ -38,6 +38,11 @@ def op3_simhash(spark: SparkSession, d: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, d, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+@query
+def op8_suffix_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(read_table(spark, d, "documents"))
+
+
 @query
 def op9_line_rules(spark: SparkSession, d: str) -> DataFrame:
     return line_rules.quality_rules(read_table(spark, d, "documents"))

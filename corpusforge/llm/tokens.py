@@ -10,7 +10,7 @@ import numpy as np
 
 from corpusforge.llm.arrays import fold_table, prefix_hash, ragged, span_hash
 
-KEEP = 3_000_000
+KEEP = 1_500_000
 _SPACES = np.zeros(256, bool)
 _SPACES[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
 _LETTERS = np.zeros(256, bool)
