@@ -7,16 +7,44 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusforge.llm import packing
+from corpusforge.llm import decontamination, packing, simhash, suffix_dedup, toxicity
 from corpusforge.session import shared_dir
 from corpusforge.sources.tables import read_table
 
 
-def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents predicted toxic go; the model learns from all labels and the texts of the given documents."""
+    return toxicity.reject_toxic(docs, toxicity.train(read_table(spark, sf_dir, "labels"), docs))
+
+
+def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document of the least doc_id stays."""
+    return simhash.deduplicate(docs)
+
+
+def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 200 bytes or more that stand twice are cut out of the texts; every document stays."""
+    return suffix_dedup.remove_repeats(docs, length=200, figures=False)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    return decontamination.decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left, in sequences of 4096 tokens."""
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), 2)
 
 
-STAGES = [("packing", pack_stage)]
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("simhash", simhash_stage),
+    ("suffix_dedup", suffix_stage),
+    ("decontamination", decontamination_stage),
+    ("packing", packing_stage),
+]
+# No SQL can express the fingerprints, the classifier or the tokens; tests/llm compares with brute force.
 ORACLE_SQL = None
 
 

@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusforge.llm import decontamination, line_rules, packing, simhash, suffix_dedup, wavelet
+from corpusforge.llm import decontamination, line_rules, packing, simhash, suffix_dedup, toxicity, wavelet
+from corpusforge.llm.folds import fold
 from corpusforge.session import shared_dir
 from corpusforge.sources.tables import read_table
 
@@ -38,6 +39,14 @@ def op3_simhash(spark: SparkSession, d: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, d, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+@query
+def op5_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    docs, labels = read_table(spark, d, "documents"), read_table(spark, d, "labels")
+    model = toxicity.train(labels.filter(fold(F.col("doc_id"), 5) != 0), docs)
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
 @query
 def op8_suffix_dedup(spark: SparkSession, d: str) -> DataFrame:
     return suffix_dedup.remove_repeats(read_table(spark, d, "documents"))
