@@ -50,7 +50,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
     This cuts lineage in a way that survives lost executors, keeps column pruning for the
     readers, and fixes values such as partition ids that would otherwise be recomputed.
+    `discard` deletes the table when nothing reads it any more.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables written by `materialize`; only folders directly under the shared folder are touched."""
+    for table in tables:
+        spark = table.sparkSession
+        files = table.inputFiles()
+        if not files:
+            continue
+        folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        if folder.getParent().equals(store.makeQualified(spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark)))):
+            store.delete(folder, True)
