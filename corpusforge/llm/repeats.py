@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from corpusforge.llm.arrays import prefix_hash, span_hash
+from corpusforge.llm.arrays import powers, prefix_hash
 
 GRAM = 16
 
@@ -36,16 +36,17 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarr
     if len(raw) >= length:
         prefix = prefix_hash(raw)
         at = np.arange(len(raw) - GRAM + 1)
-        grams = span_hash(prefix, at, at + GRAM)
+        # A weak hash will do here: it only has to be the same for equal grams.
+        grams = (prefix[GRAM:] - prefix[:-GRAM]) * powers(len(prefix))[1][: len(at)]
         # The place in the low bits makes values unique, and of equal grams the first the least.
-        ranks = (grams & ~np.uint64((1 << 26) - 1)) | (at.astype(np.uint64) & np.uint64((1 << 26) - 1))
+        ranks = (grams & ~np.uint64((1 << 32) - 1)) | (at.astype(np.uint64) & np.uint64((1 << 32) - 1))
         for text in np.flatnonzero(sizes >= length):
             a, b = int(offsets[text]), int(offsets[text + 1])
             own = ranks[a : b - length + width]
             least = sliding_minimum(own, width)
             least = least[: b - a - length + 1]
             change = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
-            place = (least[change] & np.uint64((1 << 26) - 1)).astype(np.int64)
+            place = (least[change] & np.uint64((1 << 32) - 1)).astype(np.int64)
             last = np.append(change[1:], len(least)) - 1
             out.append((np.full(len(change), text), place, change + a, last + a))
     if not out:

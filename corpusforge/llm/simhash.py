@@ -20,6 +20,8 @@ BITS = 64
 BLOCK = 4096
 # Buckets known to be that few are told to all executors; else the join shuffles.
 BROADCAST_ROWS = 500_000
+# A row sent and sorted costs about as much as so many comparisons of two prints.
+ROW_COST = 200.0
 
 
 def text_fingerprints(raw: np.ndarray, offsets: np.ndarray, size: int, seed: int) -> np.ndarray:
@@ -119,7 +121,7 @@ def allocate(n: int, share: np.ndarray, groups: list[list[int]], distance: int)
         costs = {-1: 0.0}
         for t in range(0, min(distance, len(group)) + 1):
             probes = sum(comb(len(group), k) for k in range(t + 1))
-            costs[t] = n * probes * 4.0 + n * n * chance[: t + 1].sum()
+            costs[t] = n * probes * ROW_COST + n * n * chance[: t + 1].sum()
         following: dict[int, tuple[float, list[int]]] = {}
         for so_far, (cost, chosen) in best.items():
             for t, extra in costs.items():

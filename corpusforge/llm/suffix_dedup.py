@@ -31,9 +31,11 @@ from pyspark.sql import functions as F
 from corpusforge.llm.arrays import mix, prefix_hash, ragged, slices, span_hash, text_bytes
 from corpusforge.llm.lcp_merge import decode_run, encode_run, merge_runs
 from corpusforge.llm.repeats import anchors
-from corpusforge.session import materialize
+from corpusforge.session import discard, materialize
 
 ROW = "_repeats_row"
+# Rows of three numbers at most: under 100 MB in memory.
+BROADCAST_ROWS = 1_000_000
 _SECOND = np.random.default_rng(77).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 
 
@@ -43,6 +45,11 @@ def _release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def _known(table: DataFrame) -> DataFrame:
+    """The table, told to all executors if it has been counted to be small; else the join shuffles."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def _code(place: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """Place of an anchor in its text, and how far before it its strings start, in one number."""
     return (place << 24) | ((place - first) << 12) | (place - last)
@@ -65,8 +72,7 @@ class Finder:
         self.table = f"repeats_{uuid.uuid4().hex}"
         rows = docs.withColumn(ROW, F.monotonically_increasing_id()).repartition(self.tasks, ROW)
         # Bucketed by row, so that no later step shuffles a text again.
-        rows.write.bucketBy(self.tasks, ROW).format("parquet").saveAsTable(self.table)
-        _release(self.spark)
+        rows.write.bucketBy(self.tasks, ROW).format("parquet").option("compression", "zstd").saveAsTable(self.table)
 
     def rows(self) -> DataFrame:
         return self.spark.table(self.table)
@@ -96,13 +102,15 @@ class Finder:
 
         return self._texts().mapInArrow(run, f"{ROW} long, code long, seed long, head long")
 
-    def survivors(self) -> DataFrame:
-        """Anchors whose suffix hash stands at two places or more."""
+    def survivors(self) -> tuple[DataFrame, list[int]]:
+        """Anchors whose suffix hash stands at two places or more, and heads that part all anchors evenly."""
         found = materialize(self.anchors(), "anchors")
-        twice = found.groupBy("seed").agg(F.count("*").alias("n")).filter("n > 1").select("seed")
-        kept = materialize(found.join(twice, "seed", "left_semi"), "survivors")
-        _release(self.spark)
-        return kept
+        twice = materialize(found.groupBy("seed").agg(F.count("*").alias("n")).filter("n > 1").select("seed"), "seeds")
+        kept = materialize(found.select(ROW, "code", "seed").join(_known(twice), "seed", "left_semi").select(ROW, "code"), "survivors")
+        points = [i / self.tasks for i in range(1, self.tasks)]
+        cuts = found.agg(F.percentile_approx("head", points, 10_000).alias("p")).first()["p"] if points else []
+        discard(found, twice)
+        return kept, sorted(set(cuts or []))
 
     def _with_texts(self, kept: DataFrame, codes: str = "code") -> DataFrame:
         """Texts with the anchors wanted in them; only the anchors move."""
@@ -209,12 +217,16 @@ class Finder:
         return runs.mapInArrow(run, "seed long, mixed boolean").groupBy("seed").agg(F.bool_or("mixed").alias("mixed"), F.count("*").alias("classes"))
 
     def strings(self, chosen: DataFrame) -> DataFrame:
-        """(bucket, block): the strings of the chosen anchors by 96-bit hash, equal ones within a slice settled there."""
+        """(bucket, hashed, block): the strings of the chosen anchors.
+
+        Strings equal within a slice are settled there: their spans go out as they are, and one of them,
+        marked as repeated, stands for them among the hashed ones.
+        """
         length, tasks = self.length, self.tasks
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tool = zstandard.ZstdCompressor(level=1)
-            for batch in slices(batches, most=1 << 20):
+            for batch in slices(batches, most=2 << 20):
                 raw, offsets = text_bytes(batch.column("text"))
                 codes = batch.column("codes")
                 code = codes.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
@@ -226,42 +238,40 @@ class Finder:
                 b = span_hash(prefix_hash(raw, _SECOND), place, place + length) & np.uint64(0xFFFFFFFF)
                 row = batch.column(ROW).to_numpy()[owner]
                 where = place - offsets[owner]
-                order = np.lexsort((where, row, b, a))
+                order = np.lexsort((b, a))
                 a, b, row, where = a[order], b[order], row[order], where[order]
-                fresh = np.ones(len(a), bool)
-                same = (row[1:] == row[:-1]) & (where[1:] == where[:-1]) & (a[1:] == a[:-1])
-                fresh[1:] = ~same
-                a, b, row, where = a[fresh], b[fresh], row[fresh], where[fresh]
                 head = np.ones(len(a), bool)
                 head[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-                follows = np.append(~head[1:], False) if len(a) else head
-                settled = ~head | follows
-                # Of equal strings here one goes on, marked as repeated; all are reported now.
-                bucket = (mix(a) % np.uint64(tasks)).astype(np.int64)
+                settled = ~head | np.append(~head[1:], False)
                 out = []
                 if settled.any():
-                    out.append((-1, _block(tool, a[settled], b[settled], row[settled], where[settled], settled[settled])))
+                    found = _spans(row[settled], where[settled], length)
+                    out.append((int(row[0] % tasks), False, tool.compress(b"".join(found.column(c).to_numpy().tobytes() for c in range(3)))))
                 go = np.flatnonzero(head)
-                go = go[np.argsort(bucket[go], kind="stable")]
-                for part in np.unique(bucket[go]):
-                    some = go[np.searchsorted(bucket[go], part) : np.searchsorted(bucket[go], part, "right")]
-                    out.append((int(part), _block(tool, a[some], b[some], row[some], where[some], settled[some])))
-                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary())], names=["bucket", "block"])
+                bucket = (mix(a[go]) % np.uint64(tasks)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                go, bucket = go[order], bucket[order]
+                for part in np.unique(bucket):
+                    some = go[np.searchsorted(bucket, part) : np.searchsorted(bucket, part, "right")]
+                    out.append((int(part), True, _block(tool, a[some], b[some], row[some], where[some], settled[some])))
+                columns = list(zip(*out)) if out else [[], [], []]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.bool_(), pa.binary()))], names=["bucket", "hashed", "block"])
 
-        return materialize(self._with_texts(chosen).mapInArrow(run, "bucket int, block binary"), "strings")
+        return self._with_texts(chosen).mapInArrow(run, "bucket int, hashed boolean, block binary")
 
     def matched(self, strings: DataFrame) -> DataFrame:
         """(row, start, stop) of strings that stand at two places, neighbouring ones joined."""
         length = self.length
 
-        def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for blob in batch.column("block").to_pylist():
-                    _, _, row, where, _ = _unblock(blob)
-                    yield _spans(row, where, length)
-
         def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            blocks = [_unblock(b) for batch in batches for b in batch.column("block").to_pylist()]
+            blocks = []
+            for batch in batches:
+                for hashed, blob in zip(batch.column("hashed").to_pylist(), batch.column("block").to_pylist()):
+                    if hashed:
+                        blocks.append(_unblock(blob))
+                    else:
+                        found = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.int64).reshape(3, -1)
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=[ROW, "start", "stop"])
             if not blocks:
                 return
             a, b, row, where, twice = (np.concatenate(c) for c in zip(*blocks))
@@ -272,30 +282,42 @@ class Finder:
             hit = ~head | np.append(~head[1:], False) | twice
             yield _spans(row[hit], where[hit], length)
 
-        schema = f"{ROW} long, start long, stop long"
-        at_once = strings.filter("bucket < 0").select("block").mapInArrow(settle, schema)
-        later = strings.filter("bucket >= 0").repartition(self.tasks, "bucket").select("block").mapInArrow(meet, schema)
-        return at_once.union(later)
+        dealt = strings.repartition(self.tasks, "bucket").select("hashed", "block")
+        return dealt.mapInArrow(meet, f"{ROW} long, start long, stop long")
+
+    def whole(self, stretches: DataFrame, groups: DataFrame) -> DataFrame:
+        """(row, start, stop) of the stretches that stand at two places."""
+        code, keys = F.col("code"), ["a", "b"]
+        place = F.shiftright(code, 24)
+        again = _known(groups.filter("n > 1").select(*keys))
+        return (
+            stretches.filter("run IS NULL")
+            .join(again, keys, "left_semi")
+            .select(ROW, (place - F.shiftright(code, 12).bitwiseAND(4095)).alias("start"), (place - code.bitwiseAND(4095) + self.length).alias("stop"))
+        )
+
+    def groups(self, stretches: DataFrame) -> DataFrame:
+        """One row per distinct stretch around a suffix that stands at two places: its count, one of its anchors, the verdict."""
+        verdicts = materialize(self.verdicts(stretches), "verdicts")
+        own = stretches.filter("run IS NULL").groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.struct(ROW, "code", "seed")).alias("one"))
+        groups = own.withColumn("seed", F.col("one.seed")).join(_known(verdicts), "seed")
+        groups = materialize(groups.select("a", "b", "n", f"one.{ROW}", "one.code", (F.col("mixed") | (F.col("classes") > 1)).alias("mixed")), "groups")
+        discard(verdicts)
+        return groups
 
     def spans(self) -> DataFrame:
         """(row, start, stop) in bytes; together they cover exactly the repeated strings."""
-        kept = self.survivors()
-        points = [i / self.tasks for i in range(1, self.tasks)]
-        cuts = kept.agg(F.percentile_approx("head", points, 10_000).alias("p")).first()["p"] if points else []
-        stretches = self.stretches(kept, sorted(set(cuts or [])))
+        kept, cuts = self.survivors()
         _release(self.spark)
-        verdicts = materialize(self.verdicts(stretches), "verdicts")
-        own = stretches.filter("run IS NULL").select("seed", "a", "b", ROW, "code")
-        groups = own.groupBy("seed", "a", "b").agg(F.count("*").alias("n"), F.min(F.struct(ROW, "code")).alias("one"))
-        groups = materialize(groups.join(verdicts, "seed"), "groups")
+        stretches = self.stretches(kept, cuts)
+        discard(kept)
+        groups = self.groups(stretches)
         _release(self.spark)
-        code = F.col("code")
-        place = F.shiftright(code, 24)
-        whole = own.join(groups.filter("n > 1").select("seed", "a", "b"), ["seed", "a", "b"], "left_semi").select(
-            ROW, (place - F.shiftright(code, 12).bitwiseAND(4095)).alias("start"), (place - code.bitwiseAND(4095) + self.length).alias("stop")
-        )
-        chosen = groups.filter("mixed OR classes > 1").select("one.*")
-        matched = self.matched(self.strings(chosen))
+        whole = materialize(self.whole(stretches, groups), "whole")
+        discard(stretches)
+        _release(self.spark)
+        matched = materialize(self.matched(self.strings(groups.filter("mixed").select(ROW, "code"))), "matched")
+        discard(groups)
         return whole.union(matched)
 
 
@@ -348,6 +370,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, figures: bool = True) ->
     rows are copies. Null ids stay. An empty table gives no rows.
     """
     finder = Finder(docs, length)
+    _release(finder.spark)
     spans = finder.spans().groupBy(ROW).agg(F.collect_list(F.struct("start", "stop")).alias("_spans"))
     rows = finder.rows()
 
