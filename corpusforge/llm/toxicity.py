@@ -22,6 +22,8 @@ LONGEST = 24
 SPAN = 8
 DECAY = 0.7
 KEEP = 2_000_000
+# Landmarks are chosen among so many words of either kind.
+CANDIDATES = 600
 
 # Digits and signs that are written for letters.
 LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
@@ -200,8 +202,9 @@ def _fit_svm(z: np.ndarray, y: np.ndarray, cost: float, rounds: int = 400) -> tu
     return w[:-1], float(w[-1])
 
 
-def _landmarks(words: list[str], matrix: np.ndarray, count: int) -> np.ndarray:
-    """Numbers of words far from each other: each next one is worst covered by those before."""
+def _landmarks(words: list[str], count: int) -> np.ndarray:
+    """Vectors of words far from each other: each next one is worst covered by those before."""
+    matrix = vectors(words)
     chosen, cover = [0], matrix @ matrix[0]
     while len(chosen) < min(count, len(words)):
         worst = int(cover.argmin())
@@ -209,22 +212,21 @@ def _landmarks(words: list[str], matrix: np.ndarray, count: int) -> np.ndarray:
             break
         chosen.append(worst)
         cover = np.maximum(cover, matrix @ matrix[worst])
-    return np.array(chosen)
+    return matrix[chosen]
 
 
 def fit_words(positive: list[str], negative: list[str], landmarks: int = 96, cost: float = 1e4) -> Model:
     """Machine over words: Nystrom features from landmarks of both kinds, folded back into weights of subsequences."""
     words = positive + negative
-    matrix = vectors(words)
     y = np.concatenate([np.ones(len(positive)), -np.ones(len(negative))])
-    p = len(positive)
-    marks = np.concatenate([_landmarks(positive, matrix[:p], landmarks), p + _landmarks(negative, matrix[p:], landmarks)])
-    base = matrix[marks].astype(np.float64)
+    base = np.concatenate([_landmarks(positive[:CANDIDATES], landmarks), _landmarks(negative[:CANDIDATES], landmarks)]).astype(np.float64)
     values, basis = np.linalg.eigh(base @ base.T)
     keep = values > 1e-8 * values[-1]
-    root = basis[:, keep] / np.sqrt(values[keep])
-    w, bias = _fit_svm(matrix @ (base.T @ root), y, cost)
-    return Model((base.T @ (root @ w)).astype(np.float32), bias)
+    fold = base.T @ (basis[:, keep] / np.sqrt(values[keep]))
+    # Few words at a time: a vector has a place for every subsequence.
+    z = np.concatenate([vectors(words[k : k + 250]) @ fold for k in range(0, len(words), 250)])
+    w, bias = _fit_svm(z, y, cost)
+    return Model((fold @ w).astype(np.float32), bias)
 
 
 def _probability_line(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
