@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusforge.llm import decontamination, line_rules, packing, simhash, suffix_dedup, toxicity, wavelet
+from corpusforge.llm import decontamination, language, line_rules, packing, simhash, suffix_dedup, toxicity, wavelet
 from corpusforge.llm.folds import fold
 from corpusforge.session import shared_dir
 from corpusforge.sources.tables import read_table
@@ -47,6 +47,14 @@ def op5_toxicity(spark: SparkSession, d: str) -> DataFrame:
     return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
 
 
+@query
+def op7_language(spark: SparkSession, d: str) -> DataFrame:
+    docs = read_table(spark, d, "documents")
+    model = language.train(docs.filter(fold(F.col("doc_id"), 3) != 1))
+    found = language.identify(docs, model)
+    return found.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op8_suffix_dedup(spark: SparkSession, d: str) -> DataFrame:
     return suffix_dedup.remove_repeats(read_table(spark, d, "documents"))
