@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusforge.llm import decontamination, language, line_rules, packing, simhash, suffix_dedup, toxicity, wavelet
+from corpusforge.llm import decontamination, language, licenses, line_rules, packing, quality_grades, simhash, suffix_dedup, toxicity, wavelet
 from corpusforge.llm.folds import fold
 from corpusforge.session import shared_dir
 from corpusforge.sources.tables import read_table
@@ -39,6 +39,14 @@ def op3_simhash(spark: SparkSession, d: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, d, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+@query
+def op4_quality_grades(spark: SparkSession, d: str) -> DataFrame:
+    docs, labels = read_table(spark, d, "documents"), read_table(spark, d, "labels")
+    model = quality_grades.train(labels.filter(fold(F.col("doc_id"), 5) != 0), docs)
+    graded = quality_grades.grade(docs, model)
+    return graded.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "expected_grade", "predicted_grade", "top_probability")
+
+
 @query
 def op5_toxicity(spark: SparkSession, d: str) -> DataFrame:
     docs, labels = read_table(spark, d, "documents"), read_table(spark, d, "labels")
@@ -47,6 +55,11 @@ def op5_toxicity(spark: SparkSession, d: str) -> DataFrame:
     return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
 
 
+@query
+def op6_licenses(spark: SparkSession, d: str) -> DataFrame:
+    return licenses.scan(read_table(spark, d, "documents"))
+
+
 @query
 def op7_language(spark: SparkSession, d: str) -> DataFrame:
     docs = read_table(spark, d, "documents")
