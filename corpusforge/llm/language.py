@@ -156,9 +156,10 @@ def phrases(raw: np.ndarray, offsets: np.ndarray, model: Model) -> tuple[np.ndar
         letter = letters[start[:n] + step].astype(np.int64)
         following = flat[state[:, :n].astype(np.int64) * alphabet + letter]
         stuck = following < 0
+        if step:
+            # A machine at its first state has just passed a letter it has never seen: a phrase of its own.
+            count[:, :n] += stuck | (state[:, :n] == roots[:, None])
         if stuck.any():
-            if step:
-                count[:, :n] += stuck
             again = flat[(at_root + letter)[stuck]]
             following[stuck] = np.where(again < 0, np.broadcast_to(roots[:, None], stuck.shape)[stuck], again)
         state[:, :n] = following

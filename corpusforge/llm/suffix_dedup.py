@@ -33,7 +33,7 @@ from corpusforge.llm.lcp_merge import decode_run, encode_run, merge_runs
 from corpusforge.llm.repeats import anchors
 from corpusforge.session import discard, materialize
 
-ROW = "_repeats_row"
+ROW, SPANS, LEFT = "_repeats_row", "_repeats_spans", "_repeats_left"
 # Rows of three numbers at most: under 100 MB in memory.
 BROADCAST_ROWS = 1_000_000
 _SECOND = np.random.default_rng(77).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -371,13 +371,13 @@ def remove_repeats(docs: DataFrame, length: int = 400, figures: bool = True) ->
     """
     finder = Finder(docs, length)
     _release(finder.spark)
-    spans = finder.spans().groupBy(ROW).agg(F.collect_list(F.struct("start", "stop")).alias("_spans"))
+    spans = finder.spans().groupBy(ROW).agg(F.collect_list(F.struct("start", "stop")).alias(SPANS))
     rows = finder.rows()
 
     def figure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc_id, text, found in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "_spans"))):
+            for doc_id, text, found in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", SPANS))):
                 data = (text or "").encode()
                 runs = _union([(s["start"], s["stop"]) for s in found or []])
                 digest, at = hashlib.sha256(), 0
@@ -390,7 +390,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, figures: bool = True) ->
 
     if figures:
         wanted = rows.select(ROW, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(spans, ROW, "left")
-        result = wanted.select("doc_id", "text", "_spans").mapInArrow(figure, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+        result = wanted.select("doc_id", "text", SPANS).mapInArrow(figure, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
         result = materialize(result, "repeats")
         finder.drop()
         return result
@@ -412,6 +412,6 @@ def remove_repeats(docs: DataFrame, length: int = 400, figures: bool = True) ->
 
     shorter = F.pandas_udf(cut, "string")
     joined = rows.join(spans, ROW, "left")
-    joined = joined.withColumn("_left", F.when(F.col("_spans").isNotNull(), shorter(F.col("text").cast("string"), F.col("_spans"))).otherwise(F.col("text")))
-    columns = [F.col("_left").alias("text") if c == "text" else F.when(F.col("_spans").isNotNull(), F.length("_left")).otherwise(F.col(c)).cast(t).alias(c) if c == "n_chars" else F.col(c) for c, t in docs.dtypes]
+    joined = joined.withColumn(LEFT, F.when(F.col(SPANS).isNotNull(), shorter(F.col("text").cast("string"), F.col(SPANS))).otherwise(F.col("text")))
+    columns = [F.col(LEFT).alias("text") if c == "text" else F.when(F.col(SPANS).isNotNull(), F.length(LEFT)).otherwise(F.col(c)).cast(t).alias(c) if c == "n_chars" else F.col(c) for c, t in docs.dtypes]
     return joined.select(*columns)

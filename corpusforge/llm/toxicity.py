@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusforge.llm.arrays import Words, fold_table, mix, owners, prefix_hash, slices, span_hash, text_bytes
+from corpusforge.llm.arrays import Words, fold_table, mix, owners, prefix_hash, shingles, slices, span_hash, text_bytes
 from corpusforge.llm.folds import sample_by_label
 from corpusforge.llm.tokens import worker_state
 
@@ -21,7 +21,7 @@ START = 31
 LONGEST = 24
 SPAN = 8
 DECAY = 0.7
-KEEP = 2_000_000
+KEEP = 1_000_000
 # Landmarks are chosen among so many words of either kind.
 CANDIDATES = 600
 
@@ -265,13 +265,18 @@ def _word_counts(sample: DataFrame) -> DataFrame:
 
 
 def _distinct_ids(sample: DataFrame) -> DataFrame:
-    """One document of those that share label and least word hash: copies should not vote often."""
+    """One document of those that share label and least hash of three words: copies should not vote often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            _, _, owner, hashes = _tokens(*text_bytes(batch.column("text")))
+            words = Words(*text_bytes(batch.column("text")), fold_table())
+            hashes = words.hashes()
+            runs, place = shingles(hashes, words.first, 3)
             least = np.full(len(batch), np.iinfo(np.uint64).max, np.uint64)
-            np.minimum.at(least, owner, mix(hashes + np.uint64(99)))
+            np.minimum.at(least, owners(words.first, place), runs)
+            # Texts of one or two words stand for themselves.
+            short = np.flatnonzero((np.diff(words.first) > 0) & (np.diff(words.first) < 3))
+            least[short] = mix(hashes[words.first[short]] + hashes[words.first[short + 1] - 1])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(least.view(np.int64))], names=["doc_id", "toxic", "least"])
 
     parts = sample.select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, least long")
@@ -348,7 +353,7 @@ def train(labelled: DataFrame, docs: DataFrame, most_toxic: int = 10_000, most_c
 
 def _margin_rows(model: Model, kept: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most=2 << 20):
             margins = text_margins(*text_bytes(batch.column("text")), model)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(margins)], names=[*kept, "margin"])
 
@@ -381,7 +386,7 @@ def _series_margins(model: Model):
 
         array = pa.array(text, pa.string())
         batch = pa.RecordBatch.from_arrays([array], names=["text"])
-        parts = [text_margins(*text_bytes(b.column("text")), model) for b in slices(iter([batch]))]
+        parts = [text_margins(*text_bytes(b.column("text")), model) for b in slices(iter([batch]), most=2 << 20)]
         return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
     import pandas as pd
