@@ -222,7 +222,7 @@ class Finder:
         Strings equal within a slice are settled there: their spans go out as they are, and one of them,
         marked as repeated, stands for them among the hashed ones.
         """
-        length, tasks = self.length, self.tasks
+        length, suffix, tasks = self.length, self.suffix, self.tasks
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tool = zstandard.ZstdCompressor(level=1)
@@ -231,15 +231,20 @@ class Finder:
                 codes = batch.column("codes")
                 code = codes.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
                 text = np.repeat(np.arange(len(batch)), pa.compute.list_value_length(codes).to_numpy(zero_copy_only=False))
-                _, first, last = _parts(code)
+                anchor, first, last = _parts(code)
                 counts = last - first + 1
                 place, owner = ragged(first + offsets[text], counts), np.repeat(text, counts)
-                a = span_hash(prefix_hash(raw), place, place + length)
+                prefix = prefix_hash(raw)
+                seed = span_hash(prefix, anchor + offsets[text], anchor + offsets[text] + suffix)
+                # Equal strings share their suffix and the distance to it; a frequent suffix is dealt out by distance.
+                near = (np.repeat(anchor + offsets[text], counts) - place) >> 4
+                bucket = (mix(np.repeat(seed, counts) + near.astype(np.uint64)) % np.uint64(tasks)).astype(np.int64)
+                a = span_hash(prefix, place, place + length)
                 b = span_hash(prefix_hash(raw, _SECOND), place, place + length) & np.uint64(0xFFFFFFFF)
                 row = batch.column(ROW).to_numpy()[owner]
                 where = place - offsets[owner]
                 order = np.lexsort((b, a))
-                a, b, row, where = a[order], b[order], row[order], where[order]
+                a, b, row, where, bucket = a[order], b[order], row[order], where[order], bucket[order]
                 head = np.ones(len(a), bool)
                 head[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
                 settled = ~head | np.append(~head[1:], False)
@@ -248,9 +253,9 @@ class Finder:
                     found = _spans(row[settled], where[settled], length)
                     out.append((int(row[0] % tasks), False, tool.compress(b"".join(found.column(c).to_numpy().tobytes() for c in range(3)))))
                 go = np.flatnonzero(head)
-                bucket = (mix(a[go]) % np.uint64(tasks)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                go, bucket = go[order], bucket[order]
+                order = np.argsort(bucket[go], kind="stable")
+                go = go[order]
+                bucket = bucket[go]
                 for part in np.unique(bucket):
                     some = go[np.searchsorted(bucket, part) : np.searchsorted(bucket, part, "right")]
                     out.append((int(part), True, _block(tool, a[some], b[some], row[some], where[some], settled[some])))
