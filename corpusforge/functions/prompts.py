@@ -16,13 +16,13 @@ def build_prompt(template: Column, chunk: Column) -> Column:
 
 
 def prompt_for(style: Column, generator: Column, custom: dict[str, str] | None = None) -> Column:
-    """Template of a style and generator; custom prompts replace the style as a whole."""
+    """Template of a style and generator, the default where the style has none; custom prompts replace the style as a whole."""
     if custom:
         return _lookup(custom, generator)
     default = _lookup(fixed.DEFAULT_PROMPTS, generator)
     chosen = default
     for name, prompts in fixed.STYLE_PROMPTS.items():
-        chosen = F.when(style == name, _lookup(prompts, generator)).otherwise(chosen)
+        chosen = F.when(style == name, F.coalesce(_lookup(prompts, generator), default)).otherwise(chosen)
     return chosen
 
 

@@ -98,35 +98,42 @@ def remove_header_lines(text: Column, pattern: str) -> Column:
     return F.array_join(F.filter(lines(text), lambda l: ~strip(l).rlike(f"(?i){pattern}")), "\n")
 
 
+# Characters that most texts show; looked for one by one, without taking the text apart.
+COMMON_CHARS = "etaoinsrhldcumfpgwybvkxjqz .,\n'-\""
+
+
 def distinct_chars(text: Column) -> Column:
     """Number of different characters, ignoring case."""
     return F.size(F.array_distinct(F.split(F.lower(text), "")))
 
 
+def _variety(text: Column, full: int) -> Column:
+    """Share of `full` different characters, at most 1; only a text that lacks common ones is taken apart."""
+    seen = let(F.lower(text), lambda t: sum((t.contains(c).cast("int") for c in COMMON_CHARS), F.lit(0)))
+    return F.when(seen >= full, F.lit(1.0)).otherwise(F.least(F.lit(1.0), distinct_chars(text) / full))
+
+
 def text_quality(text: Column) -> Column:
     """Score in [0, 1] from length, words, word length, sentences and character variety."""
-    measures = F.struct(
-        F.length(text).alias("chars"),
-        _split_words(text).alias("pieces"),
-        F.size(F.split(text, "[.!?]+", -1)).alias("sentences"),
-        distinct_chars(text).alias("kinds"),
-    )
 
     def share(count: Column, full: int) -> Column:
         return F.least(F.lit(1.0), count / full)
 
+    measures = F.struct(
+        F.length(text).alias("chars"),
+        F.regexp_count(text, F.lit(f"[^{WS}]+")).alias("words"),
+        F.regexp_count(text, F.lit(f"[{WS}]")).alias("blanks"),
+        (F.regexp_count(text, F.lit("[.!?]+")) + 1).alias("sentences"),
+    )
+
     def score(m: Column) -> Column:
-        words = F.size(m["pieces"]) - _edge_blanks(text)
-        return let(
-            F.struct(words.alias("words"), (F.length(F.array_join(m["pieces"], "")) / words).alias("mean")),
-            lambda w: share(m["chars"], 1000) * 0.2
-            + share(w["words"], 100) * 0.2
-            + F.when(w["mean"] < 4, w["mean"] / 4)
-            .when(w["mean"] <= 8, F.lit(1.0))
-            .otherwise(F.greatest(F.lit(0.1), 8 / w["mean"]))
-            * 0.3
+        mean = (m["chars"] - m["blanks"]) / m["words"]
+        return (
+            share(m["chars"], 1000) * 0.2
+            + share(m["words"], 100) * 0.2
+            + F.when(mean < 4, mean / 4).when(mean <= 8, F.lit(1.0)).otherwise(F.greatest(F.lit(0.1), 8 / mean)) * 0.3
             + share(m["sentences"], 10) * 0.2
-            + share(m["kinds"], 26) * 0.1,
+            + _variety(text, 26) * 0.1
         )
 
     return F.when(text.isNull() | is_blank(text), F.lit(0.0)).otherwise(let(measures, score))
@@ -143,8 +150,8 @@ def text_profile(text: Column) -> dict[str, Column]:
 
 
 def has_words(text: Column, n: int) -> Column:
-    """At least `n` words; stops reading at the n-th."""
-    return text.rlike(rf"(?:[^{WS}]+[{WS}]+){{{n - 1}}}[^{WS}]")
+    """At least `n` words; stops reading at the n-th. Anchored and without going back, so it is linear."""
+    return text.rlike(rf"\A[{WS}]*+(?:[^{WS}]++[{WS}]++){{{n - 1}}}[^{WS}]")
 
 
 def is_header_footer(line: Column) -> Column:
@@ -211,12 +218,19 @@ def _vtt_cues(text: Column) -> Column:
     return F.filter(blocks, lambda b: b.contains("-->"))
 
 
+def _before_last_close(text: Column, change) -> Column:
+    """Change the text up to its last `>`. Tags end there, so none is sought where it cannot close."""
+    tail = F.instr(F.reverse(text), F.lit(">"))
+    size = F.when(tail > 0, F.length(text) - tail + 1).otherwise(0)
+    return F.concat(change(F.left(text, size)), F.substr(text, size + 1))
+
+
 def vtt_to_text(text: Column) -> Column:
     """Caption texts in order without tags; a file without the header is returned as it is."""
 
     def caption(block: Column) -> Column:
         body = F.regexp_replace(block, r"(?s)\A.*?-->[^\n]*\n?", "")
-        return F.regexp_replace(F.regexp_replace(body, r"\n+\z", ""), "<[^>]+>", "")
+        return _before_last_close(F.regexp_replace(body, r"\n+\z", ""), lambda part: F.regexp_replace(part, "<[^>]+>", ""))
 
     said = F.array_join(F.transform(_vtt_cues(text), caption), " ")
     return F.when(text.rlike(r"\A\x{feff}?WEBVTT"), said).otherwise(normalize_newlines(text))
@@ -236,6 +250,6 @@ def decode_entities(text: Column) -> Column:
 def html_to_text(markup: Column) -> Column:
     """Visible strings of a page, each stripped, joined by one space."""
     shown = F.regexp_replace(markup, HTML_HIDDEN, TAG_MARK)
-    shown = decode_entities(F.regexp_replace(shown, HTML_TAG, TAG_MARK))
+    shown = decode_entities(_before_last_close(shown, lambda part: F.regexp_replace(part, HTML_TAG, TAG_MARK)))
     pieces = F.filter(F.transform(F.split(shown, TAG_MARK, -1), strip), lambda s: s != "")
     return F.array_join(pieces, " ")

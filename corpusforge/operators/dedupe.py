@@ -36,8 +36,10 @@ def duplicate_members(docs: DataFrame, key: str, content: str = "text") -> DataF
 def dedupe(docs: DataFrame, key: str, content: str = "text") -> DataFrame:
     """Keep, of each group of identical contents, the row with the smallest key.
 
-    Keepers are found on the hash alone and joined back on the unique key, so copies never meet
-    in one task.
+    Contents are hashed where they are read; only keys and hashes move. The rows that lose, far fewer
+    than those that stay, are taken out by key.
     """
-    keepers = with_hash(docs, content).groupBy("content_hash").agg(F.min(key).alias(key))
-    return docs.join(keepers.select(key), key, "left_semi")
+    hashed = with_hash(docs, content).select(key, "content_hash")
+    first = hashed.groupBy("content_hash").agg(F.min(key).alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    losers = hashed.join(first, "content_hash").filter(F.col(key) > F.col("_first")).select(key)
+    return docs.join(losers, key, "left_anti")

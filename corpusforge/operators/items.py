@@ -79,21 +79,31 @@ def _list_at(value: Column, path: str) -> Column:
 
 
 def parse_items(value: Column, generator: Column, generators: dict[str, Generator] = GENERATORS) -> Column:
-    """Items of a parsed answer: a list, a list under `items` or a key of the generator, or the
-    object itself as the only item. A single string under a key counts as a list of one."""
+    """Items of a parsed answer: a list, a list under `items` or under a key of the generator (any
+    generator's own name is one), or the object itself as the only item. A generator with `wrap`
+    turns bare strings of its lists into objects with that field."""
     kind = F.schema_of_variant(value)
-    found = F.lit(None).cast("array<variant>")
+    # A name that is known only at run time has no fixed path.
+    named = F.call_function("get_json_object", F.to_json(value), F.concat(F.lit("$['"), generator, F.lit("']")))
+    found = F.when(~generator.isin(list(generators)), _list_at(F.try_parse_json(named), "$"))
     for g in generators.values():
-        options = [_list_at(value, f"$.{key}") for key in g.keys]
-        if g.wrap:
-            text = F.try_variant_get(value, f"$.{g.wrap}", "string")
-            options.append(F.when(text.isNotNull(), _list_at(F.try_parse_json(F.to_json(F.array(text))), "$")))
-        own = g.parse(value) if g.parse else F.coalesce(*options)
+        own = g.parse(value) if g.parse else F.coalesce(*[_list_at(value, f"$.{key}") for key in g.keys])
         found = F.when(generator == g.name, own).otherwise(found)
-    return (
-        F.when(kind.startswith("ARRAY"), _list_at(value, "$"))
-        .when(kind.startswith("OBJECT"), F.coalesce(_list_at(value, "$.items"), found, F.array(value)))
+    listed = F.when(kind.startswith("ARRAY"), _list_at(value, "$")).when(
+        kind.startswith("OBJECT"), F.coalesce(_list_at(value, "$.items"), found, F.array(value))
     )
+    for g in generators.values():
+        if g.wrap:
+            listed = F.when(generator == g.name, _wrapped(listed, g.wrap)).otherwise(listed)
+    return listed
+
+
+def _wrapped(listed: Column, field: str) -> Column:
+    def wrap(item: Column) -> Column:
+        text = F.when(F.schema_of_variant(item) == "STRING", F.try_variant_get(item, "$", "string"))
+        return F.when(text.isNotNull(), F.parse_json(F.to_json(F.struct(text.alias(field))))).otherwise(item)
+
+    return F.transform(listed, wrap)
 
 
 def with_items(completions: DataFrame, raw: str = "raw", generators: dict[str, Generator] = GENERATORS) -> DataFrame:
@@ -124,15 +134,15 @@ def explode_items(listed: DataFrame, keys: tuple[str, ...] = ("doc_id", "chunk_i
     return listed.select(*keys, *extra, F.posexplode("item_list").alias("item_no", "item"))
 
 
-def rejects(listed: DataFrame, raw: str = "raw", keys: tuple[str, ...] = ("doc_id", "chunk_id", "generator")) -> DataFrame:
-    return listed.filter("reason IS NOT NULL").select(*keys, "reason", F.col(raw).alias("raw"))
+def rejects(listed: DataFrame, raw: str = "raw", keys: tuple[str, ...] = ("doc_id", "chunk_id", "generator"), extra: tuple[str, ...] = ()) -> DataFrame:
+    return listed.filter("reason IS NOT NULL").select(*keys, "reason", F.col(raw).alias("raw"), *extra)
 
 
 def retry_requests(listed: DataFrame, attempt: str = "attempt", max_retries: int = 3, raw: str = "raw",
-                   keys: tuple[str, ...] = ("doc_id", "chunk_id", "generator")) -> DataFrame:
+                   keys: tuple[str, ...] = ("doc_id", "chunk_id", "generator"), generators: dict[str, Generator] = GENERATORS) -> DataFrame:
     """Prompts of a second pass over the answers that are not JSON and have attempts left."""
     schema = F.lit("")
-    for g in GENERATORS.values():
+    for g in generators.values():
         schema = F.when(F.col("generator") == g.name, g.schema).otherwise(schema)
     again = listed.filter((F.col("reason") == "not_json") & (F.col(attempt) < max_retries))
     previous = strip(strip_code_fence(F.col(raw)))

@@ -131,15 +131,17 @@ def retention(store: DataFrame, now: Column, max_bytes: float, max_days: int = f
     """Which stored rows to drop: those not used for `max_days`, then the least recently used
     ones until the rest fits `max_bytes`.
 
-    An entry stays when the entries used at least as recently as itself, with it, fit.
+    An entry stays when the entries used at least as recently as itself, with it, fit. Only key, size
+    and time are ordered; the verdict joins the stored rows by key, which must be unique.
     """
     age_days = (F.unix_micros(now) - F.unix_micros("accessed_at")) / (86400 * 1e6)
-    marked = store.withColumn("_old", age_days > max_days) if max_days > 0 else store.withColumn("_old", F.lit(False))
+    slim = store.select(key, "size", "accessed_at")
+    marked = slim.withColumn("_old", age_days > max_days) if max_days > 0 else slim.withColumn("_old", F.lit(False))
     ordered = OrderedRows(marked, [], [F.col("accessed_at").desc(), F.col(key).desc()])
     live = F.when(F.col("_old"), 0).otherwise(F.col("size"))
     rows = ordered.add(_newer=RunningSum(live)).rows
     verdict = F.when(F.col("_old"), "expired").when(F.col("_newer") > max_bytes, "evicted").otherwise("kept")
-    return rows.withColumn("verdict", verdict).drop("_old", "_newer")
+    return store.join(rows.select(key, verdict.alias("verdict")), key)
 
 
 def store_stats(store: DataFrame) -> DataFrame:

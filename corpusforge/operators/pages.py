@@ -9,9 +9,6 @@ from corpusforge import fixed_values as fixed
 from corpusforge.functions.layout import resolution_class
 from corpusforge.functions.text import is_meaningful_text, strip, word_count
 
-# Pages put together into one text; a longer document becomes several ordered parts.
-PART_PAGES = 500
-
 
 def analyze_pages(pages: DataFrame) -> DataFrame:
     """Text and image facts of each page of `path, page_num, text, image_count, image_areas`."""
@@ -113,19 +110,18 @@ def explode_images(pages: DataFrame, outer: bool = False) -> DataFrame:
     return pages.select("path", "page_num", explode("images").alias("image_index", "image"))
 
 
-def assemble_document(pages: DataFrame, part_pages: int = PART_PAGES, headers: str | None = None) -> DataFrame:
-    """Pages to texts in page order with blank lines between, one row per document part.
+def assemble_document(pages: DataFrame, headers: str | None = None) -> DataFrame:
+    """Pages to one text per document in page order, with blank lines between.
 
-    Part 0 is the whole document up to `part_pages` pages. `headers` is a format such as
-    `=== Chapter %d ===` put before each page, which then also gets a wider gap.
+    `headers` is a format such as `=== Chapter %d ===` put before each page, which then also
+    gets a wider gap.
     """
     body, gap = F.col("text"), "\n\n"
     if headers:
         gap = "\n\n\n\n"
         body = F.concat(F.format_string(headers, F.col("page_num")), F.lit("\n\n"), body)
-    part = F.floor((F.col("page_num") - 1) / part_pages).alias("part")
     ordered = F.array_sort(F.collect_list(F.struct(F.col("page_num").alias("p"), body.alias("t"))))
-    return pages.groupBy("path", part).agg(
+    return pages.groupBy("path").agg(
         strip(F.array_join(F.transform(ordered, lambda x: x["t"]), gap)).alias("text"), F.count(F.lit(1)).alias("n_pages")
     )
 

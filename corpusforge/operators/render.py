@@ -50,6 +50,10 @@ def _text(value: Column) -> Column:
     return F.coalesce(value.cast("string"), F.lit(""))
 
 
+def _role(message: Column) -> Column:
+    return F.coalesce(message["role"], F.lit("unknown"))
+
+
 def _join(*parts: Column | str | None) -> Column:
     """Lines of a block; a null part is left out."""
     return F.concat_ws("\n", *[F.lit(p) if isinstance(p, str) else p for p in parts if p is not None])
@@ -64,17 +68,17 @@ def _number() -> Column:
 
 
 def _text_block(kind: str, columns: list[str]) -> Column:
-    def labelled(label: str, field: str, end: str = "\n") -> Column:
-        return F.concat(F.lit(f"{label}: "), _text(F.col(field)), F.lit(end))
+    def labelled(label: str, field: str, end: str = "\n", missing: str = "") -> Column:
+        return F.concat(F.lit(f"{label}: "), F.coalesce(F.col(field).cast("string"), F.lit(missing)), F.lit(end))
 
     title = F.concat(F.lit(ITEM_TITLE[kind].upper() + " "), _number(), F.lit("\n" + "-" * TEXT_RULE[kind]))
     if kind == "conversations":
-        said = F.transform("messages", lambda m: F.concat(F.upper(m["role"]), F.lit(": "), m["content"], F.lit("\n")))
+        said = F.transform("messages", lambda m: F.concat(F.upper(_role(m)), F.lit(": "), _text(m["content"]), F.lit("\n")))
         body = [F.when(F.size("messages") > 0, F.array_join(said, "\n"))]
     elif kind == "qa_pairs":
         body = [labelled("QUESTION", "question"), labelled("ANSWER", "answer")]
     elif kind == "embeddings":
-        body = [labelled("Sentence 1", "sentence1", ""), labelled("Sentence 2", "sentence2", ""), labelled("Similarity", "similarity")]
+        body = [labelled("Sentence 1", "sentence1", ""), labelled("Sentence 2", "sentence2", ""), labelled("Similarity", "similarity", missing="N/A")]
     else:
         quote = lambda t: F.concat(F.lit("ORIGINAL (excerpt): "), excerpt(t, TEXT_EXCERPT), F.lit("\n"))
         body = [labelled("SUMMARY", "summary"), _optional(columns, "original_text", quote)]
@@ -83,17 +87,17 @@ def _text_block(kind: str, columns: list[str]) -> Column:
 
 
 def _markdown_block(kind: str, columns: list[str]) -> Column:
-    def labelled(label: str, field: str) -> Column:
-        return F.concat(F.lit(f"**{label}:** "), _text(F.col(field)), F.lit("\n"))
+    def labelled(label: str, field: str, missing: str = "") -> Column:
+        return F.concat(F.lit(f"**{label}:** "), F.coalesce(F.col(field).cast("string"), F.lit(missing)), F.lit("\n"))
 
     title = F.concat(F.lit(f"## {ITEM_TITLE[kind]} "), _number(), F.lit("\n"))
     if kind == "conversations":
-        said = F.transform("messages", lambda m: F.concat(F.lit("**"), F.initcap(m["role"]), F.lit(":** "), m["content"], F.lit("\n")))
+        said = F.transform("messages", lambda m: F.concat(F.lit("**"), F.initcap(_role(m)), F.lit(":** "), _text(m["content"]), F.lit("\n")))
         body = [F.when(F.size("messages") > 0, F.array_join(said, "\n"))]
     elif kind == "qa_pairs":
         body = [labelled("Q", "question"), labelled("A", "answer")]
     elif kind == "embeddings":
-        body = [labelled("Sentence 1", "sentence1"), labelled("Sentence 2", "sentence2"), labelled("Similarity", "similarity")]
+        body = [labelled("Sentence 1", "sentence1"), labelled("Sentence 2", "sentence2"), labelled("Similarity", "similarity", missing="N/A")]
     else:
         quote = lambda t: F.concat(F.lit("**Original Text:**\n```\n"), excerpt(t, MARKDOWN_EXCERPT), F.lit("\n```\n"))
         body = [labelled("Summary", "summary"), _optional(columns, "original_text", quote)]

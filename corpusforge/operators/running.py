@@ -72,7 +72,10 @@ class RunningMax:
 
 
 class OrderedRows:
-    """Rows of `df` in the order `group`, `order`; `order` must be unique within a group."""
+    """Rows of `df` in the order `group`, `order`; `order` must be unique within a group.
+
+    `parts`, the number of ordered parts, is the session's shuffle partitions unless given; a part
+    should fit one task."""
 
     def __init__(self, df: DataFrame, group: list[str], order: list[Column | str], parts: int | None = None):
         n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -112,8 +115,8 @@ class OrderedRows:
         return self.df.drop(PART)
 
 
-def number_rows(df: DataFrame, group: list[str], order: list[Column | str], name: str = "row_no") -> DataFrame:
-    return OrderedRows(df, group, order).add(**{name: RowNumber()}).rows
+def number_rows(df: DataFrame, group: list[str], order: list[Column | str], name: str = "row_no", parts: int | None = None) -> DataFrame:
+    return OrderedRows(df, group, order, parts).add(**{name: RowNumber()}).rows
 
 
 def sliding_average(

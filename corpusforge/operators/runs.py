@@ -50,7 +50,7 @@ def failure_streaks(run_log: DataFrame, start: RunState = RunState()) -> DataFra
 
 def run_state(run_log: DataFrame, start: RunState = RunState()) -> RunState:
     """The state after these rows (an aggregate of one row, read by the driver)."""
-    last = failure_streaks(run_log, start).agg(
+    last = failure_streaks(run_log.select("seq", "success", "seconds", "error"), start).agg(
         F.max_by("streak", "seq").alias("streak"),
         F.max("streak").alias("max_streak"),
         F.max("successes").alias("successes"),
@@ -85,7 +85,8 @@ def stop_reason(max_failures: int = fixed.MAX_CONSECUTIVE_FAILURES, max_files: i
 
 def auto_stop_point(run_log: DataFrame, **limits) -> DataFrame:
     """The first row that stops the run, as one row of `stop_seq` and `reason`; nulls if none."""
-    marked = failure_streaks(run_log).withColumn("reason", stop_reason(**limits)).filter("reason IS NOT NULL")
+    needed = run_log.select("seq", "success", "seconds", "error")
+    marked = failure_streaks(needed).withColumn("reason", stop_reason(**limits)).filter("reason IS NOT NULL")
     return marked.agg(F.min("seq").alias("stop_seq"), F.min_by("reason", "seq").alias("reason"))
 
 
@@ -173,7 +174,7 @@ def batch_totals(batched_log: DataFrame) -> DataFrame:
 def progress(run_log: DataFrame) -> DataFrame:
     """After each file: share done, totals so far, mean seconds, and seconds left."""
     total = run_log.agg(F.count(F.lit(1))).scalar()
-    ordered = OrderedRows(run_log, [], ["seq"]).add(
+    ordered = OrderedRows(run_log.select("seq", "success", "seconds", "text_chars"), [], ["seq"]).add(
         processed=RowNumber(),
         completed=RunningSum(F.col("success").cast("long")),
         chars=RunningSum(F.when(F.col("success"), F.col("text_chars")).otherwise(0)),

@@ -28,8 +28,7 @@ def _raw_texts(files: DataFrame, settings: Settings, extractors: list[Extractor]
     plain = read_text(own).select("path", "text")
     members = read_epub(own)
     books = epub_text(members, settings.start_page, settings.end_page, list(settings.skip_pages), settings.min_text_length)
-    found = plain.unionByName(books.groupBy("path").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("part", "text"))), lambda p: p["text"]), "\n\n\n\n").alias("text")))
+    found = plain.unionByName(books.select("path", "text"))
     ok = found.select("path", "text", F.lit("[]").alias("images"), F.lit("ok").alias("status"), F.lit(None).cast("string").alias("error"))
     broken = members.filter("kind = 'error'").select(
         "path", F.lit("").alias("text"), F.lit("[]").alias("images"), F.lit("error").alias("status"), "error"

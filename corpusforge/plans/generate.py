@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusforge.operators.chunking import drop_blank_docs, explode_chunks, fan_out
-from corpusforge.operators.items import complete, explode_items, rejects, retry_requests, with_items
+from corpusforge.operators.items import GENERATORS, Generator, complete, explode_items, rejects, retry_requests, with_items
 from corpusforge.plans.corpus import prompts_of, templates_of
 from corpusforge.session import materialize
 from corpusforge.settings import Settings
@@ -28,20 +28,23 @@ def media_prompts(media: DataFrame, templates: dict[str, str]) -> DataFrame:
     return fan_out(whole, templates).select(*KEYS, "media_path", F.col("template").alias("prompt"))
 
 
-def generate(prompts: DataFrame, call: Callable[..., str], rounds: int = 3, **calling) -> tuple[DataFrame, DataFrame]:
+def generate(prompts: DataFrame, call: Callable[..., str], rounds: int = 3, generators: dict[str, Generator] = GENERATORS,
+             **calling) -> tuple[DataFrame, DataFrame]:
     """Items and rejects of all prompts.
 
     Each round's answers are written down before they are parsed, so no call is ever repeated;
     answers that are not JSON are asked again, with the answer quoted, for up to `rounds` rounds.
+    A call that failed after all its tries is rejected as `call_failed`, with its error and calls.
     """
     items, rejected = None, None
     asked = prompts
     for attempt in range(1, rounds + 1):
         answers = materialize(complete(asked, call, keys=KEYS, **calling).withColumn("attempt", F.lit(attempt)), "answers")
-        listed = with_items(answers)
-        again = retry_requests(listed, max_retries=rounds, keys=KEYS)
+        failed = F.col("raw").isNull() & F.col("error").isNotNull()
+        listed = with_items(answers, generators=generators).withColumn("reason", F.when(failed, "call_failed").otherwise(F.col("reason")))
+        again = retry_requests(listed, max_retries=rounds, keys=KEYS, generators=generators)
         final = listed.filter("reason IS NOT NULL") if attempt == rounds else listed.filter("reason <> 'not_json'")
-        found, lost = explode_items(listed.filter("reason IS NULL"), KEYS), rejects(final, keys=KEYS)
+        found, lost = explode_items(listed.filter("reason IS NULL"), KEYS), rejects(final, keys=KEYS, extra=("error", "calls"))
         items = found if items is None else items.unionByName(found)
         rejected = lost if rejected is None else rejected.unionByName(lost)
         if calling.get("media"):

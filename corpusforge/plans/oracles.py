@@ -156,9 +156,9 @@ SELECT {_BOOK} AS book, count(*)::BIGINT AS chapter_count, sum(strlen(html))::BI
   (sum(strlen(html)) // 2000)::BIGINT AS estimated_pages FROM pages GROUP BY 1"""
 ORACLES["html_book"] = f"""
 WITH c AS (SELECT {_BOOK} AS path, page_id + 1 AS p, {html('html')} AS t FROM pages)
-SELECT path, ((p - 1) // 500)::BIGINT AS part, count(*)::BIGINT AS n_pages,
+SELECT path, count(*)::BIGINT AS n_pages,
   md5({strip("string_agg('=== Chapter ' || p || ' ===' || chr(10) || chr(10) || t, repeat(chr(10), 4) ORDER BY p)")}) AS text_md5
-FROM c WHERE p >= 3 AND p NOT IN (5, 8) GROUP BY 1, 2"""
+FROM c WHERE p >= 3 AND p NOT IN (5, 8) GROUP BY 1"""
 _FLAT = r"regexp_replace(text, '[\r\n]+', ' ', 'g')"
 ORACLES["srt_text"] = rf"""
 WITH l AS (SELECT conv_id, turn, role, list_filter(list_transform({lines("replace(" + _FLAT + ", chr(13), chr(10))")}, lambda s: {strip('s')}),
@@ -228,7 +228,7 @@ _STYLE_ROWS = ", ".join(f"({quoted(s)}, {quoted(g)}, {quoted(p)})" for s, ps in
 ORACLES["prompt_styles"] = f"""
 WITH s(style, generator, prompt) AS (VALUES {_STYLE_ROWS}), g(generator) AS (VALUES ('conversations'), ('qa_pairs'), ('embeddings'), ('summaries')),
 d AS (SELECT doc_id, {one_of('doc_id', list(_STYLES))} AS style FROM documents)
-SELECT doc_id, x.style, x.generator, prompt, {case_of('x.generator', {g: quoted(p) for g, p in fixed.SYSTEM_PROMPTS.items()}, 'NULL')} AS system_prompt FROM (SELECT * FROM d CROSS JOIN g) x LEFT JOIN s ON s.style = x.style AND s.generator = x.generator"""
+SELECT doc_id, x.style, x.generator, coalesce(s.prompt, f.prompt) AS prompt, {case_of('x.generator', {g: quoted(p) for g, p in fixed.SYSTEM_PROMPTS.items()}, 'NULL')} AS system_prompt FROM (SELECT * FROM d CROSS JOIN g) x LEFT JOIN s ON s.style = x.style AND s.generator = x.generator LEFT JOIN s f ON f.style = 'default' AND f.generator = x.generator"""
 
 # Answers by shape. `n` items each; shapes 6 and 7 give none.
 ANSWERS = f"""{GENERATORS}, {chunks("documents")},
@@ -239,18 +239,18 @@ listed AS (SELECT *, CASE generator WHEN 'conversations' THEN '{{"messages":[{{"
   WHEN 'embeddings' THEN '{{"sentence1":"q ' || tag || '","sentence2":"a ' || tag || '","similarity":0.5}}'
   ELSE '{{"summary":"a ' || tag || '"}}' END AS item,
   CASE shape WHEN 0 THEN 2 WHEN 1 THEN 2 WHEN 3 THEN 3 WHEN 6 THEN 0 WHEN 7 THEN 0 ELSE 1 END AS n FROM a),
-items AS (SELECT doc_id, chunk_id, generator, tag, shape, unnest(range(n)) AS item_no,
-  CASE WHEN shape = 5 AND generator = 'summaries' THEN '"a ' || tag || '"' ELSE item END AS item FROM listed)"""
+items AS (SELECT doc_id, chunk_id, generator, tag, shape, unnest(range(n)) AS item_no, item FROM listed)"""
 ORACLES["parse_completions"] = f"WITH RECURSIVE {ANSWERS} SELECT doc_id, chunk_id::BIGINT AS chunk_id, generator, item_no::BIGINT AS item_no, item FROM items"
 ORACLES["rejected_completions"] = f"""
 WITH RECURSIVE {ANSWERS} SELECT doc_id, chunk_id::BIGINT AS chunk_id, generator, CASE shape WHEN 6 THEN 'unexpected_type' ELSE 'not_json' END AS reason,
   CASE shape WHEN 6 THEN '42' ELSE 'Sorry, here is ' || tag END AS raw FROM a WHERE shape >= 6"""
 ORACLES["retry_prompts"] = f"""
-WITH RECURSIVE {ANSWERS} SELECT doc_id, chunk_id::BIGINT AS chunk_id, generator, (attempt + 1)::BIGINT AS attempt, right(CASE generator
+WITH RECURSIVE {ANSWERS} SELECT doc_id, chunk_id::BIGINT AS chunk_id, generator, (attempt + 1)::BIGINT AS attempt,
+  'Your output wasn''t valid JSON. Please re-emit exactly valid JSON matching this schema:' || chr(10) || chr(10) || CASE generator
     WHEN 'conversations' THEN '{{"conversations": [{{"messages": [{{"role": "string", "content": "string"}}]}}]}}'
     WHEN 'qa_pairs' THEN '{{"qa_pairs": [{{"question": "string", "answer": "string"}}]}}'
     WHEN 'embeddings' THEN '{{"embeddings": [{{"sentence1": "string", "sentence2": "string", "similarity": 0.0}}]}}'
-    ELSE '{{"summaries": ["string"]}}' END || chr(10) || chr(10) || 'Previous output:' || chr(10) || 'Sorry, here is ' || tag, 60) AS prompt_end
+    ELSE '{{"summaries": ["string"]}}' END || chr(10) || chr(10) || 'Previous output:' || chr(10) || 'Sorry, here is ' || tag AS prompt
 FROM a WHERE shape = 7 AND attempt < 3"""
 _KEYS = "doc_id, chunk_id::BIGINT AS chunk_id, item_no::BIGINT AS item_no"
 ORACLES["typed_qa_pairs"] = f"WITH RECURSIVE {ANSWERS} SELECT {_KEYS}, 'q ' || tag AS question, 'a ' || tag AS answer FROM items WHERE generator = 'qa_pairs'"
@@ -264,7 +264,7 @@ WITH RECURSIVE {ANSWERS} SELECT generator AS item_generator, '2024-01-20T00:00:0
 ORACLES["items_merged"] = f"""
 WITH RECURSIVE {ANSWERS} SELECT {_KEYS}, generator, CASE generator WHEN 'summaries' THEN 'a ' ELSE 'q ' END || tag AS lead FROM items WHERE generator <> 'conversations'"""
 ORACLES["items_of_two_runs"] = """
-SELECT doc_id, split_part(text, chr(10), 1) AS question, lang, NULL::VARCHAR AS summary FROM documents UNION ALL SELECT item_id, NULL, NULL, text FROM benchmark"""
+SELECT doc_id, text AS question, lang, NULL::VARCHAR AS summary FROM documents UNION ALL SELECT item_id, NULL, NULL, text FROM benchmark"""
 ORACLES["items_override"] = f"""
 WITH RECURSIVE {ANSWERS}, toxic AS (SELECT doc_id FROM labels WHERE toxic = 1),
 u AS (SELECT doc_id, generator, item FROM items WHERE NOT (generator = 'qa_pairs' AND doc_id IN (SELECT doc_id FROM toxic))
@@ -283,15 +283,17 @@ ORACLES["sample_items"] = "SELECT doc_id, source FROM documents ORDER BY md5(doc
 # --- conversations and rendering ---------------------------------------------------------
 
 ORACLES["chat_rows"] = """
-SELECT conv_id, (turn // 1000)::BIGINT AS segment, count(*)::BIGINT AS n_messages, string_agg(role || ': ' || text, '|' ORDER BY turn) AS chat
-FROM conversations GROUP BY 1, 2"""
+SELECT conv_id, count(*)::BIGINT AS n_messages, string_agg(role || ': ' || text, '|' ORDER BY turn) AS chat
+FROM conversations GROUP BY 1"""
 ORACLES["chat_flat"] = """
 SELECT conv_id AS conversation_id, '' AS source_file, row_number() OVER w - 1 AS message_index, role, text AS content,
   count(*) OVER (PARTITION BY conv_id)::BIGINT AS conversation_length FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)"""
 ORACLES["chat_jsonl"] = """
-SELECT conv_id, (turn // 1000)::BIGINT AS segment,
+SELECT conv_id,
   '{"messages":[' || string_agg('{"role":' || to_json(role) || ',"content":' || to_json(text) || '}', ',' ORDER BY turn) || ']}' AS json
-FROM conversations GROUP BY 1, 2"""
+FROM conversations GROUP BY 1"""
+ORACLES["chat_long"] = """
+SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS message_index, role, md5(text) AS content_md5, count(*) OVER () AS conversation_length FROM conversations"""
 _CHATS = """chats AS (SELECT conv_id, count(*) AS n, list(role ORDER BY turn) AS roles, list(text ORDER BY turn) AS said FROM conversations GROUP BY 1),
 docs AS (SELECT 'turns-' || n AS stem, row_number() OVER (PARTITION BY n ORDER BY conv_id) AS i, count(*) OVER (PARTITION BY n) AS total, * FROM chats)"""
 ORACLES["render_txt"] = f"""
@@ -319,7 +321,7 @@ WITH RECURSIVE {_QA}
 SELECT doc_id, i::BIGINT AS block_no, CASE WHEN i > 1 THEN ',' ELSE '' END || '{{"question":"q ' || tag || '","answer":"a ' || tag || '"}}' AS block FROM qa
 UNION ALL SELECT DISTINCT doc_id, 0::BIGINT, '[' FROM qa UNION ALL SELECT DISTINCT doc_id, (total + 1)::BIGINT, ']' FROM qa"""
 ORACLES["render_summaries"] = """
-WITH n AS (SELECT source, split_part(text, chr(10), 1) AS summary, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i,
+WITH n AS (SELECT source, text AS summary, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i,
   count(*) OVER (PARTITION BY source) AS total FROM documents)
 SELECT source, i::BIGINT AS block_no, '## Summary ' || i || chr(10) || chr(10) || '**Summary:** ' || summary || chr(10) || chr(10)
   || '**Original Text:**' || chr(10) || '```' || chr(10) || CASE WHEN length(text) > 500 THEN left(text, 500) || '...' ELSE text END
@@ -480,7 +482,7 @@ ORACLES["document_stats"] = f"""
 WITH {PAGES} SELECT path, count(*)::BIGINT AS page_count, sum(length(text))::BIGINT AS total_text_length, sum(image_count)::BIGINT AS total_images,
   round(avg(length(text)) + 3e-9, 6) AS avg_text_per_page, round(avg(image_count) + 3e-9, 6) AS avg_images_per_page FROM p GROUP BY 1"""
 ORACLES["assemble_pages"] = f"""
-WITH {PAGES} SELECT path, ((page_num - 1) // 500)::BIGINT AS part, count(*)::BIGINT AS n_pages, md5({strip("string_agg(text, chr(10) || chr(10) ORDER BY page_num)")}) AS text_md5 FROM p GROUP BY 1, 2"""
+WITH {PAGES} SELECT path, count(*)::BIGINT AS n_pages, md5({strip("string_agg(text, chr(10) || chr(10) ORDER BY page_num)")}) AS text_md5 FROM p GROUP BY 1"""
 ORACLES["page_range"] = "SELECT conv_id, turn + 1 AS page_num, md5(text) AS text_md5 FROM conversations WHERE turn + 1 BETWEEN 2 AND 6 AND turn + 1 <> 4"
 ORACLES["skip_pages"] = """
 SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat([doc_id % 9 + 1], range(doc_id % 5 + 2, doc_id % 5 + 7)))), ',') AS skip FROM documents"""

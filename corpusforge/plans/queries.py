@@ -12,7 +12,7 @@ from corpusforge.plans import corpus, derived
 from corpusforge.session import shared_dir
 from corpusforge.settings import Settings
 from corpusforge.sources.files import decode_text
-from corpusforge.sources.tables import is_small, read_table, spread
+from corpusforge.sources.tables import read_table
 from corpusforge.streaming import corpus as streaming
 
 QUERIES = {}
@@ -36,7 +36,7 @@ def documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, d: str, *columns: str) -> DataFrame:
-    return spread(documents(spark, d).select("doc_id", "text", *columns))
+    return documents(spark, d).select("doc_id", "text", *columns)
 
 
 def r6(column: Column) -> Column:
@@ -137,7 +137,7 @@ def excerpts(spark, d):
 
 @query
 def html_text(spark, d):
-    html = spread(read_table(spark, d, "pages"))
+    html = read_table(spark, d, "pages")
     return html.select("page_id", text.html_to_text(F.col("html")).alias("text"))
 
 
@@ -151,12 +151,12 @@ def html_profile(spark, d):
 @query
 def html_book(spark, d):
     """Pages of a site as the chapters of one text."""
-    html = spread(read_table(spark, d, "pages"))
+    html = read_table(spark, d, "pages")
     chapters = html.select(
         F.regexp_extract("url", r"^https?://([^/]+)", 1).alias("path"), (F.col("page_id") + 1).alias("page_num"), text.html_to_text(F.col("html")).alias("text")
     )
     out = pages.assemble_document(quality.page_filter(chapters, start=3, skip=[5, 8]), headers="=== Chapter %d ===")
-    return out.select("path", big("part").alias("part"), F.md5("text").alias("text_md5"), big("n_pages").alias("n_pages"))
+    return out.select("path", F.md5("text").alias("text_md5"), big("n_pages").alias("n_pages"))
 
 
 @query
@@ -272,7 +272,7 @@ def rejected_completions(spark, d):
 @query
 def retry_prompts(spark, d):
     out = items.retry_requests(items.with_items(_answers(spark, d)))
-    return out.select("doc_id", big("chunk_id").alias("chunk_id"), "generator", big("attempt").alias("attempt"), F.right("prompt", F.lit(60)).alias("prompt_end"))
+    return out.select("doc_id", big("chunk_id").alias("chunk_id"), "generator", big("attempt").alias("attempt"), "prompt")
 
 
 @query
@@ -315,8 +315,8 @@ def items_merged(spark, d):
 def items_of_two_runs(spark, d):
     """Items of the corpus and of the benchmark texts, as two runs merged into one table."""
     bench = read_table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), F.col("text").alias("summary"))
-    first_lines = documents(spark, d).select("doc_id", F.split_part("text", F.lit("\n"), F.lit(1)).alias("question"), F.col("lang"))
-    return items.merge_items(first_lines, bench)
+    asked = documents(spark, d).select("doc_id", F.col("text").alias("question"), "lang")
+    return items.merge_items(asked, bench)
 
 
 @query
@@ -362,28 +362,33 @@ def sample_items(spark, d):
 def chat_rows(spark, d):
     chats = conversations.collect_messages(read_table(spark, d, "conversations"))
     joined = F.array_join(F.transform("messages", lambda m: F.concat_ws(": ", m["role"], m["content"])), "|")
-    return chats.select("conv_id", big("segment").alias("segment"), big(F.size("messages")).alias("n_messages"), joined.alias("chat"))
+    return chats.select("conv_id", big(F.size("messages")).alias("n_messages"), joined.alias("chat"))
 
 
 @query
 def chat_flat(spark, d):
-    chats = conversations.collect_messages(read_table(spark, d, "conversations"))
-    out = conversations.flatten_conversations(chats)
-    return out.withColumns({"message_index": big("message_index"), "conversation_length": big("conversation_length")})
+    return conversations.flatten_turns(read_table(spark, d, "conversations"))
+
+
+@query
+def chat_long(spark, d):
+    """All turns of the table as one conversation, far longer than any task should gather."""
+    turns = read_table(spark, d, "conversations")
+    one = turns.select((F.col("conv_id") % 1).alias("conv_id"), (F.col("conv_id") * 1_000_000 + F.col("turn")).alias("turn"), "role", "text")
+    return conversations.flatten_turns(one).select("message_index", "role", F.md5("content").alias("content_md5"), "conversation_length")
 
 
 @query
 def chat_jsonl(spark, d):
-    out = conversations.chat_jsonl(conversations.collect_messages(read_table(spark, d, "conversations")))
-    return out.withColumn("segment", big("segment"))
+    return conversations.chat_jsonl(conversations.collect_messages(read_table(spark, d, "conversations")))
 
 
 def _chat_items(spark, d) -> DataFrame:
     """Conversations as the items of the documents of one role count (a document has many)."""
     chats = conversations.collect_messages(read_table(spark, d, "conversations"))
     stem = F.concat(F.lit("turns-"), F.size("messages").cast("string"))
-    rows = chats.select(stem.alias("stem"), "conv_id", "segment", "messages", F.concat(stem, F.lit(".txt")).alias("source_file"))
-    return render.number_items(rows, ["stem"], ["conv_id", "segment"]).drop("conv_id", "segment")
+    rows = chats.select(stem.alias("stem"), "conv_id", "messages", F.concat(stem, F.lit(".txt")).alias("source_file"))
+    return render.number_items(rows, ["stem"], ["conv_id"]).drop("conv_id")
 
 
 def _qa_items(spark, d) -> DataFrame:
@@ -414,8 +419,8 @@ def render_json(spark, d):
 
 @query
 def render_summaries(spark, d):
-    """Each document as the summary of itself: its first line, and the text it stands for."""
-    docs = documents(spark, d).select("source", "doc_id", F.split_part("text", F.lit("\n"), F.lit(1)).alias("summary"), F.col("text").alias("original_text"))
+    """Each document as the summary of itself."""
+    docs = documents(spark, d).select("source", "doc_id", F.col("text").alias("summary"), F.col("text").alias("original_text"))
     numbered = render.number_items(docs, ["source"], ["doc_id"]).drop("doc_id")
     return render.render_blocks(numbered, ["source"], "summaries", "markdown")
 
@@ -673,7 +678,7 @@ def document_stats(spark, d):
 @query
 def assemble_pages(spark, d):
     out = pages.assemble_document(_pages(spark, d))
-    return out.select("path", big("part").alias("part"), "n_pages", F.md5("text").alias("text_md5"))
+    return out.select("path", "n_pages", F.md5("text").alias("text_md5"))
 
 
 @query
@@ -880,8 +885,7 @@ def _run_stream(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
 @query
 def stream_corpus(spark, d):
     table = documents(spark, d)
-    partitions = spark.sparkContext.defaultParallelism if is_small(table) else None
-    docs = streaming.stream_table(spark, d, table.schema, "documents.parquet", partitions=partitions)
+    docs = streaming.stream_table(spark, d, table.schema, "documents.parquet")
     out = _run_stream(spark, streaming.corpus_chunks(docs, ["doc_id"]), "stream-corpus")
     return out.select("doc_id", big("chunk_id").alias("chunk_id"), F.md5("chunk").alias("chunk_md5"))
 

@@ -14,6 +14,10 @@ FORMATS = ("jsonl", "json", "csv", "txt", "markdown", "xml")
 FORMAT_BY_SUFFIX = {".jsonl": "jsonl", ".json": "json", ".csv": "csv", ".txt": "txt", ".md": "markdown", ".xml": "xml"}
 
 
+# Overwriting replaces the keys that are written, and no other.
+OVERWRITE = {"partitionOverwriteMode": "dynamic"}
+
+
 def choose_format(configured: str | None = None, path: str | None = None, kind: str | None = None) -> str:
     """The configured format, else that of the file suffix, else one named like the kind, else JSON Lines."""
     if configured:
@@ -26,13 +30,13 @@ def choose_format(configured: str | None = None, path: str | None = None, kind:
 
 def write_jsonl(items: DataFrame, path: str, partition_by: list[str] | None = None, mode: str = "append") -> None:
     """One JSON object per line, non-ASCII characters as they are."""
-    writer = items.write.mode(mode).option("ignoreNullFields", "true")
+    writer = items.write.mode(mode).options(**OVERWRITE).option("ignoreNullFields", "true")
     (writer.partitionBy(*partition_by) if partition_by else writer).json(path)
 
 
 def write_csv(items: DataFrame, path: str, partition_by: list[str] | None = None, mode: str = "append") -> None:
     """Columns in name order with a header in every part file; nested values as JSON."""
-    writer = csv_columns(items).write.mode(mode).options(header="true", quote='"', escape='"')
+    writer = csv_columns(items).write.mode(mode).options(**OVERWRITE).options(header="true", quote='"', escape='"')
     (writer.partitionBy(*partition_by) if partition_by else writer).csv(path)
 
 
@@ -48,7 +52,7 @@ def write_documents(blocks: DataFrame, path: str, keys: list[str], mode: str = "
     document over several part files.
     """
     ordered = blocks.repartitionByRange(*keys, "block_no").sortWithinPartitions(*keys, "block_no")
-    ordered.select(*keys, F.col("block").alias("value")).write.mode(mode).partitionBy(*keys).text(path)
+    ordered.select(*keys, F.col("block").alias("value")).write.mode(mode).options(**OVERWRITE).partitionBy(*keys).text(path)
 
 
 # Writers of a whole dataset by format name: items, path and keys. Any other name is a document
@@ -56,26 +60,27 @@ def write_documents(blocks: DataFrame, path: str, keys: list[str], mode: str = "
 WRITERS = {"jsonl": write_jsonl, "csv": write_csv}
 
 
-def write_items(items: DataFrame, path: str, kind: str, fmt: str, keys: list[str]) -> None:
+def write_items(items: DataFrame, path: str, kind: str, fmt: str, keys: list[str], mode: str = "append") -> None:
     """Write items per document in a dataset format of `WRITERS` or a document format."""
     if fmt in WRITERS:
         # Items of a document next to each other, so that it becomes one file and not one per
         # task; the item number in the key lets a huge document spread over several.
         near = [*keys, *(["item_no"] if "item_no" in items.columns else [])]
-        WRITERS[fmt](items.repartitionByRange(*near), path, keys)
+        WRITERS[fmt](items.repartitionByRange(*near), path, keys, **({} if mode == "append" else {"mode": mode}))
     else:
-        write_documents(render_blocks(items, keys, kind, fmt), path, keys)
+        write_documents(render_blocks(items, keys, kind, fmt), path, keys, mode)
 
 
 def write_per_file_and_final(items: DataFrame, base: str, batch: str, kind: str, formats: list[str], stem: str = "stem") -> None:
     """Per source file and merged outputs of one generator.
 
-    Per-file rows land in `data/<batch>/<format>/<generator>/stem=<stem>/`; the merged dataset
-    `final_<generator>` exists for JSON Lines and CSV and is appended to by later runs.
+    Per-file rows land in `data/<batch>/<format>/<generator>/stem=<stem>/`, where a later run replaces
+    those of the files it has; the merged dataset `final_<generator>` exists for JSON Lines and
+    CSV and is appended to.
     """
     for fmt in formats:
         root = f"{base}/data/{batch}/{fmt}"
-        write_items(items, f"{root}/{kind}", kind, fmt, [stem])
+        write_items(items, f"{root}/{kind}", kind, fmt, [stem], "overwrite")
         merged = items.drop(stem, "item_no")
         if fmt == "jsonl":
             write_jsonl(merged, f"{root}/final_{kind}")

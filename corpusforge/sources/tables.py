@@ -4,20 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-# A scan with fewer splits than this per core is small, and may even sit in one row group that
-# only one task can read. Spreading it moves at most this many splits per core.
-SPLITS_PER_CORE = 2
-
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
-
-
-def is_small(df: DataFrame) -> bool:
-    """Whether a scan has too few splits to keep every core at work."""
-    return df.rdd.getNumPartitions() < SPLITS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core on a small input of heavy per-row work; leave a large one alone."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if is_small(df) else df

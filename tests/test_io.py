@@ -171,3 +171,16 @@ def test_user_extractor(spark, folder):
     assert json.loads(got["a.txt"]["images"]) == [{"page_num": 1}]
     assert (got["B.TXT"]["status"], got["B.TXT"]["error"]) == ("error", "bad bytes")
     assert got["c.srt"]["status"] == "too_large" and got["bad.epub"]["status"] == "unsupported"
+
+
+def test_rerun_replaces_files_and_keeps_others(spark, tmp_path):
+    from corpusforge.sinks import writers
+
+    first = spark.createDataFrame([("a", 1, "q1", "r1"), ("b", 1, "q2", "r2")], "stem string, item_no long, question string, answer string")
+    for rows in (first, first.filter("stem = 'a'")):
+        writers.write_per_file_and_final(rows, str(tmp_path), "x", "qa_pairs", ["jsonl", "markdown"])
+    back = spark.read.json(str(tmp_path / "data/x/jsonl/qa_pairs"))
+    assert sorted(r["question"] for r in back.collect()) == ["q1", "q2"]
+    text = spark.read.text(str(tmp_path / "data/x/markdown/qa_pairs/stem=a"), wholetext=True).collect()
+    assert sum(r["value"].count("# Q&A") for r in text) == 2
+    assert spark.read.json(str(tmp_path / "data/x/jsonl/final_qa_pairs")).count() == 3

@@ -25,7 +25,9 @@ def listed(spark, *answers):
         ("embeddings", '{"pairs": [{"sentence1": "a"}]}', 1),
         ("summaries", '{"summary": "short"}', 1),
         ("summaries", '{"summaries": ["a", "b"]}', 2),
-        ("other", '{"other": [1, 2]}', 1),
+        ("other", '{"other": [1, 2]}', 2),
+        ("image_descriptions", '{"image_descriptions": [{"a": 1}, {"a": 2}, {"a": 3}]}', 3),
+        ("other", '{"image_descriptions": [{"a": 1}]}', 1),
     ],
 )
 def test_item_counts(spark, generator, raw, n):
@@ -110,11 +112,25 @@ def test_completion_hook_retries_and_reports(spark):
     assert got[3]["raw"] and got[3]["calls"] == 2 and got[3]["error"] is None
 
 
-def test_long_conversation_is_cut_into_segments(spark):
+@pytest.mark.parametrize(
+    "raw, items_json",
+    [
+        ('{"summary":"s","original_text":"t"}', ['{"original_text":"t","summary":"s"}']),
+        ('{"summaries":["a","b"]}', ['{"summary":"a"}', '{"summary":"b"}']),
+        ('["a",{"summary":"b"}]', ['{"summary":"a"}', '{"summary":"b"}']),
+        ('{"summary":"x"}', ['{"summary":"x"}']),
+    ],
+)
+def test_summaries_are_objects(spark, raw, items_json):
+    found = items.explode_items(listed(spark, ("summaries", raw))).orderBy("item_no")
+    assert [r["j"] for r in found.select(F.to_json("item").alias("j")).collect()] == items_json
+
+
+def test_long_conversation_stays_one(spark):
     turns = spark.range(2500).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"), F.col("id").cast("string").alias("text"))
-    chats = conversations.collect_messages(turns)
-    got = {r["segment"]: [int(m["content"]) for m in r["messages"]] for r in chats.collect()}
-    assert got == {0: list(range(1000)), 1: list(range(1000, 2000)), 2: list(range(2000, 2500))}
+    rows = conversations.flatten_turns(turns).collect()
+    assert {r["conversation_length"] for r in rows} == {2500} and sorted((r["message_index"], int(r["content"])) for r in rows) == [(i, i) for i in range(2500)]
+    assert conversations.chat_jsonl(conversations.collect_messages(turns)).count() == 1
 
 
 def test_flatten_undoes_collect(spark):

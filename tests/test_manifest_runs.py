@@ -121,10 +121,10 @@ def test_document_classes(spark, counts, content_type, strategy, confidence):
     assert got["confidence"] == pytest.approx(confidence)
 
 
-def test_assembled_parts_keep_every_page(spark):
+def test_assembled_texts_keep_every_page(spark):
     df = spark.range(1, 1201).select(F.lit("d").alias("path"), F.col("id").alias("page_num"), F.concat(F.lit("p"), F.col("id").cast("string")).alias("text"))
-    parts = [r["text"] for r in pages.assemble_document(df).orderBy("part").collect()]
-    assert len(parts) == 3 and "\n\n".join(parts) == "\n\n".join(f"p{i}" for i in range(1, 1201))
+    texts = [r["text"] for r in pages.assemble_document(df).collect()]
+    assert texts == ["\n\n".join(f"p{i}" for i in range(1, 1201))]
 
 
 def test_settings_are_checked():

@@ -21,11 +21,8 @@ def test_no_cross_joins_and_no_python(plans):
             assert bad not in text, (name, bad)
 
 
-def test_row_local_work_does_not_shuffle(spark, monkeypatch):
-    """Beyond the size at which small inputs are spread, these are scan and project only."""
-    from corpusforge.sources import tables
-
-    monkeypatch.setattr(tables, "SPLITS_PER_CORE", 0)
+def test_row_local_work_does_not_shuffle(spark):
+    """These are scan and project only, at every size."""
     for name in ("text_quality", "clean_text", "chunk_default", "chunk_paragraph", "prompt_fanout", "page_analysis", "nearby_text", "html_text"):
         assert "Exchange" not in plan(entry.queries()[name](spark, SMALL)), name
 

@@ -182,3 +182,21 @@ def test_layout(one):
     assert one(layout.is_single_color(counts, F.lit(100))) is True
     assert one(layout.is_single_color(counts, F.lit(200))) is False
     assert one(layout.image_quality(F.lit(0), F.lit(10), F.lit("L"), F.lit(None).cast("int"))) == pytest.approx(0.3)
+
+
+def test_one_very_long_word_is_read_once(spark):
+    """A megabyte without white space, and one of opening brackets, take no time to speak of."""
+    import time
+
+    df = spark.createDataFrame([("x" * 1_000_000,), ("<" * 1_000_000,)], "t string")
+    df.select(text.has_words(F.col("t"), 4)).collect()
+    start = time.time()
+    rows = df.select(text.has_words(F.col("t"), 4).alias("w"), text.is_header_footer(F.col("t")).alias("h"), text.html_to_text(F.col("t")).alias("p")).collect()
+    assert time.time() - start < 8
+    assert [(r["w"], r["h"]) for r in rows] == [(False, True)] * 2 and rows[0]["p"] == "x" * 1_000_000
+
+
+def test_variety_of_unusual_texts(one):
+    for value in ("аб" * 30, "abcdefghijklmnopqrstuvwxyz", "0123456789" * 3, "ABCabc"):
+        kinds = min(1.0, len(set(value.lower())) / 26)
+        assert one(text._variety(F.lit(value), 26)) == pytest.approx(kinds)
