@@ -92,15 +92,14 @@ class AutoStop(Exception):
     """Raised before a micro-batch when the run has met one of its limits."""
 
 
-STATE_SCHEMA = "batch_id long, streak long, max_streak long, successes long, elapsed double, quota boolean"
+STATE_SCHEMA = "streak long, max_streak long, successes long, elapsed double, quota boolean"
 
 
 def _state_before(spark: SparkSession, path: str, batch_id: int) -> RunState:
-    """The state stored by the latest earlier batch: one row of a table of one row per batch."""
-    fields = [c.split(" ")[0] for c in STATE_SCHEMA.split(", ")[1:]]
-    rows = spark.read.schema(STATE_SCHEMA).json(path).filter(F.col("batch_id") < batch_id)
-    last = rows.agg(F.max_by(F.struct(*fields), "batch_id").alias("s")).first()["s"]
-    return RunState(*last) if last else RunState()
+    """The state the batch before has stored, in a folder of its own; nothing older is read."""
+    if batch_id == 0:
+        return RunState()
+    return RunState(*spark.read.schema(STATE_SCHEMA).json(f"{path}/{batch_id - 1}").first())
 
 
 def run_with_auto_stop(log: DataFrame, sink: Callable[[DataFrame, int], None], state_path: str, checkpoint: str,
@@ -112,7 +111,6 @@ def run_with_auto_stop(log: DataFrame, sink: Callable[[DataFrame, int], None], s
     it is handed on: it stays uncommitted and nothing is lost. `sink` must be idempotent per
     batch id, since Spark may hand a batch again after a failure.
     """
-    log.sparkSession.createDataFrame([], STATE_SCHEMA).write.mode("append").json(state_path)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -122,7 +120,7 @@ def run_with_auto_stop(log: DataFrame, sink: Callable[[DataFrame, int], None], s
             raise AutoStop(reason)
         sink(batch, batch_id)
         after = astuple(run_state(batch, before))
-        spark.createDataFrame([(batch_id, *after)], STATE_SCHEMA).coalesce(1).write.mode("append").json(state_path)
+        spark.createDataFrame([after], STATE_SCHEMA).coalesce(1).write.mode("overwrite").json(f"{state_path}/{batch_id}")
 
     writer = log.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer
