@@ -91,4 +91,4 @@ def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = 0.8) ->
     found = contaminated(docs, items, threshold)
     bad = materialize(found.select("doc_id", "text_hash").distinct(), "contaminated")
     same = (docs["doc_id"].cast("long").eqNullSafe(bad["doc_id"])) & (F.xxhash64(docs["text"].cast("string")) == bad["text_hash"])
-    return docs.join(bad, same, "left_anti")
+    return docs.join(F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad, same, "left_anti")

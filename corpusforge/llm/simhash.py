@@ -55,7 +55,7 @@ def fingerprints(docs: DataFrame, size: int = 4, seed: int = 42) -> DataFrame:
     """doc_id, text_key (hash of the text) and fingerprint, a signed 64-bit number, of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most=2 << 20):
             prints = text_fingerprints(*text_bytes(batch.column("text")), size, seed).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(prints)], names=["doc_id", "text_key", "fingerprint"])
 
@@ -300,13 +300,21 @@ def near_duplicates(docs: DataFrame, distance: int = 4, size: int = 4, seed: int
 
 
 def deduplicate(docs: DataFrame, distance: int = 4, size: int = 4) -> DataFrame:
-    """The documents, one per component: that of the least doc_id (nulls last), all its columns kept."""
-    found = near_duplicates(docs, distance, size)
+    """The documents, one per component: that of the least doc_id (nulls last), all its columns kept.
+
+    What goes is taken out by doc_id and a hash of the text. The rows that go are told to all executors
+    if they have been counted to be few; texts move only beyond that, or to drop repeated rows.
+    """
+    found = materialize(near_duplicates(docs, distance, size), "components")
     order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("text_key").alias("c"))
     # Components of null ids alone are told apart by their fingerprints.
-    group = [F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("alone")]
-    chosen = found.groupBy(*group).agg(F.min(order).alias("o")).select(F.col("o.b").alias("_id"), F.col("o.c").alias("_key"))
-    chosen = materialize(chosen.distinct(), "representatives")
-    kept = docs.join(chosen, docs["doc_id"].cast("long").eqNullSafe(chosen["_id"]) & (F.xxhash64(docs["text"].cast("string")) == chosen["_key"]), "left_semi")
-    same = found.groupBy("doc_id", "text_key").count().filter("count > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id", "text"]) if same else kept
+    rows = found.withColumn("alone", F.when(F.col("component_id").isNull(), F.col("fingerprint")))
+    first = rows.groupBy("component_id", "alone").agg(F.min(order).alias("o"), F.count("*").alias("n")).filter("n > 1")
+    first = first.select(F.col("component_id").alias("_c"), F.col("alone").alias("_a"), F.col("o.b").alias("_id"), F.col("o.c").alias("_key"))
+    same = F.col("component_id").eqNullSafe(F.col("_c")) & F.col("alone").eqNullSafe(F.col("_a"))
+    stays = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("text_key").eqNullSafe(F.col("_key"))
+    gone = materialize(rows.join(first, same).filter(~stays).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct(), "gone")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    kept = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_id"]) & (F.xxhash64(docs["text"].cast("string")) == gone["_key"]), "left_anti")
+    repeated = found.groupBy("doc_id", "text_key").count().filter("count > 1").limit(1).count()
+    return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept

@@ -21,7 +21,7 @@ START = 31
 LONGEST = 24
 SPAN = 8
 DECAY = 0.7
-KEEP = 1_000_000
+KEEP = 500_000
 # Landmarks are chosen among so many words of either kind.
 CANDIDATES = 600
 
@@ -66,7 +66,7 @@ def features(spelled: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray
     """
     sizes = np.fromiter(map(len, spelled), np.int64, len(spelled))
     for n in np.unique(sizes[sizes > 2]):
-        for some in np.array_split(np.flatnonzero(sizes == n), max(1, int((sizes == n).sum()) // 20_000)):
+        for some in np.array_split(np.flatnonzero(sizes == n), max(1, int((sizes == n).sum()) // 4_000)):
             letters = np.stack([spelled[i] for i in some])
             index, weights = _triples(int(n))
             codes = (letters[:, index[:, 0]] * ALPHABET + letters[:, index[:, 1]]) * ALPHABET + letters[:, index[:, 2]]
@@ -376,20 +376,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def reject_toxic(docs: DataFrame, model: Model) -> DataFrame:
     """The documents not predicted toxic, with all their columns."""
-    margin = F.pandas_udf(_series_margins(model), "double")
-    return docs.filter(F.coalesce(margin(F.col("text").cast("string")) * model.slope + model.shift < 0, F.lit(True)))
-
-
-def _series_margins(model: Model):
-    def run(text):
-        import pandas as pd
 
-        array = pa.array(text, pa.string())
-        batch = pa.RecordBatch.from_arrays([array], names=["text"])
+    def margins(text: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([text], names=["text"])
         parts = [text_margins(*text_bytes(b.column("text")), model) for b in slices(iter([batch]), most=2 << 20)]
-        return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+        return pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
-    import pandas as pd
-
-    run.__annotations__ = {"text": pd.Series, "return": pd.Series}
-    return run
+    margins.__annotations__ = {"text": pa.Array, "return": pa.Array}
+    margin = F.arrow_udf(margins, "double")
+    return docs.filter(F.coalesce(margin(F.col("text").cast("string")) * model.slope + model.shift < 0, F.lit(True)))
