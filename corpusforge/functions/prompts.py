@@ -15,6 +15,16 @@ def build_prompt(template: Column, chunk: Column) -> Column:
     )
 
 
+def prompt_length(template: Column, chunk_length: Column) -> Column:
+    """Length of what `build_prompt` makes, from the length of the chunk."""
+
+    def filled(mark: str) -> Column:
+        places = (F.length(template) - F.length(F.replace(template, F.lit(mark), F.lit("")))) / len(mark)
+        return F.length(template) + places * (chunk_length - len(mark))
+
+    return F.when(template.contains("{chunk}"), filled("{chunk}")).otherwise(filled("{text}")).cast("long")
+
+
 def prompt_for(style: Column, generator: Column, custom: dict[str, str] | None = None) -> Column:
     """Template of a style and generator, the default where the style has none; custom prompts replace the style as a whole."""
     if custom:

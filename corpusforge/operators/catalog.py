@@ -36,17 +36,21 @@ def price_lookup(calls: DataFrame, catalog: DataFrame) -> DataFrame:
     return calls.join(prices, ["provider", "model"], "left")
 
 
-def with_cost(calls: DataFrame, catalog: DataFrame, tokens: str = "tokens") -> DataFrame:
+def with_cost(calls: DataFrame, catalog: DataFrame, tokens: str = "tokens", output_tokens: str | None = None, images: str | None = None) -> DataFrame:
+    """Add `cost`; output tokens default to the input's, and images cost the model's image price."""
     priced = price_lookup(calls, catalog)
-    cost = estimate_cost(F.col(tokens), F.col("input_per_1k"), F.col("output_per_1k"))
+    output = F.col(output_tokens) if output_tokens else None
+    counted = F.coalesce(F.col(images), F.lit(0)) if images else None
+    cost = estimate_cost(F.col(tokens), F.col("input_per_1k"), F.col("output_per_1k"), output, counted, F.col("image_price"))
     return priced.withColumn("cost", cost).drop("input_per_1k", "output_per_1k", "image_price")
 
 
-def cost_report(calls: DataFrame, catalog: DataFrame, by: list[str], tokens: str = "tokens") -> DataFrame:
-    """Tokens and cost per group. Prices are per model, so tokens are summed before the join."""
+def cost_report(calls: DataFrame, catalog: DataFrame, by: list[str], tokens: str = "tokens", output_tokens: str | None = None, images: str | None = None) -> DataFrame:
+    """Tokens, images and cost per group. Prices are per model, so counts are summed before the join."""
     groups = list(dict.fromkeys([*by, "provider", "model"]))
-    sums = calls.groupBy(*groups).agg(F.count(F.lit(1)).alias("n_calls"), F.sum(tokens).alias("tokens"))
-    return with_cost(sums, catalog)
+    more = {"output_tokens": output_tokens, "images": images}
+    sums = calls.groupBy(*groups).agg(F.count(F.lit(1)).alias("n_calls"), F.sum(tokens).alias("tokens"), *[F.sum(c).alias(n) for n, c in more.items() if c])
+    return with_cost(sums, catalog, "tokens", *[n if c else None for n, c in more.items()])
 
 
 def resolve_provider(requests: DataFrame, catalog: DataFrame, provider: str = "provider", model: str = "model", vision_only: bool = False) -> DataFrame:

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusforge import fixed_values as fixed
-from corpusforge.functions.prompts import build_prompt
-from corpusforge.functions.text import clean_text, estimate_tokens_chars
+from corpusforge.functions.prompts import build_prompt, prompt_length
+from corpusforge.functions.text import clean_text, remove_header_lines
 from corpusforge.operators.catalog import cost_report
 from corpusforge.operators.chunking import drop_blank_docs, explode_chunks, fan_out
 from corpusforge.operators.quality import min_text_length, quality_gate
@@ -27,8 +27,9 @@ TEMPLATES = templates_of()
 
 
 def clean_documents(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Short texts blanked, the rest cleaned, low quality dropped."""
-    cleaned = docs.withColumn("text", clean_text(min_text_length(F.col("text"), settings.min_text_length)))
+    """Short texts blanked, header lines removed, the rest cleaned, low quality dropped."""
+    text = remove_header_lines(min_text_length(F.col("text"), settings.min_text_length), settings.header_regex)
+    cleaned = docs.withColumn("text", clean_text(text))
     return quality_gate(cleaned, min_length=settings.min_text_length, threshold=settings.quality_threshold)
 
 
@@ -47,12 +48,13 @@ def prompts_of(chunks: DataFrame, templates: dict[str, str]) -> DataFrame:
 def corpus_cost(docs: DataFrame, catalog: DataFrame, routes: dict[str, tuple[str, str]], settings: Settings = Settings()) -> DataFrame:
     """Calls, tokens and price of generating training data for a corpus, per generator.
 
-    `routes` names the provider and model of each generator.
+    `routes` names the provider and model of each generator. Prompts are measured, not built.
     """
-    prompts = prompts_of(document_chunks(docs, settings), templates_of(settings))
+    chunks = document_chunks(docs, settings).select(F.length("chunk").alias("_chars"))
+    prompts = fan_out(chunks, templates_of(settings))
     pairs = [x for g, (p, m) in routes.items() for x in (F.lit(g), F.struct(F.lit(p).alias("p"), F.lit(m).alias("m")))]
     route = F.try_element_at(F.create_map(*pairs), F.col("generator"))
     calls = prompts.select(
-        "generator", route["p"].alias("provider"), route["m"].alias("model"), estimate_tokens_chars(F.col("prompt")).alias("tokens")
+        "generator", route["p"].alias("provider"), route["m"].alias("model"), F.floor(prompt_length(F.col("template"), F.col("_chars")) / fixed.CHARS_PER_TOKEN).alias("tokens"),
     )
     return cost_report(calls, catalog, ["generator"])

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusforge.functions.formats import file_ext, file_stem
+from corpusforge.functions.layout import keep_image
 from corpusforge.functions.text import clean_text, remove_header_lines
 from corpusforge.operators.quality import admission, min_text_length, quality_status, route_processor
 from corpusforge.settings import Settings
@@ -40,6 +41,25 @@ def _raw_texts(files: DataFrame, settings: Settings, extractors: list[Extractor]
     return rows
 
 
+def _kept_images(images: Column, settings: Settings) -> Column:
+    """The JSON list without images that are too small, too poor or, if asked for, of one colour.
+
+    An image is an object that may have `area` (or `width` and `height`), `quality_score` and
+    `single_color`; what it does not say is not held against it.
+    """
+    field = lambda image, name, kind: F.get_json_object(image, f"$.{name}").cast(kind)
+
+    def keep(image: Column) -> Column:
+        area = F.coalesce(field(image, "area", "double"), field(image, "width", "double") * field(image, "height", "double"))
+        return keep_image(area, field(image, "quality_score", "double"), field(image, "single_color", "boolean"), settings.min_image_size, settings.quality_threshold, settings.skip_single_color_images)
+
+    listed = F.from_json(images, "array<string>")
+    kept = F.filter(listed, lambda image: ~image.startswith("{") | keep(image))
+    written = F.transform(kept, lambda image: F.when(image.startswith("{"), image).otherwise(F.concat(F.lit('"'), image, F.lit('"'))))
+    same = listed.isNull() | (F.size(kept) == F.size(listed))
+    return F.when(same, images).otherwise(F.concat(F.lit("["), F.array_join(written, ","), F.lit("]")))
+
+
 def extract_documents(files: DataFrame, settings: Settings = Settings(), extractors: list[Extractor] | None = None) -> DataFrame:
     """One row per file: path, stem, processor, cleaned text, images, `status` and `error`.
 
@@ -51,7 +71,7 @@ def extract_documents(files: DataFrame, settings: Settings = Settings(), extract
     admitted = admission(F.col("path"), F.col("length"), settings.max_file_size, supported)
     listed = files.select("path", "length", "mtime", admitted.alias("_admitted"))
     text = remove_header_lines(min_text_length(F.col("text"), settings.min_text_length), settings.header_regex)
-    read = _raw_texts(files, settings, extractors).withColumn("text", clean_text(text))
+    read = _raw_texts(files, settings, extractors).withColumn("text", clean_text(text)).withColumn("images", _kept_images(F.col("images"), settings))
     has_images = F.when(F.col("images") != "[]", 1).otherwise(0)
     verdict = quality_status(F.col("text"), settings.min_text_length, settings.quality_threshold, has_images)
     judged = read.withColumn("status", F.when(F.col("status") == "ok", verdict).otherwise(F.col("status")))

@@ -296,6 +296,9 @@ ORACLES["chat_long"] = """
 SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS message_index, role, md5(text) AS content_md5, count(*) OVER () AS conversation_length FROM conversations"""
 _CHATS = """chats AS (SELECT conv_id, count(*) AS n, list(role ORDER BY turn) AS roles, list(text ORDER BY turn) AS said FROM conversations GROUP BY 1),
 docs AS (SELECT 'turns-' || n AS stem, row_number() OVER (PARTITION BY n ORDER BY conv_id) AS i, count(*) OVER (PARTITION BY n) AS total, * FROM chats)"""
+ORACLES["csv_rows"] = f"""
+WITH {_CHATS} SELECT stem, i::BIGINT AS item_no, (k - 1)::BIGINT AS message_index, roles[k] AS role, md5(said[k]) AS content_md5, n::BIGINT AS conversation_length
+FROM (SELECT *, unnest(range(1, n + 1)) AS k FROM docs)"""
 ORACLES["render_txt"] = f"""
 WITH {_CHATS}
 SELECT stem, i::BIGINT AS block_no, 'CONVERSATION ' || i || chr(10) || repeat('-', 30) || chr(10)

@@ -10,6 +10,7 @@ from corpusforge.functions import formats, layout, prompts, text
 from corpusforge.operators import catalog, chunking, conversations, dedupe, items, manifest, pages, quality, render, running, runs
 from corpusforge.plans import corpus, derived
 from corpusforge.session import shared_dir
+from corpusforge.sinks import writers
 from corpusforge.settings import Settings
 from corpusforge.sources.files import decode_text
 from corpusforge.sources.tables import read_table
@@ -378,6 +379,20 @@ def chat_long(spark, d):
     return conversations.flatten_turns(one).select("message_index", "role", F.md5("content").alias("content_md5"), "conversation_length")
 
 
+@query
+def csv_rows(spark, d):
+    """Conversations written as CSV files, twice, and read back: a row per message, once."""
+    import uuid
+
+    rows = _chat_items(spark, d).withColumn("item_no", big("item_no"))
+    path = f"{shared_dir(spark)}/csv-rows-{uuid.uuid4().hex}"
+    for _ in range(2):
+        writers.write_items(rows, path, "conversations", "csv", ["stem"], "overwrite")
+    schema = "content string, conversation_length long, item_no long, message_index long, role string, source_file string, stem string"
+    back = spark.read.schema(schema).options(header="true", quote='"', escape='"', multiLine="true").csv(path)
+    return back.select("stem", "item_no", "message_index", "role", F.md5("content").alias("content_md5"), "conversation_length")
+
+
 @query
 def chat_jsonl(spark, d):
     return conversations.chat_jsonl(conversations.collect_messages(read_table(spark, d, "conversations")))

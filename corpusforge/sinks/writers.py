@@ -60,8 +60,17 @@ def write_documents(blocks: DataFrame, path: str, keys: list[str], mode: str = "
 WRITERS = {"jsonl": write_jsonl, "csv": write_csv}
 
 
+def messages_as_rows(items: DataFrame) -> DataFrame:
+    """Conversations as one row per message, as CSV has them; other columns are repeated."""
+    kept = [c for c in items.columns if c != "messages"]
+    rows = items.select(*kept, F.size("messages").alias("conversation_length"), F.posexplode("messages").alias("message_index", "_m"))
+    return rows.select(*kept, "message_index", "_m.role", "_m.content", "conversation_length")
+
+
 def write_items(items: DataFrame, path: str, kind: str, fmt: str, keys: list[str], mode: str = "append") -> None:
     """Write items per document in a dataset format of `WRITERS` or a document format."""
+    if fmt == "csv" and kind == "conversations" and "messages" in items.columns:
+        items = messages_as_rows(items)
     if fmt in WRITERS:
         # Items of a document next to each other, so that it becomes one file and not one per
         # task; the item number in the key lets a huge document spread over several.

@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 
 from corpusforge import fixed_values as fixed
 from corpusforge.functions.formats import file_hash
-from corpusforge.functions.text import clean_text
+from corpusforge.functions.text import clean_text, remove_header_lines
 from corpusforge.operators.chunking import explode_chunks
 from corpusforge.operators.quality import min_text_length, quality_gate
 from corpusforge.operators.runs import RunState, run_state
@@ -42,9 +42,9 @@ def stream_table(spark: SparkSession, folder: str, schema: StructType, pattern:
 
 
 def corpus_chunks(docs: DataFrame, keep: list[str], text: str = "text", min_length: int = fixed.MIN_TEXT_LENGTH,
-                  threshold: float = fixed.QUALITY_THRESHOLD) -> DataFrame:
-    """Clean, gate and chunk. Row-local, so it is the same plan on a batch and on a stream."""
-    cleaned = docs.withColumn(text, clean_text(min_text_length(F.col(text), min_length)))
+                  threshold: float = fixed.QUALITY_THRESHOLD, header_regex: str = "") -> DataFrame:
+    """Remove header lines, clean, gate and chunk. Row-local, so it is the same plan on a batch and on a stream."""
+    cleaned = docs.withColumn(text, clean_text(remove_header_lines(min_text_length(F.col(text), min_length), header_regex)))
     good = quality_gate(cleaned, text, min_length=min_length, threshold=threshold)
     return explode_chunks(good, text, keep=keep)
 

@@ -86,3 +86,41 @@ def test_a_format_and_a_writer_of_ones_own(spark, monkeypatch, tmp_path):
     assert [r["block"] for r in render.render_blocks(rows, ["doc"], "summaries", "list").orderBy("block_no").collect()] == ["summaries", "* x", "* y"]
     writers.write_items(rows, str(tmp_path / "t"), "summaries", "table", ["doc"])
     assert spark.read.parquet(str(tmp_path / "t")).count() == 2
+
+
+def test_images_too_small_or_poor_are_dropped(spark):
+    from corpusforge.plans.extract import _kept_images
+
+    listed = '[{"area":50000,"quality_score":0.9},{"width":10,"height":10},{"area":90000,"quality_score":0.1},{"area":90000,"single_color":true},{"name":"x"},"plain.png"]'
+    df = spark.createDataFrame([(listed,), ("[]",), (None,)], "images string")
+    got = [r["i"] for r in df.select(_kept_images(F.col("images"), Settings(min_image_size=1000, skip_single_color_images=True)).alias("i")).collect()]
+    assert got == ['[{"area":50000,"quality_score":0.9},{"name":"x"},"plain.png"]', "[]", None]
+
+
+def test_header_lines_go_in_the_corpus_flow(spark):
+    from corpusforge.plans.corpus import clean_documents
+
+    body = "A sentence of several plain words stands here for the score. " * 6
+    df = spark.createDataFrame([(1, f"PAGE 7\n{body}")], "doc_id long, text string")
+    assert clean_documents(df, Settings(header_regex=r"^page \d+$")).first()["text"] == body.strip()
+
+
+def test_failed_calls_keep_their_error(spark):
+    from corpusforge.plans.generate import generate
+
+    def call(prompt: str) -> str:
+        raise RuntimeError("429")
+
+    prompts = spark.createDataFrame([(1, 0, "qa_pairs", "p")], "doc_id long, chunk_id int, generator string, prompt string")
+    items, rejected = generate(prompts, call, rounds=1, max_retries=2, backoff=0.0, concurrency=1)
+    assert items.count() == 0
+    assert [(r["reason"], r["error"], r["calls"]) for r in rejected.collect()] == [("call_failed", "429", 2)]
+
+
+def test_costs_of_output_and_images(spark):
+    from corpusforge.operators import catalog
+
+    calls = spark.createDataFrame([("p", "m", 1000, 500, 2), ("p", "m", 1000, 500, None)], "provider string, model string, tokens long, out long, images long")
+    prices = spark.createDataFrame([("p", "m", 1.0, 2.0, 0.5)], "provider string, model string, input_per_1k double, output_per_1k double, image_price double")
+    assert sorted(r["cost"] for r in catalog.with_cost(calls, prices, output_tokens="out", images="images").collect()) == [2.0, 3.0]
+    assert catalog.cost_report(calls, prices, ["provider"], output_tokens="out", images="images").first()["cost"] == 5.0
