@@ -66,7 +66,7 @@ def features(spelled: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray
     """
     sizes = np.fromiter(map(len, spelled), np.int64, len(spelled))
     for n in np.unique(sizes[sizes > 2]):
-        for some in np.array_split(np.flatnonzero(sizes == n), max(1, int((sizes == n).sum()) // 4_000)):
+        for some in np.array_split(np.flatnonzero(sizes == n), max(1, int((sizes == n).sum()) // 2_000)):
             letters = np.stack([spelled[i] for i in some])
             index, weights = _triples(int(n))
             codes = (letters[:, index[:, 0]] * ALPHABET + letters[:, index[:, 1]]) * ALPHABET + letters[:, index[:, 2]]
