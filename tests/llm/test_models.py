@@ -237,3 +237,30 @@ def test_repeated_words_by_brute_force(spark):
         runs = [tuple(w[k : k + 8]) for k in range(len(w) - 7)]
         covered = {p for k, r in enumerate(runs) if runs.count(r) > 1 for p in range(k, k + 8)}
         assert got[i] == len(covered)
+
+
+def test_frequent_lines_leave_the_text(spark):
+    menu, rows = "Home  About\tContact us today", []
+    for i in range(60):
+        host, own = ("a", "b", None)[i % 3], [prose(2 * i, 25), "", prose(2 * i + 1, 12)]
+        own.insert(i % 4, menu.upper() if i % 2 else menu) if host == "a" or i < 6 else None
+        rows.append((i, "\n".join(own), host, 7))
+    rows += [(60, None, "a", 7), (61, "too short\n" + menu, "a", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int").withColumn("kept", F.lit("mine"))
+    got = {r["doc_id"]: r for r in line_rules.clean(docs, least_documents=5).collect()}
+    assert sorted(got) == list(range(60)) and line_rules.clean(docs).columns == docs.columns
+    for i, text, host, n in rows[:60]:
+        left = "\n".join(x for x in text.split("\n") if host != "a" or "about" not in x.lower())
+        assert (got[i]["text"], got[i]["n_chars"], got[i]["kept"]) == (left, n if left == text else len(left), "mine")
+    figures = {r["doc_id"]: r for r in line_rules.quality_rules(docs, least_documents=5).collect()}
+    for i, text, _, _ in rows[:60]:
+        assert figures[i]["boilerplate_words"] == len(text.split()) - len(got[i]["text"].split())
+    # Two documents of each other host have the line: only an absolute limit takes it.
+    few = {r["doc_id"]: r["text"] for r in line_rules.clean(docs, least_documents=5, most_documents=1).collect()}
+    assert all("about" not in t.lower() for t in few.values())
+
+
+def test_frequent_lines_without_broadcast(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, prose(i, 30) + "\nsame line", "h") for i in range(30)], "doc_id long, text string, source string")
+    monkeypatch.setattr(line_rules, "BROADCAST_LINES", -1)
+    assert {r["text"] for r in line_rules.clean(docs).collect()} == {prose(i, 30) for i in range(30)}
