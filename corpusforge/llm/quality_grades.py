@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -87,12 +88,13 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(score[:, None] - self.thresholds[None, :], -30, 30)))
 
 
-def _fit(keys: np.ndarray, values: np.ndarray, bounds: np.ndarray, level: np.ndarray, levels: int, ridge: float, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Full-batch adaptive gradient descent on the negative log-likelihood."""
+def _fit(keys: np.ndarray, values: np.ndarray, bounds: np.ndarray, level: np.ndarray, levels: int, ridge: float, rounds: int, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Full-batch adaptive gradient descent on the negative log-likelihood, rows counted by `weight`."""
     n, dims = len(level), (2 << WORD_BITS) + FIGURES
+    weight = np.ones(n) if weight is None else weight / weight.mean()
     row = np.repeat(np.arange(n), np.diff(bounds))
     w = np.zeros(dims)
-    share = np.array([(level > k).mean() for k in range(levels - 1)])
+    share = np.array([((level > k) * weight).mean() for k in range(levels - 1)])
     cuts = -np.log(share / (1 - share))
     first, gaps = cuts[0], np.log(np.expm1(np.maximum(np.diff(cuts), 1e-3)))
     params = np.concatenate([w, [first], gaps])
@@ -106,7 +108,7 @@ def _fit(keys: np.ndarray, values: np.ndarray, bounds: np.ndarray, level: np.nda
         tail = np.hstack([np.ones((n, 1)), s, np.zeros((n, 1))])
         p = np.maximum(tail[np.arange(n), level] - tail[np.arange(n), level + 1], 1e-12)
         slope = np.hstack([np.zeros((n, 1)), s * (1 - s), np.zeros((n, 1))])
-        up, down = slope[np.arange(n), level] / p, slope[np.arange(n), level + 1] / p
+        up, down = weight * slope[np.arange(n), level] / p, weight * slope[np.arange(n), level + 1] / p
         to_score = -(up - down) / n
         to_theta = np.zeros(levels + 1)
         np.add.at(to_theta, level, up / n)
@@ -123,13 +125,14 @@ def _fit(keys: np.ndarray, values: np.ndarray, bounds: np.ndarray, level: np.nda
 def train(rated: DataFrame, docs: DataFrame, grade: str = "quality", most: int = 6_000, ridge: float = 1e-5, rounds: int = 300) -> Model:
     """Fit to `rated` (doc_id and grade) rows and their texts, at most `most` of each grade, first by a hash of doc_id.
 
-    Grades are the distinct non-null values, at most 50. Shares of grades are those of the sample,
-    corrected by weights of the thresholds' starting point only. With fewer than two grades the model
-    knows that one grade only.
+    Grades are the distinct non-null values, at most 50. All labels are counted, and a sampled row weighs
+    as many as its grade has for each one drawn, so the likelihood sees the shares of all labels
+    whatever the bound. With fewer than two grades the model knows that one grade only.
     """
     rated = rated.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(grade).cast("double").alias("grade")).filter("doc_id IS NOT NULL AND grade IS NOT NULL")
     rated = rated.groupBy("doc_id").agg(F.max("grade").alias("grade"))
-    grades = sorted(r["grade"] for r in rated.select("grade").distinct().limit(MOST_GRADES + 1).collect())
+    labels = {r["grade"]: r["count"] for r in rated.groupBy("grade").count().limit(MOST_GRADES + 1).collect()}
+    grades = sorted(labels)
     if len(grades) > MOST_GRADES:
         raise ValueError(f"more than {MOST_GRADES} grades")
     none = Model(tuple(grades), np.zeros((2 << WORD_BITS) + FIGURES), np.zeros(0))
@@ -152,7 +155,9 @@ def train(rated: DataFrame, docs: DataFrame, grade: str = "quality", most: int =
         return none
     keys, values = np.frombuffer(b"".join(r["keys"] for r in rows), np.int32), np.frombuffer(b"".join(r["values"] for r in rows), np.float32)
     bounds = np.concatenate([[0], np.cumsum([len(r["keys"]) // 4 for r in rows])])
-    weights, thresholds = _fit(keys.astype(np.int64), values.astype(float), bounds, level, len(grades), ridge, rounds)
+    drawn = Counter(r["grade"] for r in ids)
+    weight = np.array([labels[r["grade"]] / drawn[r["grade"]] for r in rows])
+    weights, thresholds = _fit(keys.astype(np.int64), values.astype(float), bounds, level, len(grades), ridge, rounds, weight)
     return Model(tuple(grades), weights, thresholds)
 
 

@@ -229,14 +229,15 @@ def fit_words(positive: list[str], negative: list[str], landmarks: int = 96, cos
     return Model((fold @ w).astype(np.float32), bias)
 
 
-def _probability_line(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of the logistic curve of y over margin (Platt's targets)."""
+def _probability_line(margin: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> tuple[float, float]:
+    """Slope and shift of the logistic curve of y over margin (Platt's targets), rows counted by `weight`."""
+    weight = np.ones(len(y)) if weight is None else weight / weight.mean()
     high, low = (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2)
     target, a, b = np.where(y > 0, high, low), 1.0, 0.0
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a * margin + b, -30, 30)))
-        g = np.array([((p - target) * margin).sum(), (p - target).sum()])
-        v = p * (1 - p)
+        g = np.array([(weight * (p - target) * margin).sum(), (weight * (p - target)).sum()])
+        v = weight * p * (1 - p)
         h = np.array([[(v * margin**2).sum(), (v * margin).sum()], [(v * margin).sum(), v.sum()]]) + 1e-6 * np.eye(2)
         change = np.linalg.solve(h, g)
         a, b = a - change[0], b - change[1]
@@ -291,11 +292,16 @@ def train(labelled: DataFrame, docs: DataFrame, most_toxic: int = 10_000, most_c
     them (log-likelihood ratio above `evidence`) are the positive examples, at most `most_words`;
     negative ones are drawn from the other words, and those the first machine finds most toxic are added
     for a second. The probability curve is fitted to the largest margins of the sampled texts.
+    The labels of either kind are counted over all rows: where a bound cuts, each sampled text weighs as
+    many as it stands for, in the share of toxic texts a word needs (0.8) and in the probability curve.
+    The likelihood ratio stays one of sampled texts, as that is the evidence there is, and whether
+    a word goes with a label does not depend on how many texts of either are drawn.
     Without labels of both kinds nothing is toxic.
     """
     labelled = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id IS NOT NULL AND toxic IN (0, 1)")
-    chosen = sample_by_label(labelled.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "toxic", {1: most_toxic, 0: most_clean})
-    rows = chosen.collect()
+    labelled = labelled.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    labels = {r["toxic"]: r["count"] for r in labelled.groupBy("toxic").count().collect()}
+    rows = sample_by_label(labelled, "toxic", {1: most_toxic, 0: most_clean}).collect()
     spark, none = docs.sparkSession, Model(np.zeros(ALPHABET**3, np.float32))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
 
@@ -305,6 +311,7 @@ def train(labelled: DataFrame, docs: DataFrame, most_toxic: int = 10_000, most_c
 
     if len({r["toxic"] for r in rows}) < 2:
         return none
+    stands = {k: labels[k] / n for k, n in Counter(r["toxic"] for r in rows).items()}
     rows = _distinct_ids(of(rows)).collect()
     toxic, clean = sum(r["toxic"] for r in rows), sum(1 - r["toxic"] for r in rows)
     if not toxic or not clean:
@@ -312,10 +319,11 @@ def train(labelled: DataFrame, docs: DataFrame, most_toxic: int = 10_000, most_c
     counts = _word_counts(of(rows)).filter(F.length("word") > 2).persist()
     share = toxic / (toxic + clean)
     both = F.col("toxic") + F.col("clean")
+    mostly = F.col("toxic") * stands[1] > 0.8 * (F.col("toxic") * stands[1] + F.col("clean") * stands[0])
     ratio = 2 * (F.col("toxic") * F.log(F.col("toxic") / (both * share)) + F.when(F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / (both * (1 - share)))).otherwise(0.0))
 
     def strong(table: DataFrame) -> DataFrame:
-        return table.filter((F.col("toxic") > 2) & (F.col("toxic") > 0.8 * both)).withColumn("g", ratio).filter(F.col("g") > evidence)
+        return table.filter((F.col("toxic") > 2) & mostly).withColumn("g", ratio).filter(F.col("g") > evidence)
 
     # An insult may come in many endings, each too rare to stand out: beginnings are counted as well.
     begins = counts.select(F.explode(F.array_distinct(F.transform(F.sequence(F.lit(4), F.lit(8)), lambda n: F.substring("word", F.lit(1), n)))).alias("begin"), "toxic", "clean")
@@ -327,7 +335,7 @@ def train(labelled: DataFrame, docs: DataFrame, most_toxic: int = 10_000, most_c
     if not positive:
         counts.unpersist()
         return none
-    other = counts.filter("clean > 0").filter(F.col("toxic") <= 0.8 * both)
+    other = counts.filter("clean > 0").filter(~mostly)
     drawn = [r["word"] for r in other.orderBy(F.xxhash64("word"), "word").limit(2500).collect()]
     common = [r["word"] for r in other.orderBy(F.desc("clean"), "word").limit(1500).collect()]
     negative = list(dict.fromkeys(common + drawn))
@@ -347,7 +355,8 @@ def train(labelled: DataFrame, docs: DataFrame, most_toxic: int = 10_000, most_c
         model = fit_words(positive, negative)
     counts.unpersist()
     margins = of(rows).select("text", "toxic").mapInArrow(_margin_rows(model, ["toxic"]), "toxic int, margin double").collect()
-    model.slope, model.shift = _probability_line(np.array([r["margin"] for r in margins]), np.array([float(r["toxic"]) for r in margins]))
+    weight = np.array([stands[r["toxic"]] for r in margins])
+    model.slope, model.shift = _probability_line(np.array([r["margin"] for r in margins]), np.array([float(r["toxic"]) for r in margins]), weight)
     return model
 
 

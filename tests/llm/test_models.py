@@ -264,3 +264,28 @@ def test_frequent_lines_without_broadcast(spark, monkeypatch):
     docs = spark.createDataFrame([(i, prose(i, 30) + "\nsame line", "h") for i in range(30)], "doc_id long, text string, source string")
     monkeypatch.setattr(line_rules, "BROADCAST_LINES", -1)
     assert {r["text"] for r in line_rules.clean(docs).collect()} == {prose(i, 30) for i in range(30)}
+
+
+# --- samples that are bounded per label -------------------------------------------------
+
+
+def test_grades_keep_the_shares_of_all_labels(spark):
+    """All texts are alike, so all that can be learned is the share of a grade."""
+    rows = [(i, prose(1, 12), 2 if i % 10 == 0 else 1) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    model = quality_grades.train(docs, docs, most=40)
+    assert all(0.08 < r["top_probability"] < 0.12 for r in quality_grades.grade(docs, model).collect())
+
+
+def test_toxic_words_by_the_shares_of_all_labels(spark):
+    """A word of 60 toxic and 160 clean texts is no insult, though of the sample its texts are mostly toxic."""
+    rows = [(i, prose(i, 12) + (" blunder" if i % 100 < 60 and i < 100 or i >= 100 and i % 10 == 0 else ""), int(i < 100)) for i in range(1700)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(docs.select("doc_id", "toxic"), docs.select("doc_id", "text"), most_clean=60)
+    assert toxicity.score(docs, model).filter("predicted = 1").count() == 0
+
+
+def test_probability_curve_by_weight():
+    margin, y = np.repeat([0.0, 1.0], 50), np.tile([0.0, 1.0], 50)
+    slope, shift = toxicity._probability_line(margin, y, np.where(y > 0, 1.0, 9.0))
+    assert np.isclose(1 / (1 + np.exp(-shift)), 0.1, atol=0.03) and abs(slope) < 0.1
