@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from importlib.resources import files
 from math import ceil, log
 
 import numpy as np
@@ -34,6 +35,48 @@ TEMPLATES = {
 }
 
 
+def _gnu(what: str, name: str, version: str) -> str:
+    return f"This {what} is free software; you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation; either version {version} of the License, or (at your option) any later version."
+
+
+def _gnu_only(what: str, name: str, version: str) -> str:
+    return f"This {what} is free software; you can redistribute it and/or modify it under the terms of version {version} of the GNU {name} as published by the Free Software Foundation."
+
+
+# Header notices of further licenses and versions.
+TEMPLATES |= {
+    "agpl-3.0": _gnu("program", "Affero General Public License", "3"),
+    "gpl-1.0": _gnu("program", "General Public License", "1"),
+    "gpl-2.0": _gnu("program", "General Public License", "2"),
+    "gpl-2.0-only": _gnu_only("program", "General Public License", "2"),
+    "gpl-3.0-only": _gnu_only("program", "General Public License", "3"),
+    "lgpl-2.0": _gnu("library", "Library General Public License", "2"),
+    "lgpl-2.1": _gnu("library", "Lesser General Public License", "2.1"),
+    "lgpl-2.1-only": _gnu_only("library", "Lesser General Public License", "2.1"),
+    "lgpl-3.0": _gnu("program", "Lesser General Public License", "3"),
+    "boost-1.0-line": "Distributed under the Boost Software License, Version 1.0.",
+    "boost-1.0": 'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.',
+    "epl-1.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html",
+    "epl-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "mpl-1.1": 'The contents of this file are subject to the Mozilla Public License Version 1.1 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.mozilla.org/MPL/',
+}
+for _code, _kind in {"by": "Attribution", "by-sa": "Attribution-ShareAlike", "by-nd": "Attribution-NoDerivatives", "by-nc": "Attribution-NonCommercial", "by-nc-sa": "Attribution-NonCommercial-ShareAlike", "by-nc-nd": "Attribution-NonCommercial-NoDerivatives"}.items():
+    for _version, _where in (("4.0", "International"), ("3.0", "Unported")):
+        TEMPLATES[f"cc-{_code}-{_version}"] = f"This work is licensed under a Creative Commons {_kind if _version == '4.0' else _kind.replace('NoDerivatives', 'NoDerivs')} {_version} {_where} License."
+
+# Whole texts, by file name; those that differ from another one in a few places are made from it.
+TEMPLATES |= {f.name.removesuffix(".txt"): f.read_text("utf-8") for f in files("corpusforge.llm").joinpath("license_texts").iterdir() if f.name.endswith(".txt")}
+_NO_ENDORSEMENT = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+_ADVERTISING = "All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by the organization. "
+_NETWORK = """13. Remote Network Interaction; Use with the GNU General Public License. Notwithstanding any other provision of this License, if you modify the Program, your modified version must prominently offer all users interacting with it remotely through a computer network (if your version supports such interaction) an opportunity to receive the Corresponding Source of your version by providing access to the Corresponding Source from a network server at no charge, through some standard or customary means of facilitating copying of software. This Corresponding Source shall include the Corresponding Source for any work covered by version 3 of the GNU General Public License that is incorporated pursuant to the following paragraph. Notwithstanding any other provision of this License, you have permission to link or combine any covered work with a work licensed under version 3 of the GNU General Public License into a single combined work, and to convey the resulting work. The terms of this License will continue to apply to the part which is the covered work, but the work with which it is combined will remain governed by version 3 of the GNU General Public License. """
+_head, _tail = TEMPLATES["bsd-2-clause"].split("THIS SOFTWARE", 1)
+TEMPLATES["bsd-3-clause"] = f"{_head}3. {_NO_ENDORSEMENT}THIS SOFTWARE{_tail}"
+TEMPLATES["bsd-4-clause"] = f"{_head}3. {_ADVERTISING}4. {_NO_ENDORSEMENT}THIS SOFTWARE{_tail}"
+_head, _tail = TEMPLATES["gpl-3.0-text"].split("13. Use with", 1)
+_affero = lambda text: text.replace("GNU General Public License", "GNU Affero General Public License").replace("GNU GENERAL", "GNU AFFERO GENERAL")
+TEMPLATES["agpl-3.0-text"] = _affero(_head) + _NETWORK + "14. Revised" + _affero(_tail.split("14. Revised", 1)[1])
+
+
 @dataclass
 class Class:
     """Templates of one shingle size and like length: windows of 3 * stride shingles, `bands` hashes, one a band."""
@@ -141,7 +184,17 @@ def scan_texts(raw: np.ndarray, offsets: np.ndarray, classes: list[Class], thres
             base = int(offsets[owner])
             for first, last, share in joined:
                 out.append((owner, group.names[number], share, int(words.start[place[first]]) - base, int(words.end[place[last] + group.shingle - 1]) - base))
-    return sorted(out, key=lambda r: (r[0], r[3], r[1]))
+    return sorted(_best(out, {n: len(s) for c in classes for n, s in zip(c.names, c.sets)}), key=lambda r: (r[0], r[3], r[1]))
+
+
+def _best(rows: list[tuple[int, str, float, int, int]], sizes: dict[str, int]) -> list[tuple[int, str, float, int, int]]:
+    """Of places in a text that overlap by half of the shorter, the one with most shingles found, then the best contained."""
+    kept: dict[int, list[tuple[int, str, float, int, int]]] = {}
+    for row in sorted(rows, key=lambda r: (r[0], -round(r[2] * sizes[r[1]]), -r[2], r[1])):
+        own = kept.setdefault(row[0], [])
+        if all(2 * (min(row[4], o[4]) - max(row[3], o[3])) < min(row[4] - row[3], o[4] - o[3]) for o in own):
+            own.append(row)
+    return [row for own in kept.values() for row in own]
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = 0.8, miss: float = 1e-4) -> DataFrame:
@@ -150,7 +203,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     Words are letters and digits in lower case; shingles have five words, a shorter template is one
     shingle. Overlapping windows cover every text; a window that holds the share `threshold` of a
     template's distinct shingles is retrieved with probability 1 - `miss` at least, then checked exactly.
-    Matching windows that share a shingle are one place. Nothing is shuffled; templates are a bounded
+    Matching windows that share a shingle are one place. Where templates overlap (versions of one license,
+    a notice inside a whole text) the one with most shingles found is reported. Nothing is shuffled; templates are a bounded
     list that travels with the code.
 
     Null, empty and wordless texts match nothing, nor do templates without a word. Null ids stay, repeated

@@ -253,3 +253,16 @@ def test_bands_reach_their_probability():
         for s in group.sets:
             need = -(-len(s) * 8 // 10)
             assert (1 - need / (3 * group.stride + len(s) - need)) ** group.bands <= 1e-4
+
+
+def test_versions_of_licenses_are_told_apart():
+    """Every template, alone and between other words, is reported as itself and as nothing else."""
+    import pyarrow as pa
+
+    from corpusforge.llm.arrays import text_bytes
+
+    names = sorted(licenses.TEMPLATES)
+    assert {"gpl-2.0", "lgpl-2.1", "lgpl-3.0", "agpl-3.0", "gpl-2.0-text", "agpl-3.0-text", "isc-text", "epl-2.0", "boost-1.0", "cc-by-sa-4.0", "bsd-2-clause", "bsd-3-clause", "bsd-4-clause"} <= set(names)
+    texts = [prose(i, 20) + "\n" + licenses.TEMPLATES[n] + "\n" + prose(i + 1, 20) for i, n in enumerate(names)]
+    found = licenses.scan_texts(*text_bytes(pa.array(texts)), licenses.prepare(licenses.TEMPLATES, 0.8, 1e-4), 0.8)
+    assert [(names[r[0]], r[1], r[2]) for r in found] == [(n, n, 1.0) for n in names]
