@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusforge.llm import decontamination, language, licenses, line_rules, packing, quality_grades, simhash, suffix_dedup, toxicity, wavelet
+from corpusforge.llm import best_fit_packing, decontamination, language, licenses, line_rules, packing, quality_grades, simhash, suffix_dedup, toxicity, wavelet
 from corpusforge.llm.folds import fold
 from corpusforge.session import shared_dir
 from corpusforge.sources.tables import read_table
@@ -90,3 +90,9 @@ def op10_token_files(spark: SparkSession, d: str) -> DataFrame:
     places = spark.createDataFrame(list(before.items()), "file string, before long")
     rows = wavelet.read_tokens(spark, folder).join(places, "file")
     return rows.select("doc_id", (F.col("before") + F.col("place")).alias("start"), "n_tokens", "ids_crc32")
+
+
+@query
+def op13_best_fit_packing(spark: SparkSession, d: str) -> DataFrame:
+    packed = best_fit_packing.pack_whole(read_table(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json"), 0)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
