@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusforge.llm import best_fit_packing, decontamination, language, licenses, line_rules, packing, quality_grades, simhash, spelling, suffix_dedup, toxicity, wavelet
+from corpusforge.llm import best_fit_packing, decontamination, language, licenses, line_rules, packing, phrases, quality_grades, simhash, spelling, suffix_dedup, toxicity, wavelet
 from corpusforge.llm.folds import fold
 from corpusforge.session import materialize, shared_dir
 from corpusforge.sources.tables import read_table
@@ -92,6 +92,11 @@ def op10_token_files(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", (F.col("before") + F.col("place")).alias("start"), "n_tokens", "ids_crc32")
 
 
+@query
+def op11_phrases(spark: SparkSession, d: str) -> DataFrame:
+    return phrases.top_collocations(read_table(spark, d, "documents"))
+
+
 @query
 def op12_spelling(spark: SparkSession, d: str) -> DataFrame:
     return spelling.variants(materialize(spelling.typed_words(read_table(spark, d, "documents")), "words"))
