@@ -52,7 +52,7 @@ class WordIndex:
         self.left, self.right, self.size = left, right, size
         self.counts = np.bincount(left, minlength=size)
         self.first = np.cumsum(self.counts) - self.counts
-        self._steps: dict[bool, np.ndarray] = {}
+        self._steps: dict[bool, tuple[np.ndarray, np.ndarray]] = {}
 
     @classmethod
     def of(cls, ids: np.ndarray, size: int) -> WordIndex:
@@ -71,13 +71,17 @@ class WordIndex:
         tool = zstandard.ZstdDecompressor()
         return cls(*(np.frombuffer(tool.decompress(x), "<i4") for x in (left, right)), size)
 
-    def _step(self, to_left: bool) -> np.ndarray:
-        """For each row, the row of the rotation that starts one word earlier: first row of its word plus the word's rank."""
+    def _step(self, to_left: bool) -> tuple[np.ndarray, np.ndarray]:
+        """For each row, the row of the rotation that starts one word earlier: first row of its word plus the word's rank.
+
+        And all (word, row) in order, as word * rows + row: a place there is that same sum, for any row.
+        """
         if to_left not in self._steps:
             symbols = self.left if to_left else self.right
-            out = np.empty(len(symbols), np.int64)
-            out[np.argsort(symbols.astype(np.int64) * len(symbols) + np.arange(len(symbols)))] = np.arange(len(symbols))
-            self._steps[to_left] = out
+            pairs = symbols.astype(np.int64) * len(symbols) + np.arange(len(symbols))
+            order, step = np.argsort(pairs), np.empty(len(symbols), np.int64)
+            step[order] = np.arange(len(symbols))
+            self._steps[to_left] = step, pairs[order]
         return self._steps[to_left]
 
     def words(self) -> tuple[np.ndarray, Intervals]:
@@ -87,7 +91,7 @@ class WordIndex:
 
     def extend(self, phrases: Intervals, to_left: bool) -> tuple[np.ndarray, np.ndarray, Intervals]:
         """All extensions by one word: (number of the phrase, the word, intervals of the longer phrases)."""
-        symbols, step = self.left if to_left else self.right, self._step(to_left)
+        symbols, (step, _) = self.left if to_left else self.right, self._step(to_left)
         near, far = (phrases.lo, phrases.back) if to_left else (phrases.back, phrases.lo)
         rows = ragged(near, phrases.n)
         owner = np.repeat(np.arange(len(near)), phrases.n)
@@ -115,11 +119,18 @@ class WordIndex:
         both = np.flatnonzero(np.isin(left.lo, right.lo, assume_unique=True))
         return owner[both], word[both], left.take(both)
 
-    def find(self, phrase: list[int]) -> Intervals:
-        """Interval of one phrase of up to DEPTH + 1 words (empty: n is 0), by backward search."""
-        ids, now = self.words()
-        now = now.take(ids == phrase[-1])
-        for word in reversed(phrase[:-1]):
-            _, words, now = self.extend(now, True)
-            now = now.take(words == word)
-        return now
+    def _search(self, phrases: np.ndarray, to_left: bool) -> tuple[np.ndarray, np.ndarray]:
+        """First rows and counts of many phrases, the word searched last in column 0."""
+        pairs, rows = self._step(to_left)[1], len(self.left)
+        at, n = self.first[phrases[:, -1]], self.counts[phrases[:, -1]]
+        for i in range(phrases.shape[1] - 2, -1, -1):
+            base = phrases[:, i].astype(np.int64) * rows + at
+            at = np.searchsorted(pairs, base)
+            n = np.searchsorted(pairs, base + n) - at
+        return at, n
+
+    def find(self, phrases: np.ndarray) -> Intervals:
+        """Intervals of phrases of equal length (rows of ids), of up to DEPTH + 1 words, by backward search in both directions."""
+        lo, n = self._search(phrases, True)
+        back, _ = self._search(phrases[:, ::-1], False)
+        return Intervals(lo, back, n)
