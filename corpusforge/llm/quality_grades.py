@@ -125,19 +125,20 @@ def _fit(keys: np.ndarray, values: np.ndarray, bounds: np.ndarray, level: np.nda
 def train(rated: DataFrame, docs: DataFrame, grade: str = "quality", most: int = 6_000, ridge: float = 1e-5, rounds: int = 300) -> Model:
     """Fit to `rated` (doc_id and grade) rows and their texts, at most `most` of each grade, first by a hash of doc_id.
 
-    Grades are the distinct non-null values, at most 50. All labels are counted, and a sampled row weighs
-    as many as its grade has for each one drawn, so the likelihood sees the shares of all labels
-    whatever the bound. With fewer than two grades the model knows that one grade only.
+    Grades are the distinct non-null values, at most 50, of documents that have a text: a grade of which no
+    document is there is not learned. All such labels are counted, and a sampled row weighs as many as
+    its grade has for each one drawn, so the likelihood sees the shares of all labels whatever the
+    bound. With fewer than two grades the model knows that one grade only.
     """
     rated = rated.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(grade).cast("double").alias("grade")).filter("doc_id IS NOT NULL AND grade IS NOT NULL")
-    rated = rated.groupBy("doc_id").agg(F.max("grade").alias("grade"))
+    there = docs.filter("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"))
+    rated = rated.groupBy("doc_id").agg(F.max("grade").alias("grade")).join(there, "doc_id", "left_semi")
     labels = {r["grade"]: r["count"] for r in rated.groupBy("grade").count().limit(MOST_GRADES + 1).collect()}
     grades = sorted(labels)
     if len(grades) > MOST_GRADES:
         raise ValueError(f"more than {MOST_GRADES} grades")
-    none = Model(tuple(grades), np.zeros((2 << WORD_BITS) + FIGURES), np.zeros(0))
     if len(grades) < 2:
-        return none
+        return Model(tuple(grades), np.zeros((2 << WORD_BITS) + FIGURES), np.zeros(0))
     ids = sample_by_label(rated, "grade", dict.fromkeys(grades, most)).collect()
     chosen = F.broadcast(docs.sparkSession.createDataFrame(ids, "doc_id long, grade double"))
 
@@ -148,11 +149,9 @@ def train(rated: DataFrame, docs: DataFrame, grade: str = "quality", most: int =
             columns = [batch.column("doc_id"), batch.column("grade"), pa.array([key[a:b].astype(np.int32).tobytes() for a, b in cut]), pa.array([value[a:b].astype(np.float32).tobytes() for a, b in cut])]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "grade", "keys", "values"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id")
+    texts = docs.filter("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id")
     rows = sorted(texts.mapInArrow(run, "doc_id long, grade double, keys binary, values binary").collect(), key=lambda r: (r["doc_id"], r["keys"]))
     level = np.array([grades.index(r["grade"]) for r in rows])
-    if len(set(level.tolist())) < len(grades):
-        return none
     keys, values = np.frombuffer(b"".join(r["keys"] for r in rows), np.int32), np.frombuffer(b"".join(r["values"] for r in rows), np.float32)
     bounds = np.concatenate([[0], np.cumsum([len(r["keys"]) // 4 for r in rows])])
     drawn = Counter(r["grade"] for r in ids)

@@ -289,3 +289,17 @@ def test_probability_curve_by_weight():
     margin, y = np.repeat([0.0, 1.0], 50), np.tile([0.0, 1.0], 50)
     slope, shift = toxicity._probability_line(margin, y, np.where(y > 0, 1.0, 9.0))
     assert np.isclose(1 / (1 + np.exp(-shift)), 0.1, atol=0.03) and abs(slope) < 0.1
+
+
+def test_grades_without_texts_are_not_learned(spark):
+    docs = spark.createDataFrame([(1, prose(1, 60)), (2, prose(2, 60)), (3, None), (1, prose(1, 60))], "doc_id long, text string")
+
+    def grades(rows):
+        model = quality_grades.train(spark.createDataFrame(rows, "doc_id long, quality int"), docs)
+        return model.grades, {r["predicted_grade"] for r in quality_grades.grade(docs, model).collect()}
+
+    assert grades([(1, 1), (99, 0)]) == ((1.0,), {1.0})
+    assert grades([(1, 1), (3, 0)]) == ((1.0,), {1.0})
+    assert grades([(98, 1), (99, 0)]) == ((), {None})
+    learned, predicted = grades([(1, 1), (2, 3), (99, 2)])
+    assert learned == (1.0, 3.0) and predicted <= {1.0, 3.0}
