@@ -70,7 +70,7 @@ def op7_language(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def op8_suffix_dedup(spark: SparkSession, d: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(read_table(spark, d, "documents"))
+    return suffix_dedup.remove_repeats(read_table(spark, d, "documents"), shorter=200)
 
 
 @query

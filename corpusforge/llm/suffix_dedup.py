@@ -17,7 +17,6 @@ Hashes of step 1 only choose what to sort; those of step 3 decide.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -25,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusforge.llm.arrays import mix, prefix_hash, ragged, slices, span_hash, text_bytes
@@ -33,18 +32,14 @@ from corpusforge.llm.lcp_merge import decode_run, encode_run, merge_runs
 from corpusforge.llm.repeats import anchors
 from corpusforge.session import discard, materialize
 
-ROW, SPANS, LEFT = "_repeats_row", "_repeats_spans", "_repeats_left"
+ROW, SPANS, LEFT, SHORTER = "_repeats_row", "_repeats_spans", "_repeats_left", "_repeats_shorter"
 # Rows of three numbers at most: under 100 MB in memory.
 BROADCAST_ROWS = 1_000_000
+# Suffixes merged, strings compared, and stretches around one suffix put into one bucket at a time, about.
+RANGE_ROWS, BUCKET_ROWS, SEED_ROWS = 500_000, 4_000_000, 20_000
 _SECOND = np.random.default_rng(77).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 
 
-def _release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished steps; it does so when the driver's garbage goes."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def _known(table: DataFrame) -> DataFrame:
     """The table, told to all executors if it has been counted to be small; else the join shuffles."""
     return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
@@ -69,7 +64,7 @@ class Finder:
         self.spark, self.length = docs.sparkSession, length
         self.suffix = length - length // 2 + 1
         self.tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        self.table = f"repeats_{uuid.uuid4().hex}"
+        self.table, self.kept = f"repeats_{uuid.uuid4().hex}", []
         rows = docs.withColumn(ROW, F.monotonically_increasing_id()).repartition(self.tasks, ROW)
         # Bucketed by row, so that no later step shuffles a text again.
         rows.write.bucketBy(self.tasks, ROW).format("parquet").option("compression", "zstd").saveAsTable(self.table)
@@ -81,7 +76,9 @@ class Finder:
         return self.rows().select(ROW, F.col("text").cast("string").alias("text"))
 
     def drop(self) -> None:
+        """Delete the staged texts and spans; nothing may read them any more."""
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        discard(*self.kept)
 
     def anchors(self) -> DataFrame:
         """(row, code, seed, head) of all anchors; head is the suffix's first 8 bytes, as an ordered number."""
@@ -107,7 +104,8 @@ class Finder:
         found = materialize(self.anchors(), "anchors")
         twice = materialize(found.groupBy("seed").agg(F.count("*").alias("n")).filter("n > 1").select("seed"), "seeds")
         kept = materialize(found.select(ROW, "code", "seed").join(_known(twice), "seed", "left_semi").select(ROW, "code"), "survivors")
-        points = [i / self.tasks for i in range(1, self.tasks)]
+        ranges = max(self.tasks, -(-kept.count() // RANGE_ROWS))
+        points = [i / ranges for i in range(1, ranges)]
         cuts = found.agg(F.percentile_approx("head", points, 10_000).alias("p")).first()["p"] if points else []
         discard(found, twice)
         return kept, sorted(set(cuts or []))
@@ -222,14 +220,20 @@ class Finder:
         Strings equal within a slice are settled there: their spans go out as they are, and one of them,
         marked as repeated, stands for them among the hashed ones.
         """
-        length, suffix, tasks = self.length, self.suffix, self.tasks
+        length, suffix = self.length, self.suffix
+        code = F.col("code")
+        strings = chosen.agg(F.sum(F.shiftright(code, 12).bitwiseAND(4095) - code.bitwiseAND(4095) + 1)).first()[0] or 0
+        buckets = max(self.tasks, -(-strings // BUCKET_ROWS))
+        # The strings around a suffix in very many stretches are dealt out by slices of their own hashes.
+        hot = chosen.groupBy("seed").agg(F.count("*").alias("n")).filter(F.col("n") > SEED_ROWS)
+        sliced = chosen.join(hot, "seed", "left").select(ROW, F.struct("code", F.coalesce(F.ceil(F.col("n") / SEED_ROWS), F.lit(1)).cast("long").alias("slices")).alias("code"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tool = zstandard.ZstdCompressor(level=1)
             for batch in slices(batches, most=2 << 20):
                 raw, offsets = text_bytes(batch.column("text"))
                 codes = batch.column("codes")
-                code = codes.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                code, slices_ = (codes.flatten().field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
                 text = np.repeat(np.arange(len(batch)), pa.compute.list_value_length(codes).to_numpy(zero_copy_only=False))
                 anchor, first, last = _parts(code)
                 counts = last - first + 1
@@ -238,8 +242,9 @@ class Finder:
                 seed = span_hash(prefix, anchor + offsets[text], anchor + offsets[text] + suffix)
                 # Equal strings share their suffix and the distance to it; a frequent suffix is dealt out by distance.
                 near = (np.repeat(anchor + offsets[text], counts) - place) >> 4
-                bucket = (mix(np.repeat(seed, counts) + near.astype(np.uint64)) % np.uint64(tasks)).astype(np.int64)
                 a = span_hash(prefix, place, place + length)
+                piece = mix(a % np.repeat(slices_, counts).astype(np.uint64))
+                bucket = (mix(np.repeat(seed, counts) + near.astype(np.uint64) + piece) % np.uint64(buckets)).astype(np.int64)
                 b = span_hash(prefix_hash(raw, _SECOND), place, place + length) & np.uint64(0xFFFFFFFF)
                 row = batch.column(ROW).to_numpy()[owner]
                 where = place - offsets[owner]
@@ -251,7 +256,7 @@ class Finder:
                 out = []
                 if settled.any():
                     found = _spans(row[settled], where[settled], length)
-                    out.append((int(row[0] % tasks), False, tool.compress(b"".join(found.column(c).to_numpy().tobytes() for c in range(3)))))
+                    out.append((int(row[0] % buckets), False, tool.compress(b"".join(found.column(c).to_numpy().tobytes() for c in range(3)))))
                 go = np.flatnonzero(head)
                 order = np.argsort(bucket[go], kind="stable")
                 go = go[order]
@@ -262,32 +267,38 @@ class Finder:
                 columns = list(zip(*out)) if out else [[], [], []]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.bool_(), pa.binary()))], names=["bucket", "hashed", "block"])
 
-        return self._with_texts(chosen).mapInArrow(run, "bucket int, hashed boolean, block binary")
+        return self._with_texts(sliced).mapInArrow(run, "bucket int, hashed boolean, block binary")
 
     def matched(self, strings: DataFrame) -> DataFrame:
         """(row, start, stop) of strings that stand at two places, neighbouring ones joined."""
         length = self.length
 
+        def met(blocks: list[tuple]) -> pa.RecordBatch:
+            a, b, row, where, twice = (np.concatenate(c) for c in zip(*blocks))
+            order = np.lexsort((b, a))
+            a, b, row, where, twice = a[order], b[order], row[order], where[order], twice[order]
+            head = np.ones(len(a), bool)
+            head[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+            hit = ~head | np.append(~head[1:], False) | twice
+            return _spans(row[hit], where[hit], length)
+
         def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            blocks = []
+            blocks, now = [], None
             for batch in batches:
-                for hashed, blob in zip(batch.column("hashed").to_pylist(), batch.column("block").to_pylist()):
+                for bucket, hashed, blob in zip(*(batch.column(c).to_pylist() for c in ("bucket", "hashed", "block"))):
+                    if bucket != now and blocks:
+                        yield met(blocks)
+                        blocks = []
+                    now = bucket
                     if hashed:
                         blocks.append(_unblock(blob))
                     else:
                         found = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.int64).reshape(3, -1)
                         yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=[ROW, "start", "stop"])
-            if not blocks:
-                return
-            a, b, row, where, twice = (np.concatenate(c) for c in zip(*blocks))
-            order = np.lexsort((b, a))
-            a, b, row, where, twice = a[order], b[order], row[order], where[order], twice[order]
-            head = np.ones(len(a), bool)
-            head[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-            hit = ~head | np.append(~head[1:], False) | twice
-            yield _spans(row[hit], where[hit], length)
+            if blocks:
+                yield met(blocks)
 
-        dealt = strings.repartition(self.tasks, "bucket").select("hashed", "block")
+        dealt = strings.repartition(self.tasks, "bucket").sortWithinPartitions("bucket")
         return dealt.mapInArrow(meet, f"{ROW} long, start long, stop long")
 
     def whole(self, stretches: DataFrame, groups: DataFrame) -> DataFrame:
@@ -306,23 +317,21 @@ class Finder:
         verdicts = materialize(self.verdicts(stretches), "verdicts")
         own = stretches.filter("run IS NULL").groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.struct(ROW, "code", "seed")).alias("one"))
         groups = own.withColumn("seed", F.col("one.seed")).join(_known(verdicts), "seed")
-        groups = materialize(groups.select("a", "b", "n", f"one.{ROW}", "one.code", (F.col("mixed") | (F.col("classes") > 1)).alias("mixed")), "groups")
+        groups = materialize(groups.select("a", "b", "n", "seed", f"one.{ROW}", "one.code", (F.col("mixed") | (F.col("classes") > 1)).alias("mixed")), "groups")
         discard(verdicts)
         return groups
 
     def spans(self) -> DataFrame:
         """(row, start, stop) in bytes; together they cover exactly the repeated strings."""
         kept, cuts = self.survivors()
-        _release(self.spark)
         stretches = self.stretches(kept, cuts)
         discard(kept)
         groups = self.groups(stretches)
-        _release(self.spark)
         whole = materialize(self.whole(stretches, groups), "whole")
         discard(stretches)
-        _release(self.spark)
-        matched = materialize(self.matched(self.strings(groups.filter("mixed").select(ROW, "code"))), "matched")
+        matched = materialize(self.matched(self.strings(groups.filter("mixed").select(ROW, "code", "seed"))), "matched")
         discard(groups)
+        self.kept += [whole, matched]
         return whole.union(matched)
 
 
@@ -362,7 +371,34 @@ def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(s) for s in out]
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, figures: bool = True) -> DataFrame:
+def _pieces(rows: DataFrame, spans: DataFrame, length: int) -> DataFrame:
+    """The parts of texts that lie in repeated runs of `length` bytes or more: text, _origin (row), _start."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row, text, found in zip(*(batch.column(c).to_pylist() for c in (ROW, "text", SPANS))):
+                data = text.encode()
+                for start, stop in _union([(s["start"], s["stop"]) for s in found]):
+                    if stop - start >= length:
+                        # Whole characters: up to three bytes more at either end, too few for another string.
+                        while start and data[start] & 0xC0 == 0x80:
+                            start -= 1
+                        while stop < len(data) and data[stop] & 0xC0 == 0x80:
+                            stop += 1
+                        out.append((data[start:stop].decode(), row, start))
+            columns = list(zip(*out)) if out else [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.int64()))], names=["text", "_origin", "_start"])
+
+    held = rows.select(ROW, F.col("text").cast("string").alias("text")).join(spans, ROW)
+    return held.mapInArrow(run, "text string, _origin long, _start long")
+
+
+def _grouped(spans: DataFrame) -> DataFrame:
+    return spans.groupBy(ROW).agg(F.collect_list(F.struct("start", "stop")).alias(SPANS))
+
+
+def remove_repeats(docs: DataFrame, length: int = 400, figures: bool = True, shorter: int | None = None) -> DataFrame:
     """Take away every byte covered by a `length`-byte string that also starts anywhere else.
 
     Texts are judged as UTF-8 bytes, on the input; strings do not cross documents, overlaps count. With
@@ -370,35 +406,39 @@ def remove_repeats(docs: DataFrame, length: int = 400, figures: bool = True) ->
     kept_sha256. Without, the documents with all their columns, `text` being what is left (a
     character cut in half goes; null stays null) and n_chars, if there, its length.
 
+    With `shorter`, a length below `length`, figures also tell how many bytes repeats of that length cover
+    (n_repeated) and in how many runs (n_repeated_spans); nothing more is taken away for them. Every repeated string of
+    `length` bytes lies in such a run, so texts are searched at `shorter` and only those runs again at `length`.
+
     A suffix in a third of all documents is one string of each sorted run, a repeated stretch one row of
     partial counts, and of equal strings one per slice moves on. Null text has no bytes. Repeated
-    rows are copies. Null ids stay. An empty table gives no rows.
+    rows are copies. Null ids stay. An empty table gives no rows. Staged tables are deleted before the
+    result, itself a written table, is returned.
     """
-    finder = Finder(docs, length)
-    _release(finder.spark)
-    spans = finder.spans().groupBy(ROW).agg(F.collect_list(F.struct("start", "stop")).alias(SPANS))
-    rows = finder.rows()
+    if shorter is not None and not (figures and shorter < length):
+        raise ValueError("shorter goes with figures, and must be below length")
+    finder = Finder(docs, shorter or length)
+    rows, spans = finder.rows(), _grouped(finder.spans())
+    inner = None
+    if shorter is not None:
+        inner = Finder(_pieces(rows, spans, length), length)
+        found = inner.spans().join(inner.rows().select(ROW, "_origin", "_start"), ROW)
+        longer = _grouped(found.select(F.col("_origin").alias(ROW), (F.col("start") + F.col("_start")).alias("start"), (F.col("stop") + F.col("_start")).alias("stop")))
+        spans = spans.withColumnRenamed(SPANS, SHORTER).join(longer, ROW, "left")
 
     def figure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc_id, text, found in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", SPANS))):
+            for doc_id, text, found, around in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", SPANS, SHORTER))):
                 data = (text or "").encode()
-                runs = _union([(s["start"], s["stop"]) for s in found or []])
+                runs, wide = (_union([(s["start"], s["stop"]) for s in x or []]) for x in (found, around))
                 digest, at = hashlib.sha256(), 0
                 for start, stop in [*runs, (len(data), len(data))]:
                     digest.update(data[at:start])
                     at = stop
-                out.append((doc_id, len(data), sum(b - a for a, b in runs), len(runs), digest.hexdigest()))
-            kinds = [pa.int64()] * 4 + [pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    if figures:
-        wanted = rows.select(ROW, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(spans, ROW, "left")
-        result = wanted.select("doc_id", "text", SPANS).mapInArrow(figure, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-        result = materialize(result, "repeats")
-        finder.drop()
-        return result
+                out.append((doc_id, len(data), sum(b - a for a, b in runs), len(runs), digest.hexdigest(), sum(b - a for a, b in wide), len(wide)))
+            kinds = [pa.int64()] * 4 + [pa.string()] + [pa.int64()] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated", "n_repeated_spans"])
 
     def cut(text, found):
         import pandas as pd
@@ -415,8 +455,21 @@ def remove_repeats(docs: DataFrame, length: int = 400, figures: bool = True) ->
             kept.append(b"".join(out).decode("utf-8", "ignore"))
         return pd.Series(kept)
 
-    shorter = F.pandas_udf(cut, "string")
-    joined = rows.join(spans, ROW, "left")
-    joined = joined.withColumn(LEFT, F.when(F.col(SPANS).isNotNull(), shorter(F.col("text").cast("string"), F.col(SPANS))).otherwise(F.col("text")))
-    columns = [F.col(LEFT).alias("text") if c == "text" else F.when(F.col(SPANS).isNotNull(), F.length(LEFT)).otherwise(F.col(c)).cast(t).alias(c) if c == "n_chars" else F.col(c) for c, t in docs.dtypes]
-    return joined.select(*columns)
+    if figures:
+        wanted = rows.select(ROW, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(spans, ROW, "left")
+        if shorter is None:
+            wanted = wanted.withColumn(SHORTER, F.lit(None).cast("array<struct<start:long,stop:long>>"))
+        result = wanted.select("doc_id", "text", SPANS, SHORTER).mapInArrow(figure, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeated long, n_repeated_spans long")
+        if shorter is None:
+            result = result.drop("n_repeated", "n_repeated_spans")
+    else:
+        left = F.pandas_udf(cut, "string")
+        joined = rows.join(spans, ROW, "left")
+        joined = joined.withColumn(LEFT, F.when(F.col(SPANS).isNotNull(), left(F.col("text").cast("string"), F.col(SPANS))).otherwise(F.col("text")))
+        columns = [F.col(LEFT).alias("text") if c == "text" else F.when(F.col(SPANS).isNotNull(), F.length(LEFT)).otherwise(F.col(c)).cast(t).alias(c) if c == "n_chars" else F.col(c) for c, t in docs.dtypes]
+        result = joined.select(*columns)
+    result = materialize(result, "repeats")
+    finder.drop()
+    if inner is not None:
+        inner.drop()
+    return result

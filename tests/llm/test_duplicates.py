@@ -266,3 +266,25 @@ def test_versions_of_licenses_are_told_apart():
     texts = [prose(i, 20) + "\n" + licenses.TEMPLATES[n] + "\n" + prose(i + 1, 20) for i, n in enumerate(names)]
     found = licenses.scan_texts(*text_bytes(pa.array(texts)), licenses.prepare(licenses.TEMPLATES, 0.8, 1e-4), 0.8)
     assert [(names[r[0]], r[1], r[2]) for r in found] == [(n, n, 1.0) for n in names]
+
+
+def test_shorter_repeats_are_told_beside(spark):
+    catalogue = {t.name for t in spark.catalog.listTables()}
+    common, notice = prose(90, 120), prose(91, 45)
+    rows = [(1, common + " one " + prose(92, 30)), (2, "é" + common + " two " + notice), (3, notice + " three"), (4, None), (5, prose(93, 50)), (5, prose(93, 50)), (6, "ü" * 150 + "x" + "ü" * 150)]
+    got = sorted((repr(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"], r["n_repeated"], r["n_repeated_spans"]) for r in suffix_dedup.remove_repeats(odd_rows(spark, rows), 400, shorter=200).collect())
+    texts = [(t or "").encode() for _, t in rows]
+    want = sorted(
+        (repr(d), len(t), len(t) - len(k), n, hashlib.sha256(k).hexdigest(), len(t) - len(k2), n2) for (d, _), t, (k, n), (k2, n2) in zip(rows, texts, removed(texts, 400), removed(texts, 200))
+    )
+    assert got == want and any(r[5] and not r[2] for r in got)
+    assert {t.name for t in spark.catalog.listTables()} == catalogue
+
+
+@pytest.mark.parametrize("shorter", [None, 200])
+def test_query_and_columns_against_all_strings(spark, shorter):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    found = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), shorter=shorter).collect()}
+    texts = [t.encode() for _, t in rows]
+    for (d, _), t, (kept, n) in zip(rows, texts, removed(texts, 400)):
+        assert (found[d]["n_removed"], found[d]["n_spans"], found[d]["kept_sha256"]) == (len(t) - len(kept), n, hashlib.sha256(kept).hexdigest())
