@@ -16,6 +16,9 @@ TRIM_CHARS = "".join(map(chr, [*_SPACES, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 LINE_BREAK = r"\r\n|[\n\x0b\x0c\r\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
 # Stands where a tag was. A noncharacter: it cannot occur in interchanged text.
 TAG_MARK = "\ufdd0"
+# Stands behind the `<` of an opener that has no closer.
+OPENER_MARK = "\ufdd1"
+HIDDEN_KINDS = ("script", "style", "template")
 HTML_HIDDEN = (
     r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>"
     r"|<template\b[^>]*>.*?</template\s*>"
@@ -70,8 +73,11 @@ def lines(text: Column) -> Column:
 
 def normalize_nfkc(text: Column) -> Column:
     """NFKC form, by the ICU library that Spark itself ships; texts already in it pass at once."""
-    form = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True))
-    return F.when(text.isNotNull(), form)
+
+    def form(t: Column) -> Column:
+        return F.when(t.isNotNull(), F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), t, F.lit(True)))
+
+    return let(text, form)
 
 
 def normalize_newlines(text: Column) -> Column:
@@ -220,9 +226,11 @@ def _vtt_cues(text: Column) -> Column:
 
 def _before_last_close(text: Column, change) -> Column:
     """Change the text up to its last `>`. Tags end there, so none is sought where it cannot close."""
-    tail = F.instr(F.reverse(text), F.lit(">"))
-    size = F.when(tail > 0, F.length(text) - tail + 1).otherwise(0)
-    return F.concat(change(F.left(text, size)), F.substr(text, size + 1))
+
+    def changed(t: Column) -> Column:
+        return let(F.length(t) - F.length(F.substring_index(t, ">", -1)), lambda size: F.concat(change(F.left(t, size)), F.substr(t, size + 1)))
+
+    return let(text, changed)
 
 
 def vtt_to_text(text: Column) -> Column:
@@ -242,14 +250,42 @@ def vtt_entries(text: Column) -> Column:
 
 def decode_entities(text: Column) -> Column:
     """Named and numbered character references to characters."""
-    named = F.replace(text, F.lit("&apos;"), F.lit("'"))
-    plain = F.java_method(F.lit("org.apache.commons.text.StringEscapeUtils"), F.lit("unescapeHtml4"), named)
-    return F.when(text.isNotNull(), plain)
+
+    def plain(t: Column) -> Column:
+        named = F.replace(t, F.lit("&apos;"), F.lit("'"))
+        return F.when(t.isNotNull(), F.java_method(F.lit("org.apache.commons.text.StringEscapeUtils"), F.lit("unescapeHtml4"), named))
+
+    return let(text, plain)
+
+
+def _marking(opener: str, last: str):
+    def marked(t: Column) -> Column:
+        head = let(F.length(F.regexp_extract(t, last, 0)), lambda size: F.concat(F.left(t, size), F.regexp_replace(F.substr(t, size + 1), opener, f"<{OPENER_MARK}")))
+        return F.when(t.rlike(opener), head).otherwise(t)
+
+    return marked
+
+
+def _only_closed(markup: Column) -> Column:
+    """Mark the openers of hidden elements behind the last place where one of their kind can still close.
+
+    An element is sought from each opener up to its closer, so openers that never close would each be
+    followed to the end of the text. An opener before the last `>` in front of the last closer of
+    its kind always closes; one behind it never does.
+    """
+    for kind in HIDDEN_KINDS:
+        markup = let(markup, _marking(rf"(?i)<(?={kind}\b)", rf"(?is)\A.*>(?=[^>]*</{kind}\s*>)"))
+
+    def comments(t: Column) -> Column:
+        size = F.length(t) - F.length(F.substring_index(t, "-->", -1))
+        return F.when(t.contains("<!--"), let(size, lambda n: F.concat(F.left(t, n), F.replace(F.substr(t, n + 1), F.lit("<!--"), F.lit(f"<{OPENER_MARK}!--"))))).otherwise(t)
+
+    return let(markup, comments)
 
 
 def html_to_text(markup: Column) -> Column:
     """Visible strings of a page, each stripped, joined by one space."""
-    shown = F.regexp_replace(markup, HTML_HIDDEN, TAG_MARK)
+    shown = F.replace(F.regexp_replace(_only_closed(markup), HTML_HIDDEN, TAG_MARK), F.lit(OPENER_MARK), F.lit(""))
     shown = decode_entities(_before_last_close(shown, lambda part: F.regexp_replace(part, HTML_TAG, TAG_MARK)))
     pieces = F.filter(F.transform(F.split(shown, TAG_MARK, -1), strip), lambda s: s != "")
     return F.array_join(pieces, " ")

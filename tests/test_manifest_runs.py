@@ -142,3 +142,14 @@ def test_estimates(one):
     assert one(manifest.processing_estimate(F.lit(".pdf"), F.lit(0), F.lit(10), F.lit("text_only"))) == pytest.approx(10.0)
     assert one(manifest.processing_estimate(F.lit(".epub"), F.lit(0), F.lit(10), F.lit(None).cast("string"), images=False)) == pytest.approx(2.0)
     assert fixed.MAX_FILE_BYTES == 104857600
+
+
+def test_dedupe_of_repeated_keys(spark):
+    def kept(rows):
+        return sorted(map(repr, map(tuple, dedupe.dedupe(spark.createDataFrame(rows, "k long, text string"), "k").collect())))
+
+    assert kept([(1, "A"), (2, "A"), (2, "B")]) == [repr((1, "A")), repr((2, "B"))]
+    assert kept([(None, "A"), (2, "A"), (None, "C")]) == [repr((2, "A")), repr((None, "C"))]
+    assert kept([(1, "A"), (1, "A"), (3, None), (4, None)]) == [repr((1, "A")), repr((1, "A")), repr((3, None)), repr((4, None))]
+    assert kept([(None, "A"), (None, "A")]) == [repr((None, "A"))] * 2
+    assert kept([]) == []

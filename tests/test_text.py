@@ -1,5 +1,6 @@
 import random
 import re
+import time
 import unicodedata
 
 import pytest
@@ -200,3 +201,23 @@ def test_variety_of_unusual_texts(one):
     for value in ("аб" * 30, "abcdefghijklmnopqrstuvwxyz", "0123456789" * 3, "ABCabc"):
         kinds = min(1.0, len(set(value.lower())) / 26)
         assert one(text._variety(F.lit(value), 26)) == pytest.approx(kinds)
+
+
+@pytest.mark.parametrize("opener", ["<!--", "<script>", "<style>", "<template>", "<script", "<!-- <style> "])
+@pytest.mark.parametrize("end", ["", "</script>", "-->", "</style>x"])
+def test_broken_pages_take_linear_time(spark, opener, end):
+    page = spark.createDataFrame([(opener * (1_000_000 // len(opener)) + end,)], "t string")
+    page.select(F.length(text.html_to_text(F.lit("<p>a</p>")))).collect()
+    start = time.perf_counter()
+    page.select(F.length(text.html_to_text(F.col("t")))).collect()
+    assert time.perf_counter() - start < 5
+
+
+def test_hidden_elements_as_plain_patterns_find_them(one):
+    """Marking openers changes no result: the same as one pass of the pattern over the whole page."""
+    rng, parts = random.Random(5), ["<!--", "-->", "<script>", "<script a='>'", "</script>", "</script >", "<style", ">", "</style>", "<template>", "</TEMPLATE>", "x", " y ", "<b>", "<!-->", "<", "&amp;", "<SCRIPT>", "\n"]
+    for _ in range(150):
+        page = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 25)))
+        hidden = re.sub(r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<template\b[^>]*>.*?</template\s*>", "﷐", page)
+        shown = re.sub(r"(?s)</?[A-Za-z][^>]*>|<[!?][^>]*>", "﷐", hidden).replace("&amp;", "&")
+        assert one(text.html_to_text(F.col("t")), t=page) == " ".join(p.strip() for p in shown.split("﷐") if p.strip()), page
