@@ -295,3 +295,88 @@ def complete(
 def echo(prompt: str, *media: str) -> str:
     """A stand-in completion function for trials without a service."""
     return fixed.ECHO_ANSWER.format(prompt=prompt[:50])
+
+
+ANSWER_LOG = "hash string, raw string, error string, calls int"
+
+
+def complete_logged(
+    prompts: DataFrame,
+    call: Callable[..., str],
+    log: str,
+    max_retries: int = 3,
+    backoff: float = 1.0,
+    concurrency: int = 8,
+    in_flight: int = 4,
+    commit: int = 16,
+    keys: tuple[str, ...] = ("doc_id", "chunk_id", "generator"),
+    fallback: Callable[..., str] | None = None,
+) -> DataFrame:
+    """`complete` with an answer log in the folder `log`, so that no answered prompt is paid for twice.
+
+    Each task keeps at most `in_flight` calls under way and writes every `commit` answers to the log as
+    one file that appears whole, before it goes on. A task that is tried again, a stage that is run
+    again and a later run all ask the log first: prompts whose hash it knows an answer for are joined to it
+    and never reach `call`, and a retried task reads what its earlier attempts have left in its own part of the log.
+    At most `commit` + `in_flight` answers of a task that dies are paid for again. Failures (`error`) are not
+    logged and are asked again by the next run. Equal prompts of one run are asked once per row.
+    Null prompts are not asked: their answer is null.
+    """
+    import json
+    import time
+    import uuid
+    from concurrent.futures import ThreadPoolExecutor
+
+    import pandas as pd
+    from pyarrow import fs
+    from pyspark.taskcontext import TaskContext
+
+    from corpusforge.sinks.committed import open_folder, put_whole
+
+    spark = prompts.sparkSession
+    asked = prompts.select(*keys, "prompt").withColumn("hash", F.sha2("prompt", 256))
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in asked.schema if f.name in keys)
+    system, root = open_folder(log)
+    known = spark.createDataFrame([], ANSWER_LOG)
+    if system.get_file_info(root).type == fs.FileType.Directory:
+        known = spark.read.schema(ANSWER_LOG).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").json(log).dropDuplicates(["hash"])
+
+    def ask(prompt: str) -> tuple[str | None, str | None, int]:
+        error, tries = None, [call] * max_retries + ([fallback] if fallback else [])
+        for attempt, function in enumerate(tries, 1):
+            try:
+                return function(prompt), None, attempt
+            except Exception as exc:  # one bad call must not end the task
+                error = str(exc)
+                if attempt < len(tries):
+                    time.sleep(backoff)
+        return None, error, len(tries)
+
+    def run(batches):
+        files, base = open_folder(log)
+        part = TaskContext.get().partitionId()
+        own = f"{base}/part-{part:06d}"
+        files.create_dir(own, recursive=True)
+        answered = {}
+        # Only what another attempt of this very task can have left since the plan was made.
+        for found in files.get_file_info(fs.FileSelector(own)):
+            if found.base_name.endswith(".jsonl"):
+                with files.open_input_stream(found.path) as source:
+                    answered |= {a["hash"]: (a["raw"], None, a["calls"]) for a in map(json.loads, source.read().splitlines())}
+        with ThreadPoolExecutor(in_flight) as pool:
+            for batch in batches:
+                for start in range(0, len(batch), commit):
+                    rows = batch.iloc[start : start + commit]
+                    waiting = {h: pool.submit(ask, p) for h, p in zip(rows["hash"], rows["prompt"]) if h is not None and h not in answered}
+                    fresh = {h: f.result() for h, f in waiting.items()}
+                    good = [json.dumps({"hash": h, "raw": raw, "calls": calls}, ensure_ascii=False) for h, (raw, error, calls) in fresh.items() if error is None]
+                    if good:
+                        put_whole(files, f"{own}/{uuid.uuid4().hex}.jsonl", ("\n".join(good) + "\n").encode())
+                    answers = [(answered | fresh).get(h, (None, None, 0)) for h in rows["hash"]]
+                    raw, error, calls = zip(*answers)
+                    yield pd.DataFrame({**{k: rows[k].to_numpy() for k in keys}, "raw": list(raw), "error": list(error), "calls": list(calls)})
+
+    schema = ", ".join([fields, "raw string", "error string", "calls int"])
+    fresh = asked.join(known.select("hash"), "hash", "left_anti").repartition(concurrency, *keys).mapInPandas(run, schema)
+    old = asked.join(known, "hash").select(*keys, "raw", F.lit(None).cast("string").alias("error"), "calls")
+    return fresh.unionByName(old)

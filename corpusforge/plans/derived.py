@@ -204,3 +204,33 @@ def responses_of(conversations: DataFrame) -> DataFrame:
     kind = pick(shape, ["choices", "content", "candidates", "choices"])
     body = F.when(shape % 4 == 0, choices).when(shape % 4 == 1, content).when(shape % 4 == 2, candidates).otherwise("{}")
     return conversations.select("conv_id", "turn", kind.alias("shape"), body.alias("body"))
+
+
+def write_books(pages: DataFrame, folder: str, size: int) -> None:
+    """Pages, `size` at a time by page_id, as the chapters of EPUB files `book-<n>.epub`."""
+    import io
+    import zipfile
+
+    import pandas as pd
+
+    from corpusforge.sinks.committed import open_folder, put_whole
+
+    open_folder(folder)[0].create_dir(open_folder(folder)[1], recursive=True)
+
+    def bind(key, chapters: pd.DataFrame) -> pd.DataFrame:
+        chapters = chapters.sort_values("page_id")
+        names = [f"text/c{i}.xhtml" for i in range(len(chapters))]
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as book:
+            book.writestr("META-INF/container.xml", '<container xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="O/book.opf"/></rootfiles></container>')
+            listed = "".join(f'<item id="c{i}" href="{n}" media-type="application/xhtml+xml"/>' for i, n in enumerate(names))
+            book.writestr("O/book.opf", f'<package xmlns="http://www.idpf.org/2007/opf"><manifest><item id="p" href="p.png" media-type="image/png"/>{listed}</manifest></package>')
+            book.writestr("O/p.png", b"image")
+            for name, html in zip(names, chapters["html"]):
+                book.writestr(f"O/{name}", html)
+        system, root = open_folder(folder)
+        put_whole(system, f"{root}/book-{key[0]}.epub", out.getvalue())
+        return pd.DataFrame({"book": [key[0]]})
+
+    number = F.floor(F.col("page_id") / size).cast("long")
+    pages.select(number.alias("book"), "page_id", "html").groupBy("book").applyInPandas(bind, "book long").write.format("noop").mode("overwrite").save()

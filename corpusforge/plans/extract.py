@@ -9,6 +9,7 @@ from corpusforge.functions.formats import file_ext, file_stem
 from corpusforge.functions.layout import keep_image
 from corpusforge.functions.text import clean_text, remove_header_lines
 from corpusforge.operators.quality import admission, min_text_length, quality_status, route_processor
+from corpusforge.session import materialize
 from corpusforge.settings import Settings
 from corpusforge.sources.files import Extractor, epub_text, extract_batch, read_epub, read_text
 
@@ -27,7 +28,8 @@ def _raw_texts(files: DataFrame, settings: Settings, extractors: list[Extractor]
     admitted = admission(F.col("path"), F.col("length"), settings.max_file_size, list(BUILT_IN)) == "ok"
     own = files.filter(admitted)
     plain = read_text(own).select("path", "text")
-    members = read_epub(own)
+    # Written once: books and broken files are both read from it.
+    members = materialize(read_epub(own), "members")
     books = epub_text(members, settings.start_page, settings.end_page, list(settings.skip_pages), settings.min_text_length)
     found = plain.unionByName(books.select("path", "text"))
     ok = found.select("path", "text", F.lit("[]").alias("images"), F.lit("ok").alias("status"), F.lit(None).cast("string").alias("error"))

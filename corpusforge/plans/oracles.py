@@ -598,3 +598,26 @@ WITH RECURSIVE cleaned AS (SELECT doc_id, {clean("CASE WHEN length(" + strip("te
 good AS MATERIALIZED (SELECT doc_id, text FROM cleaned WHERE {status('text')} = 'ok'), {chunks("good")}
 SELECT doc_id, chunk_id::BIGINT AS chunk_id, md5(chunk) AS chunk_md5 FROM chunks"""
 ORACLES["stream_dedupe"] = "SELECT DISTINCT md5(text) AS content_hash, n_chars FROM documents"
+ORACLES["read_epub"] = f"""
+WITH c AS (SELECT page_id // 7 AS book, row_number() OVER (PARTITION BY page_id // 7 ORDER BY page_id) AS p, {html('html')} AS t FROM pages)
+SELECT book, count(*)::BIGINT AS n_pages,
+  md5({strip("string_agg('=== Chapter ' || p || ' ===' || chr(10) || chr(10) || t, repeat(chr(10), 4) ORDER BY p)")}) AS text_md5
+FROM c WHERE p BETWEEN 2 AND 6 AND p <> 4 AND length(t) >= 100 GROUP BY 1"""
+ORACLES["dedupe_arrivals"] = """
+SELECT doc_id, lang, md5(text) AS text_md5 FROM documents WHERE doc_id % 2 = 1 AND text NOT IN (SELECT text FROM documents WHERE doc_id % 2 = 0)
+QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1"""
+ORACLES["write_and_read"] = "SELECT conv_id, turn, role, md5(text) AS text_md5, 2 * count(*)::BIGINT AS n_written FROM conversations GROUP BY ALL"
+ORACLES["stream_metrics"] = """
+SELECT source AS processor, count(*)::BIGINT AS files, (count(*) FILTER (WHERE doc_id % 17 NOT IN (3, 4, 5)))::BIGINT AS successful,
+  coalesce(sum(n_chars) FILTER (WHERE doc_id % 17 NOT IN (3, 4, 5)), 0)::BIGINT AS text_chars, coalesce(sum(doc_id % 4) FILTER (WHERE doc_id % 17 NOT IN (3, 4, 5)), 0)::BIGINT AS images
+FROM documents GROUP BY 1"""
+ORACLES["stream_files_changes"] = f"""
+WITH {FILES}, later AS (
+  SELECT path, mtime + CASE WHEN toxic = 1 THEN INTERVAL 1 HOUR ELSE INTERVAL 0 HOUR END AS mtime FROM f LEFT JOIN labels USING (doc_id) WHERE coalesce(quality, 1) <> 0
+  UNION ALL SELECT 'web/' || page_id || '.html', TIMESTAMP '2024-01-01' + to_minutes(page_id) FROM pages),
+listed AS (SELECT path, mtime, 0 AS n FROM f UNION ALL SELECT path, mtime, 1 FROM later
+  UNION ALL SELECT path, mtime + CASE WHEN doc_id % 7 = 0 THEN INTERVAL 2 HOUR ELSE INTERVAL 0 HOUR END, 2 FROM f WHERE doc_id % 11 <> 0),
+pairs AS (SELECT coalesce(a.path, b.path) AS path, a.mtime AS was, b.mtime AS now, coalesce(b.n, a.n + 1) AS n
+  FROM listed a FULL JOIN listed b ON a.path = b.path AND b.n = a.n + 1)
+SELECT path, CASE WHEN was IS NULL THEN 'added' WHEN now IS NULL THEN 'deleted' ELSE 'modified' END AS change, n::BIGINT AS listing
+FROM pairs WHERE n < 3 AND was IS DISTINCT FROM now"""

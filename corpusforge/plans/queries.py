@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 from corpusforge import fixed_values as fixed
 from corpusforge.functions import formats, layout, prompts, text
 from corpusforge.operators import catalog, chunking, conversations, dedupe, items, manifest, pages, quality, render, running, runs
+from corpusforge.operators import stores
 from corpusforge.plans import corpus, derived
-from corpusforge.session import shared_dir
-from corpusforge.sinks import writers
+from corpusforge.session import materialize, shared_dir
+from corpusforge.sinks import committed, writers
 from corpusforge.settings import Settings
-from corpusforge.sources.files import decode_text
+from corpusforge.sources.books import read_books
+from corpusforge.sources.files import decode_text, epub_text
 from corpusforge.sources.tables import read_table
+from corpusforge.streaming import changes
 from corpusforge.streaming import corpus as streaming
 
 QUERIES = {}
@@ -160,6 +163,19 @@ def html_book(spark, d):
     return out.select("path", F.md5("text").alias("text_md5"), big("n_pages").alias("n_pages"))
 
 
+@query
+def read_epub(spark, d):
+    """Chapters 2 to 6 but the fourth, of 100 characters or more, of books of seven pages written as EPUB files."""
+    import uuid
+
+    folder = f"{shared_dir(spark)}/books-{uuid.uuid4().hex}"
+    derived.write_books(read_table(spark, d, "pages"), folder, 7)
+    members = read_books(spark, folder, partitionBytes=1 << 20)
+    out = epub_text(members, 2, 6, [4], min_length=100)
+    book = F.regexp_extract("path", r"book-(\d+)\.epub$", 1).cast("long")
+    return out.select(book.alias("book"), F.md5("text").alias("text_md5"), big("n_pages").alias("n_pages"))
+
+
 @query
 def srt_text(spark, d):
     subs = derived.subtitles_of(read_table(spark, d, "conversations"))
@@ -547,9 +563,20 @@ def cache_keys(spark, d):
 
 @query
 def reuse_extractions(spark, d):
+    """Against a store that is bucketed by key, so that only the listing moves."""
     wanted = _files(spark, d).select("path", "length", "mtime", _simple_key().alias("cache_key"))
-    out = manifest.reuse_extractions(wanted, _store(spark, d), F.lit("2024-01-31 06:00:00").cast("timestamp"))
-    return out.select("path", "reuse", F.md5("text").alias("text_md5"))
+    with stores.bucketed(_store(spark, d), "cache_key", 16) as store:
+        out = manifest.reuse_extractions(wanted, store, F.lit("2024-01-31 06:00:00").cast("timestamp"))
+        return materialize(out.select("path", "reuse", F.md5("text").alias("text_md5")), "reused")
+
+
+@query
+def dedupe_arrivals(spark, d):
+    """New documents (odd ids and copies of each other) whose text a store of the even ones does not have yet."""
+    rows = documents(spark, d).select("doc_id", "text", "lang")
+    known = dedupe.with_hash(rows.filter("doc_id % 2 = 0")).select("content_hash")
+    arrived = rows.filter("doc_id % 2 = 1")
+    return stores.dedupe_arrivals(arrived, known, "doc_id").select("doc_id", "lang", F.md5("text").alias("text_md5"))
 
 
 @query
@@ -905,6 +932,53 @@ def stream_corpus(spark, d):
     return out.select("doc_id", big("chunk_id").alias("chunk_id"), F.md5("chunk").alias("chunk_md5"))
 
 
+@query
+def stream_files_changes(spark, d):
+    """Three listings of files as a stream: what each shows as added, modified or deleted."""
+    import uuid
+
+    base = f"{shared_dir(spark)}/listings-{uuid.uuid4().hex}"
+    changes.use_rocksdb(spark)
+    docs = documents(spark, d)
+    files = _files(spark, d)
+    first = files.select("path", "mtime")
+    second = derived.later_files(docs, read_table(spark, d, "labels"), read_table(spark, d, "pages")).select("path", "mtime")
+    moved = F.when(F.col("doc_id") % 7 == 0, F.col("mtime") + F.expr("INTERVAL 2 HOURS")).otherwise(F.col("mtime"))
+    third = files.filter("doc_id % 11 <> 0").select("path", moved.alias("mtime"))
+    schema = "path string, mtime timestamp, listing long, listed_at timestamp"
+    for number, listing in enumerate((first, second, third)):
+        at = F.lit("2024-03-01").cast("timestamp") + F.make_dt_interval(days=F.lit(number))
+        listing.select("path", "mtime", F.lit(number).cast("long").alias("listing"), at.alias("listed_at")).write.parquet(f"{base}/in/number={number}")
+    listed = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{base}/in")
+    streaming.append_to(changes.file_changes(listed, "1 hour"), f"{base}/table", f"{base}/checkpoint").awaitTermination()
+    return spark.read.schema(changes.CHANGES).parquet(f"{base}/table")
+
+
+@query
+def stream_metrics(spark, d):
+    """Totals of a run log by source, kept as a committed table that each micro-batch adds to."""
+    import uuid
+
+    base = f"{shared_dir(spark)}/metrics-{uuid.uuid4().hex}"
+    docs = streaming.stream_table(spark, d, documents(spark, d).schema, "documents.parquet")
+    streaming.keep_metrics(derived.run_log_of(docs), f"{base}/table", f"{base}/checkpoint").awaitTermination()
+    return streaming.kept_metrics(spark, f"{base}/table")
+
+
+@query
+def write_and_read(spark, d):
+    """Conversations written twice by the committing sink, the second time after a write that was replaced."""
+    import uuid
+
+    path = f"{shared_dir(spark)}/committed-{uuid.uuid4().hex}"
+    committed.register(spark)
+    rows = read_table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    for part, mode in ((rows.filter("turn = 0"), "append"), (rows, "overwrite"), (rows, "append")):
+        part.write.format(committed.NAME).option("format", "jsonl").mode(mode).save(path)
+    found = spark.read.format(committed.NAME).schema(rows.schema).load(path)
+    return found.groupBy("conv_id", "turn", "role", F.md5("text").alias("text_md5")).agg(F.count("*").alias("n_written"))
+
+
 @query
 def stream_dedupe(spark, d):
     docs = streaming.stream_table(spark, d, documents(spark, d).schema, "documents.parquet").select("doc_id", "text", "n_chars")

@@ -60,21 +60,25 @@ def read_text(files: DataFrame) -> DataFrame:
     return files.filter(ext.isin(".txt", ".srt", ".vtt")).select("path", "mtime", "length", text.alias("text"))
 
 
-def _book_members(content: bytes) -> list[dict]:
-    """Chapters of an EPUB in reading-list order of its package file, and its images."""
+def book_members(file) -> Iterator[dict]:
+    """Chapters of an EPUB in reading-list order of its package file, and its images, one at a time.
+
+    `file` is bytes or a file that can seek: of an open file only the directory and the members asked for are read.
+    """
     container = "{urn:oasis:names:tc:opendocument:xmlns:container}rootfile"
     package = "{http://www.idpf.org/2007/opf}"
-    with zipfile.ZipFile(io.BytesIO(content)) as book:
+    with zipfile.ZipFile(io.BytesIO(file) if isinstance(file, bytes) else file) as book:
         root = ElementTree.fromstring(book.read("META-INF/container.xml")).find(f".//{container}").get("full-path")
-        members = []
+        counts: dict[str, int] = {}
         for item in ElementTree.fromstring(book.read(root)).findall(f".//{package}manifest/{package}item"):
             name = posixpath.normpath(posixpath.join(posixpath.dirname(root), item.get("href")))
             kind = item.get("media-type", "")
             if kind == "application/xhtml+xml":
-                members.append({"kind": "chapter", "name": name, "html": book.read(name).decode("utf-8", "replace")})
+                counts["chapter"] = counts.get("chapter", 0) + 1
+                yield {"kind": "chapter", "member_no": counts["chapter"], "name": name, "html": book.read(name).decode("utf-8", "replace")}
             elif kind.startswith("image/"):
-                members.append({"kind": "image", "name": name, "size_bytes": book.getinfo(name).file_size})
-        return members
+                counts["image"] = counts.get("image", 0) + 1
+                yield {"kind": "image", "member_no": counts["image"], "name": name, "size_bytes": book.getinfo(name).file_size}
 
 
 BOOK_SCHEMA = "path string, kind string, member_no int, name string, html string, size_bytes long, error string"
@@ -93,11 +97,8 @@ def read_epub(files: DataFrame) -> DataFrame:
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-                rows, counts = [], {}
                 try:
-                    for member in _book_members(content):
-                        counts[member["kind"]] = counts.get(member["kind"], 0) + 1
-                        rows.append({"path": path, "member_no": counts[member["kind"]], **member})
+                    rows = [{"path": path, **member} for member in book_members(content)]
                 except Exception as exc:  # a broken file must not end the task
                     rows = [{"path": path, "kind": "error", "error": str(exc)}]
                 yield pa.RecordBatch.from_pylist(rows, schema=_BOOK_ARROW)

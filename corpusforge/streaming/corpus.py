@@ -16,6 +16,7 @@ from corpusforge.functions.text import clean_text, remove_header_lines
 from corpusforge.operators.chunking import explode_chunks
 from corpusforge.operators.quality import min_text_length, quality_gate
 from corpusforge.operators.runs import RunState, run_state
+from corpusforge.sinks import committed
 
 
 def stream_files(spark: SparkSession, folder: str, pattern: str | None = None, max_files: int = 1000) -> DataFrame:
@@ -81,6 +82,33 @@ def stream_metrics(run_log: DataFrame) -> DataFrame:
     )
 
 
+METRICS = "processor string, files long, successful long, text_chars long, images long"
+
+
+def keep_metrics(run_log: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Running totals per processor as a keyed table in `path`: every micro-batch adds its own to what is there.
+
+    The new table becomes visible in one step and its commit holds the batch's number, so a batch that is handed again
+    after a failure changes nothing. The table has one row per processor; no state is kept.
+    """
+    committed.register(run_log.sparkSession)
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        before = kept_metrics(batch.sparkSession, path)
+        total = stream_metrics(batch).unionByName(before).groupBy("processor").agg(*[F.sum(c).alias(c) for c in before.columns[1:]])
+        total.select(before.columns).write.format(committed.NAME).options(format="parquet", batch=batch_id).mode("overwrite").save(path)
+
+    writer = run_log.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
+    writer = writer.trigger(availableNow=True) if available_now else writer
+    return writer.start()
+
+
+def kept_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """The last committed totals."""
+    committed.register(spark)
+    return spark.read.format(committed.NAME).schema(METRICS).load(path)
+
+
 def append_to(stream: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Append a stream to a Parquet table, once over what is there or for as long as it runs."""
     writer = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
