@@ -32,7 +32,7 @@ from corpusforge.llm.lcp_merge import decode_run, encode_run, merge_runs
 from corpusforge.llm.repeats import anchors
 from corpusforge.session import discard, materialize
 
-ROW, SPANS, LEFT, SHORTER = "_repeats_row", "_repeats_spans", "_repeats_left", "_repeats_shorter"
+ROW, SPANS, LEFT = "_repeats_row", "_repeats_spans", "_repeats_left"
 # Rows of three numbers at most: under 100 MB in memory.
 BROADCAST_ROWS = 1_000_000
 # Suffixes merged, strings compared, and stretches around one suffix put into one bucket at a time, about.
@@ -102,14 +102,56 @@ class Finder:
     def survivors(self) -> tuple[DataFrame, list[int]]:
         """Anchors whose suffix hash stands at two places or more, and heads that part all anchors evenly."""
         found = materialize(self.anchors(), "anchors")
-        twice = materialize(found.groupBy("seed").agg(F.count("*").alias("n")).filter("n > 1").select("seed"), "seeds")
-        kept = materialize(found.select(ROW, "code", "seed").join(_known(twice), "seed", "left_semi").select(ROW, "code"), "survivors")
+        kept = self._repeated(found)
         ranges = max(self.tasks, -(-kept.count() // RANGE_ROWS))
         points = [i / ranges for i in range(1, ranges)]
         cuts = found.agg(F.percentile_approx("head", points, 10_000).alias("p")).first()["p"] if points else []
-        discard(found, twice)
+        discard(found)
         return kept, sorted(set(cuts or []))
 
+    def _repeated(self, found: DataFrame) -> DataFrame:
+        twice = materialize(found.groupBy("seed").agg(F.count("*").alias("n")).filter("n > 1").select("seed"), "seeds")
+        kept = materialize(found.select(ROW, "code", "seed").join(_known(twice), "seed", "left_semi").select(ROW, "code"), "survivors")
+        discard(twice)
+        return kept
+
+    def surroundings(self, longer: int) -> DataFrame:
+        """Where repeated strings can be: the strings of anchors whose suffix hash stands twice, in runs.
+
+        A row per text with any (_origin, n_repeated: their bytes, n_repeated_spans: their runs), and a row per run of `longer`
+        bytes or more (_origin, _start, text). Every repeated string of `longer` bytes lies in such a run, as
+        all strings within it are repeated too.
+        """
+        length = self.length
+        found = materialize(self.anchors().select(ROW, "code", "seed"), "anchors")
+        kept = self._repeated(found)
+        discard(found)
+        self.kept.append(kept)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches):
+                out = []
+                for row, text, codes in zip(batch.column(ROW).to_pylist(), batch.column("text"), batch.column("codes")):
+                    data = text.as_py().encode()
+                    _, first, last = _parts(np.sort(codes.values.to_numpy()))
+                    first, stop = np.sort(first), np.sort(last) + length
+                    opens = np.append(True, first[1:] > np.maximum.accumulate(stop)[:-1])
+                    starts, stops = first[opens], np.append(stop[np.flatnonzero(opens)[1:] - 1], stop[-1])
+                    out.append((row, None, int((stops - starts).sum()), len(starts), None))
+                    for start, stop in zip(starts.tolist(), stops.tolist()):
+                        if stop - start >= longer:
+                            # Whole characters: up to three bytes more at either end, too few for another string.
+                            while start and data[start] & 0xC0 == 0x80:
+                                start -= 1
+                            while stop < len(data) and data[stop] & 0xC0 == 0x80:
+                                stop += 1
+                            out.append((row, start, None, None, data[start:stop].decode()))
+                columns = list(zip(*out)) if out else [[]] * 5
+                kinds = [pa.int64()] * 4 + [pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["_origin", "_start", "n_repeated", "n_repeated_spans", "text"])
+
+        return self._with_texts(kept).mapInArrow(run, "_origin long, _start long, n_repeated long, n_repeated_spans long, text string")
+
     def _with_texts(self, kept: DataFrame, codes: str = "code") -> DataFrame:
         """Texts with the anchors wanted in them; only the anchors move."""
         grouped = kept.groupBy(ROW).agg(F.collect_list(codes).alias("codes"))
@@ -371,29 +413,6 @@ def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(s) for s in out]
 
 
-def _pieces(rows: DataFrame, spans: DataFrame, length: int) -> DataFrame:
-    """The parts of texts that lie in repeated runs of `length` bytes or more: text, _origin (row), _start."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for row, text, found in zip(*(batch.column(c).to_pylist() for c in (ROW, "text", SPANS))):
-                data = text.encode()
-                for start, stop in _union([(s["start"], s["stop"]) for s in found]):
-                    if stop - start >= length:
-                        # Whole characters: up to three bytes more at either end, too few for another string.
-                        while start and data[start] & 0xC0 == 0x80:
-                            start -= 1
-                        while stop < len(data) and data[stop] & 0xC0 == 0x80:
-                            stop += 1
-                        out.append((data[start:stop].decode(), row, start))
-            columns = list(zip(*out)) if out else [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.int64()))], names=["text", "_origin", "_start"])
-
-    held = rows.select(ROW, F.col("text").cast("string").alias("text")).join(spans, ROW)
-    return held.mapInArrow(run, "text string, _origin long, _start long")
-
-
 def _grouped(spans: DataFrame) -> DataFrame:
     return spans.groupBy(ROW).agg(F.collect_list(F.struct("start", "stop")).alias(SPANS))
 
@@ -406,9 +425,10 @@ def remove_repeats(docs: DataFrame, length: int = 400, figures: bool = True, sho
     kept_sha256. Without, the documents with all their columns, `text` being what is left (a
     character cut in half goes; null stays null) and n_chars, if there, its length.
 
-    With `shorter`, a length below `length`, figures also tell how many bytes repeats of that length cover
-    (n_repeated) and in how many runs (n_repeated_spans); nothing more is taken away for them. Every repeated string of
-    `length` bytes lies in such a run, so texts are searched at `shorter` and only those runs again at `length`.
+    With `shorter`, a length below `length`, figures also tell of repeats of that length (n_repeated bytes in
+    n_repeated_spans runs); nothing more is taken away for them. They count all bytes of strings of `shorter` bytes that
+    stand twice, and of those around the same anchor where only the anchor's own half (shorter - shorter // 2 + 1 bytes)
+    does. Every repeated string of `length` bytes lies in such a run, so only those runs are searched at `length`.
 
     A suffix in a third of all documents is one string of each sorted run, a repeated stretch one row of
     partial counts, and of equal strings one per slice moves on. Null text has no bytes. Repeated
@@ -418,25 +438,28 @@ def remove_repeats(docs: DataFrame, length: int = 400, figures: bool = True, sho
     if shorter is not None and not (figures and shorter < length):
         raise ValueError("shorter goes with figures, and must be below length")
     finder = Finder(docs, shorter or length)
-    rows, spans = finder.rows(), _grouped(finder.spans())
-    inner = None
-    if shorter is not None:
-        inner = Finder(_pieces(rows, spans, length), length)
+    rows, inner = finder.rows(), None
+    if shorter is None:
+        spans = _grouped(finder.spans())
+    else:
+        around = materialize(finder.surroundings(length), "surroundings")
+        finder.kept.append(around)
+        inner = Finder(around.filter("text IS NOT NULL").select("_origin", "_start", "text"), length)
         found = inner.spans().join(inner.rows().select(ROW, "_origin", "_start"), ROW)
-        longer = _grouped(found.select(F.col("_origin").alias(ROW), (F.col("start") + F.col("_start")).alias("start"), (F.col("stop") + F.col("_start")).alias("stop")))
-        spans = spans.withColumnRenamed(SPANS, SHORTER).join(longer, ROW, "left")
+        found = found.select(F.col("_origin").alias(ROW), (F.col("start") + F.col("_start")).alias("start"), (F.col("stop") + F.col("_start")).alias("stop"))
+        spans = around.filter("text IS NULL").select(F.col("_origin").alias(ROW), "n_repeated", "n_repeated_spans").join(_grouped(found), ROW, "left")
 
     def figure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc_id, text, found, around in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", SPANS, SHORTER))):
+            for doc_id, text, found, wide, times in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", SPANS, "n_repeated", "n_repeated_spans"))):
                 data = (text or "").encode()
-                runs, wide = (_union([(s["start"], s["stop"]) for s in x or []]) for x in (found, around))
+                runs = _union([(s["start"], s["stop"]) for s in found or []])
                 digest, at = hashlib.sha256(), 0
                 for start, stop in [*runs, (len(data), len(data))]:
                     digest.update(data[at:start])
                     at = stop
-                out.append((doc_id, len(data), sum(b - a for a, b in runs), len(runs), digest.hexdigest(), sum(b - a for a, b in wide), len(wide)))
+                out.append((doc_id, len(data), sum(b - a for a, b in runs), len(runs), digest.hexdigest(), wide or 0, times or 0))
             kinds = [pa.int64()] * 4 + [pa.string()] + [pa.int64()] * 2
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated", "n_repeated_spans"])
 
@@ -458,8 +481,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, figures: bool = True, sho
     if figures:
         wanted = rows.select(ROW, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(spans, ROW, "left")
         if shorter is None:
-            wanted = wanted.withColumn(SHORTER, F.lit(None).cast("array<struct<start:long,stop:long>>"))
-        result = wanted.select("doc_id", "text", SPANS, SHORTER).mapInArrow(figure, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeated long, n_repeated_spans long")
+            wanted = wanted.withColumns({"n_repeated": F.lit(0).cast("long"), "n_repeated_spans": F.lit(0).cast("long")})
+        result = wanted.select("doc_id", "text", SPANS, "n_repeated", "n_repeated_spans").mapInArrow(figure, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeated long, n_repeated_spans long")
         if shorter is None:
             result = result.drop("n_repeated", "n_repeated_spans")
     else:
