@@ -4,7 +4,8 @@ import zlib
 
 import numpy as np
 import pytest
-from test_duplicates import fingerprint, holds, least_of_component, removed
+from test_duplicates import holds, removed
+from test_near_copies import least_of_near_copies
 from test_texts import ids_of
 
 import corpus_pipeline
@@ -43,9 +44,9 @@ def test_toxicity_stage(spark, results):
 
 
 def test_simhash_stage(results):
+    """One document of each group of texts that share 80 % of their 5-word shingles, told by comparing all sets."""
     before, after = (rows_of(x) for x in results["simhash"])
-    prints = [(d, fingerprint(r["text"], 5)) for d, r in before.items()]
-    keep = set(least_of_component(prints, 6))
+    keep = least_of_near_copies([(d, r["text"]) for d, r in before.items()])
     assert after == {d: r for d, r in before.items() if d in keep} and len(after) < len(before)
 
 
