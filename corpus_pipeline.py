@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusforge.llm import decontamination, packing, simhash, suffix_dedup, toxicity
+from corpusforge.llm import decontamination, near_copies, packing, suffix_dedup, toxicity
 from corpusforge.session import shared_dir
 from corpusforge.sources.tables import read_table
 
@@ -18,8 +18,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of the least doc_id stays."""
-    return simhash.deduplicate(docs, distance=6, size=5)
+    """Of each group of near copies (80 % of 5-word shingles, verified) the document of the least doc_id stays."""
+    return near_copies.deduplicate(docs)
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
