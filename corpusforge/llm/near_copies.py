@@ -14,15 +14,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusforge.llm.arrays import Words, fold_table, mix, owners, shingles, slices, text_bytes
+from corpusforge.llm.arrays import Words, fold_table, give_back, mix, owners, shingles, slices, text_bytes
 from corpusforge.llm.components import connect
 from corpusforge.llm.simhash import BROADCAST_ROWS, _spanning, links
+from corpusforge.llm.tokens import forget
 from corpusforge.session import discard, materialize
 
 PRINTS = 4
 DISTANCE = 8
 #: Texts of one block of a family; a tile compares two blocks.
 BLOCK = 512
+#: Bytes of text whose shingles are in memory at once, with 64 counters each.
+SLICE = 1 << 19
 
 
 def shingle_hashes(raw: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,7 +69,8 @@ def _prints(docs: DataFrame, size: int, prints: int) -> DataFrame:
     names = [f"p{i}" for i in range(prints)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, most=2 << 20):
+        forget()
+        for batch in slices(batches, most=SLICE):
             hashes, owner = shingle_hashes(*text_bytes(batch.column("text")), size)
             found = majority_prints(hashes, owner, len(batch), prints)
             empty = np.bincount(owner, minlength=len(batch)) == 0
@@ -117,7 +121,7 @@ def verified(docs: DataFrame, members: DataFrame, size: int, least: float, block
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, most=2 << 20):
+        for batch in slices(batches, most=SLICE):
             hashes, owner = shingle_hashes(*text_bytes(batch.column("text")), size)
             order = np.lexsort((hashes, owner))
             hashes, owner = hashes[order], owner[order]
@@ -146,15 +150,17 @@ def verified(docs: DataFrame, members: DataFrame, size: int, least: float, block
             return pa.RecordBatch.from_arrays([pa.array(names[u] if len(held) > 1 else [], pa.int64()), pa.array(names[v] if len(held) > 1 else [], pa.int64())], names=["u", "v"])
 
         for batch in batches:
-            for key, text, shingles_ in zip(zip(*(batch.column(c).to_pylist() for c in tile)), batch.column("text_key").to_pylist(), batch.column("shingles").to_pylist()):
+            for key, text, shingles_ in zip(zip(*(batch.column(c).to_pylist() for c in tile)), batch.column("text_key").to_pylist(), batch.column("shingles")):
                 if key != now and held:
                     yield linked()
                     keys, held = [], []
                 now = key
                 keys.append(text)
-                held.append(np.frombuffer(shingles_, np.uint64))
+                held.append(np.frombuffer(shingles_.as_py(), np.uint64))
         if held:
             yield linked()
+        held.clear()
+        give_back()
 
     return rows.repartition(*tile).sortWithinPartitions(*tile).mapInArrow(compare, "u long, v long")
 

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from corpusforge.llm.arrays import mix, prefix_hash, ragged, slices, span_hash, text_bytes
 from corpusforge.llm.lcp_merge import decode_run, encode_run, merge_runs
 from corpusforge.llm.repeats import anchors
+from corpusforge.llm.tokens import forget
 from corpusforge.session import discard, materialize
 
 ROW, SPANS, LEFT = "_repeats_row", "_repeats_spans", "_repeats_left"
@@ -85,6 +86,7 @@ class Finder:
         length, suffix = self.length, self.suffix
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            forget()
             for batch in slices(batches):
                 raw, offsets = text_bytes(batch.column("text"))
                 text, place, first, last = anchors(raw, offsets, length)

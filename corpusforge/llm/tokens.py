@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import sys
 import types
 
 import numpy as np
 
-from corpusforge.llm.arrays import fold_table, prefix_hash, ragged, span_hash
+from corpusforge.llm.arrays import fold_table, give_back, prefix_hash, ragged, span_hash
 
 KEEP = 1_500_000
 _SPACES = np.zeros(256, bool)
@@ -27,6 +28,15 @@ def worker_state() -> dict:
     return vars(sys.modules.setdefault("_corpusforge_worker", types.ModuleType("_corpusforge_worker"))).setdefault("state", {})
 
 
+def forget() -> None:
+    """Drop what earlier tasks have loaded into this worker: a worker may serve operators that have no use for it."""
+    state = worker_state()
+    if state:
+        state.clear()
+        gc.collect()
+        give_back()
+
+
 class TextEncoder:
     """Ids of texts by a tokenizers file, equal to encoding each whole text with it.
 
