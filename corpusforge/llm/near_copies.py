@@ -20,8 +20,8 @@ from corpusforge.llm.simhash import BROADCAST_ROWS, _spanning, links
 from corpusforge.llm.tokens import forget
 from corpusforge.session import discard, materialize
 
-PRINTS = 4
-DISTANCE = 8
+PRINTS = 7
+DISTANCE = 7
 #: Texts of one block of a family; a tile compares two blocks.
 BLOCK = 512
 #: Bytes of text whose shingles are in memory at once, with 64 counters each.
@@ -81,16 +81,20 @@ def _prints(docs: DataFrame, size: int, prints: int) -> DataFrame:
 
 
 def families(prints: DataFrame, count: int, distance: int) -> DataFrame:
-    """(node, root) of texts that may be near copies: within `distance` bits in one of the fingerprints, or linked so."""
-    edges = None
-    for name in (f"p{i}" for i in range(count)):
-        own = materialize(prints.groupBy(F.col(name).alias("fingerprint")).agg(F.min("text_key").alias("node"), F.count("*").alias("n")), "prints")
-        equal = prints.join(own.filter("n > 1"), prints[name] == own["fingerprint"]).select(F.col("text_key").alias("u"), F.col("node").alias("v"))
-        found = links(own, distance)
-        near = found.join(own.select(F.col("fingerprint").alias("u"), F.col("node").alias("_u")), "u").join(own.select(F.col("fingerprint").alias("v"), F.col("node").alias("_v")), "v")
-        both = equal.union(near.select("_u", "_v"))
-        edges = both if edges is None else edges.union(both)
-    return connect(edges)
+    """(node, root) of texts that may be near copies: within `distance` bits in one of the fingerprints, or linked so.
+
+    All kinds of fingerprints are searched at once, each among its own.
+    """
+    kinds = F.posexplode(F.array(*[F.col(f"p{i}") for i in range(count)])).alias("kind", "fingerprint")
+    rows = materialize(prints.select("text_key", kinds), "print-rows")
+    own = materialize(rows.groupBy("kind", "fingerprint").agg(F.min("text_key").alias("node"), F.count("*").alias("n")), "prints")
+    equal = rows.join(own.filter("n > 1"), ["kind", "fingerprint"]).select(F.col("text_key").alias("u"), F.col("node").alias("v"))
+    found = links(own, distance, kinds=count)
+    # A value that two kinds share names a text too many: one more candidate, which the exact check refuses.
+    near = found.join(own.select(F.col("fingerprint").alias("u"), F.col("node").alias("_u")), "u").join(own.select(F.col("fingerprint").alias("v"), F.col("node").alias("_v")), "v")
+    roots = connect(equal.union(near.select("_u", "_v")))
+    discard(rows)
+    return roots
 
 
 def similar(sets: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:

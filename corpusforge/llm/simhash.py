@@ -150,7 +150,9 @@ def _masks(group: list[int], threshold: int) -> list[int]:
 
 
 def signatures(prints: DataFrame, plan: list[tuple[list[int], int]]) -> DataFrame:
-    """(signature, fingerprint, probe): each print's own part values, and the values within the threshold.
+    """(part, value, fingerprint, probe): each print's own part values, and the values within the threshold.
+
+    Prints of different `kind` (a column that may be missing) have parts of their own and never meet.
 
     Of a print and its altered value only the side whose highest altered bit is 0 probes, as the
     other print would meet it a second time.
@@ -164,6 +166,7 @@ def signatures(prints: DataFrame, plan: list[tuple[list[int], int]]) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = batch.column("fingerprint").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            kinds = batch.column("kind").to_numpy(zero_copy_only=False).astype(np.int32) * len(tables)
             for number, whole, masks, tops in tables:
                 part = values & whole
                 for start in range(0, len(values), 20_000):
@@ -171,10 +174,12 @@ def signatures(prints: DataFrame, plan: list[tuple[list[int], int]]) -> DataFram
                     who, which = np.nonzero((own[:, None] & tops[None, :]) == 0) if len(masks) else (np.zeros(0, int), np.zeros(0, int))
                     keys = np.concatenate([own, own[who] ^ masks[which]])
                     flags = np.concatenate([np.zeros(len(own), bool), np.ones(len(who), bool)])
-                    columns = [pa.array(np.full(len(keys), number, np.int32)), pa.array(keys.view(np.int64)), pa.array(np.concatenate([some, some[who]]).view(np.int64)), pa.array(flags)]
+                    kind = kinds[start : start + 20_000]
+                    columns = [pa.array(np.concatenate([kind, kind[who]]) + np.int32(number)), pa.array(keys.view(np.int64)), pa.array(np.concatenate([some, some[who]]).view(np.int64)), pa.array(flags)]
                     yield pa.RecordBatch.from_arrays(columns, names=["part", "value", "fingerprint", "probe"])
 
-    return prints.select("fingerprint").mapInArrow(run, "part int, value long, fingerprint long, probe boolean")
+    kind = F.col("kind") if "kind" in prints.columns else F.lit(0)
+    return prints.select("fingerprint", kind.cast("int").alias("kind")).mapInArrow(run, "part int, value long, fingerprint long, probe boolean")
 
 
 def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -221,15 +226,18 @@ def _spanning(n: int, linked: tuple, pairs: list[tuple]) -> tuple[np.ndarray, np
     return away, root[away]
 
 
-def links(prints: DataFrame, distance: int = 4, block: int = BLOCK) -> DataFrame:
+def links(prints: DataFrame, distance: int = 4, block: int = BLOCK, kinds: int = 1) -> DataFrame:
     """Links (u, v) between distinct fingerprints that span every component at `distance` bits.
 
+    With `kinds`, the table has that many kinds of fingerprints of each text, told by the column kind (from
+    0), and only prints of one kind are linked.
+
     Buckets are read in sorted runs; all their pairs are verified but only spanning links leave the
     task, at most one per member. A bucket of more than `block` rows is dealt out in blocks, each
     two of which meet in one task, so no task holds more than two blocks of a bucket at once.
     """
     n, both = bit_statistics(prints)
-    plan = plan_search(n, both, distance)
+    plan = plan_search(n // kinds, both / kinds, distance)
     rows = signatures(prints, plan)
     large = rows.groupBy("part", "value").agg(F.count("*").alias("_n")).filter(F.col("_n") > block).withColumn("_blocks", F.ceil(F.col("_n") / block).cast("int")).drop("_n")
     large = materialize(large, "large-buckets")
