@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusforge.llm.arrays import Words, fold_table, ragged, slices, text_bytes
+from corpusforge.llm.arrays import Words, fold_table, give_back, ragged, slices, text_bytes
 from corpusforge.llm.components import connect
 from corpusforge.session import materialize
 
@@ -177,6 +177,7 @@ def signatures(prints: DataFrame, plan: list[tuple[list[int], int]]) -> DataFram
                     kind = kinds[start : start + 20_000]
                     columns = [pa.array(np.concatenate([kind, kind[who]]) + np.int32(number)), pa.array(keys.view(np.int64)), pa.array(np.concatenate([some, some[who]]).view(np.int64)), pa.array(flags)]
                     yield pa.RecordBatch.from_arrays(columns, names=["part", "value", "fingerprint", "probe"])
+        give_back()
 
     kind = F.col("kind") if "kind" in prints.columns else F.lit(0)
     return prints.select("fingerprint", kind.cast("int").alias("kind")).mapInArrow(run, "part int, value long, fingerprint long, probe boolean")
@@ -275,6 +276,8 @@ def links(prints: DataFrame, distance: int = 4, block: int = BLOCK, kinds: int =
                 yield work(False)
         if held:
             yield work(True)
+        held.clear()
+        give_back()
 
     dealt = rows.repartition(*keys).sortWithinPartitions(*keys)
     return dealt.mapInArrow(run, "u long, v long")

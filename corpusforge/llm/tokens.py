@@ -30,11 +30,10 @@ def worker_state() -> dict:
 
 def forget() -> None:
     """Drop what earlier tasks have loaded into this worker: a worker may serve operators that have no use for it."""
-    state = worker_state()
-    if state:
-        state.clear()
+    if worker_state():
+        worker_state().clear()
         gc.collect()
-        give_back()
+    give_back()
 
 
 class TextEncoder:
