@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from corpusforge.session import materialize
 
 PART = "_part"
+#: Rows of one ordered part, about: what one task sorts.
+PART_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -74,11 +76,11 @@ class RunningMax:
 class OrderedRows:
     """Rows of `df` in the order `group`, `order`; `order` must be unique within a group.
 
-    `parts`, the number of ordered parts, is the session's shuffle partitions unless given; a part
-    should fit one task."""
+    Unless `parts`, the number of ordered parts, is given, the rows are counted: a part holds about
+    `PART_ROWS` rows, and there are at least as many parts as the session has shuffle partitions."""
 
     def __init__(self, df: DataFrame, group: list[str], order: list[Column | str], parts: int | None = None):
-        n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        n = parts or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // PART_ROWS))
         ranged = df.repartitionByRange(n, *group, *order).withColumn(PART, F.spark_partition_id())
         # Written once: the borders between parts must not move while later steps read them.
         self.df, self.group, self.order = materialize(ranged, "ordered"), group, order

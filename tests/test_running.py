@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from corpusforge.operators import running
 from corpusforge.operators.running import OrderedRows, RowNumber, RunningMax, RunningSum, number_rows, sliding_average
 
 
@@ -66,6 +67,16 @@ def test_sliding_average(spark, rows, span):
     assert len(got) == len(rows)
 
 
+def test_parts_grow_with_the_rows(spark, rows, monkeypatch):
+    monkeypatch.setattr(running, "PART_ROWS", 40)
+    df = spark.createDataFrame(rows, "k string, i int, v int, flag boolean")
+    ordered = OrderedRows(df, [], ["i"])
+    sizes = [r["count"] for r in ordered.df.groupBy("_part").count().collect()]
+    assert 25 <= len(sizes) <= 30 and max(sizes) < 120
+    out = ordered.add(n=RowNumber(), s=RunningSum(F.col("v")), m=RunningMax(F.when(F.col("flag"), F.col("v")))).rows
+    assert {r["i"]: (r["n"], r["s"], r["m"]) for r in out.collect()} == expected(rows, False)
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "k string, i int")
     assert number_rows(df, ["k"], ["i"]).count() == 0
