@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from corpusforge.operators.chunking import chunk_lines
 
 EPOCH = "2024-01-01 00:00:00"
+OWN_TIMESTAMP = "2024-02-02T00:00:00Z"
 EXTENSIONS = ["pdf", "txt", "srt", "vtt", "epub", "png", "docx", "TXT"]
 
 
@@ -141,22 +142,27 @@ GENERATOR_ORDER = ["conversations", "qa_pairs", "embeddings", "summaries"]
 
 
 def _quoted(text: Column) -> Column:
-    return F.concat(F.lit('"'), text, F.lit('"'))
+    """The text as a JSON string."""
+    listed = F.to_json(F.array(text))
+    return F.substring(listed, F.lit(2), F.length(listed) - 2)
 
 
 def completions_of(chunks: DataFrame) -> DataFrame:
-    """An answer for every (doc, chunk, generator) row, in the shapes models really return."""
+    """An answer for every (doc, chunk, generator) row, in the shapes models really return.
+
+    Answers quote the whole text of their `chunk`; those of one item (shape 5) bring a timestamp of their own.
+    """
     key = F.col("doc_id") + F.col("chunk_id")
-    tag = F.concat(F.lit("c"), F.col("doc_id").cast("string"), F.lit("-"), F.col("chunk_id").cast("string"))
-    q, a = _quoted(F.concat(F.lit("q "), tag)), _quoted(F.concat(F.lit("a "), tag))
+    shape = (key % 8).cast("int")
+    q, a = _quoted(F.concat(F.lit("q "), "chunk")), _quoted(F.concat(F.lit("a "), "chunk"))
+    end = F.when(shape == 5, f',"timestamp":"{OWN_TIMESTAMP}"}}').otherwise("}")
     item = (
-        F.when(F.col("generator") == "conversations", F.concat(F.lit('{"messages":[{"content":'), q, F.lit(',"role":"user"},{"content":'), a, F.lit(',"role":"assistant"}]}')))
-        .when(F.col("generator") == "qa_pairs", F.concat(F.lit('{"answer":'), a, F.lit(',"question":'), q, F.lit("}")))
-        .when(F.col("generator") == "embeddings", F.concat(F.lit('{"sentence1":'), q, F.lit(',"sentence2":'), a, F.lit(',"similarity":0.5}')))
-        .otherwise(F.concat(F.lit('{"summary":'), a, F.lit("}")))
+        F.when(F.col("generator") == "conversations", F.concat(F.lit('{"messages":[{"content":'), q, F.lit(',"role":"user"},{"content":'), a, F.lit(',"role":"assistant"}]'), end))
+        .when(F.col("generator") == "qa_pairs", F.concat(F.lit('{"answer":'), a, F.lit(',"question":'), q, end))
+        .when(F.col("generator") == "embeddings", F.concat(F.lit('{"sentence1":'), q, F.lit(',"sentence2":'), a, F.lit(',"similarity":0.5'), end))
+        .otherwise(F.concat(F.lit('{"summary":'), a, end))
     )
     other_key = F.when(F.col("generator") == "embeddings", "pairs").otherwise(F.col("generator"))
-    shape = (key % 8).cast("int")
     own = F.concat(F.lit('{"'), F.col("generator"), F.lit('":['), item, F.lit(","), item, F.lit("]}"))
     raw = (
         F.when(shape == 0, own)
@@ -166,7 +172,7 @@ def completions_of(chunks: DataFrame) -> DataFrame:
         .when(shape == 4, F.concat(F.lit('{"'), other_key, F.lit('":['), item, F.lit("]}")))
         .when(shape == 5, item)
         .when(shape == 6, F.lit("42"))
-        .otherwise(F.concat(F.lit("Sorry, here is "), tag))
+        .otherwise(F.concat(F.lit("Sorry, here is "), "chunk"))
     )
     return chunks.select("doc_id", "chunk_id", "generator", (key % 3 + 1).cast("int").alias("attempt"), raw.alias("raw"))
 

@@ -233,36 +233,38 @@ SELECT doc_id, x.style, x.generator, coalesce(s.prompt, f.prompt) AS prompt, {ca
 # Answers by shape. `n` items each; shapes 6 and 7 give none.
 ANSWERS = f"""{GENERATORS}, {chunks("documents")},
 a AS (SELECT doc_id, chunk_id, generator, (doc_id + chunk_id) % 8 AS shape, (doc_id + chunk_id) % 3 + 1 AS attempt,
-  'c' || doc_id || '-' || chunk_id AS tag FROM chunks, g),
-listed AS (SELECT *, CASE generator WHEN 'conversations' THEN '{{"messages":[{{"content":"q ' || tag || '","role":"user"}},{{"content":"a ' || tag || '","role":"assistant"}}]}}'
-  WHEN 'qa_pairs' THEN '{{"answer":"a ' || tag || '","question":"q ' || tag || '"}}'
-  WHEN 'embeddings' THEN '{{"sentence1":"q ' || tag || '","sentence2":"a ' || tag || '","similarity":0.5}}'
-  ELSE '{{"summary":"a ' || tag || '"}}' END AS item,
+  chunk AS said, to_json('q ' || chunk)::VARCHAR AS q, to_json('a ' || chunk)::VARCHAR AS ans,
+  CASE WHEN (doc_id + chunk_id) % 8 = 5 THEN ',"timestamp":"2024-02-02T00:00:00Z"}}' ELSE '}}' END AS fin FROM chunks, g),
+listed AS (SELECT *, CASE generator WHEN 'conversations' THEN '{{"messages":[{{"content":' || q || ',"role":"user"}},{{"content":' || ans || ',"role":"assistant"}}]' || fin
+  WHEN 'qa_pairs' THEN '{{"answer":' || ans || ',"question":' || q || fin
+  WHEN 'embeddings' THEN '{{"sentence1":' || q || ',"sentence2":' || ans || ',"similarity":0.5' || fin
+  ELSE '{{"summary":' || ans || fin END AS item,
   CASE shape WHEN 0 THEN 2 WHEN 1 THEN 2 WHEN 3 THEN 3 WHEN 6 THEN 0 WHEN 7 THEN 0 ELSE 1 END AS n FROM a),
-items AS (SELECT doc_id, chunk_id, generator, tag, shape, unnest(range(n)) AS item_no, item FROM listed)"""
-ORACLES["parse_completions"] = f"WITH RECURSIVE {ANSWERS} SELECT doc_id, chunk_id::BIGINT AS chunk_id, generator, item_no::BIGINT AS item_no, item FROM items"
+items AS (SELECT doc_id, chunk_id, generator, said, shape, unnest(range(n)) AS item_no, item FROM listed)"""
+ORACLES["parse_completions"] = f"WITH RECURSIVE {ANSWERS} SELECT doc_id, chunk_id::BIGINT AS chunk_id, generator, item_no::BIGINT AS item_no, md5(item) AS item_md5 FROM items"
 ORACLES["rejected_completions"] = f"""
 WITH RECURSIVE {ANSWERS} SELECT doc_id, chunk_id::BIGINT AS chunk_id, generator, CASE shape WHEN 6 THEN 'unexpected_type' ELSE 'not_json' END AS reason,
-  CASE shape WHEN 6 THEN '42' ELSE 'Sorry, here is ' || tag END AS raw FROM a WHERE shape >= 6"""
+  CASE shape WHEN 6 THEN '42' ELSE 'Sorry, here is ' || said END AS raw FROM a WHERE shape >= 6"""
 ORACLES["retry_prompts"] = f"""
 WITH RECURSIVE {ANSWERS} SELECT doc_id, chunk_id::BIGINT AS chunk_id, generator, (attempt + 1)::BIGINT AS attempt,
   'Your output wasn''t valid JSON. Please re-emit exactly valid JSON matching this schema:' || chr(10) || chr(10) || CASE generator
     WHEN 'conversations' THEN '{{"conversations": [{{"messages": [{{"role": "string", "content": "string"}}]}}]}}'
     WHEN 'qa_pairs' THEN '{{"qa_pairs": [{{"question": "string", "answer": "string"}}]}}'
     WHEN 'embeddings' THEN '{{"embeddings": [{{"sentence1": "string", "sentence2": "string", "similarity": 0.0}}]}}'
-    ELSE '{{"summaries": ["string"]}}' END || chr(10) || chr(10) || 'Previous output:' || chr(10) || 'Sorry, here is ' || tag AS prompt
+    ELSE '{{"summaries": ["string"]}}' END || chr(10) || chr(10) || 'Previous output:' || chr(10) || {strip("'Sorry, here is ' || said")} AS prompt
 FROM a WHERE shape = 7 AND attempt < 3"""
 _KEYS = "doc_id, chunk_id::BIGINT AS chunk_id, item_no::BIGINT AS item_no"
-ORACLES["typed_qa_pairs"] = f"WITH RECURSIVE {ANSWERS} SELECT {_KEYS}, 'q ' || tag AS question, 'a ' || tag AS answer FROM items WHERE generator = 'qa_pairs'"
-ORACLES["typed_embeddings"] = f"WITH RECURSIVE {ANSWERS} SELECT {_KEYS}, 'q ' || tag AS sentence1, 'a ' || tag AS sentence2, 0.5::DOUBLE AS similarity FROM items WHERE generator = 'embeddings'"
-ORACLES["typed_summaries"] = f"WITH RECURSIVE {ANSWERS} SELECT {_KEYS}, 'a ' || tag AS summary FROM items WHERE generator = 'summaries'"
+ORACLES["typed_qa_pairs"] = f"WITH RECURSIVE {ANSWERS} SELECT {_KEYS}, 'q ' || said AS question, 'a ' || said AS answer FROM items WHERE generator = 'qa_pairs'"
+ORACLES["typed_embeddings"] = f"WITH RECURSIVE {ANSWERS} SELECT {_KEYS}, 'q ' || said AS sentence1, 'a ' || said AS sentence2, 0.5::DOUBLE AS similarity FROM items WHERE generator = 'embeddings'"
+ORACLES["typed_summaries"] = f"WITH RECURSIVE {ANSWERS} SELECT {_KEYS}, 'a ' || said AS summary FROM items WHERE generator = 'summaries'"
 ORACLES["typed_conversations"] = f"""
 WITH RECURSIVE {ANSWERS} SELECT {_KEYS}, m::BIGINT AS message_no, CASE m WHEN 0 THEN 'user' ELSE 'assistant' END AS role,
-  CASE m WHEN 0 THEN 'q ' ELSE 'a ' END || tag AS content FROM items, range(2) t(m) WHERE generator = 'conversations'"""
+  CASE m WHEN 0 THEN 'q ' ELSE 'a ' END || said AS content FROM items, range(2) t(m) WHERE generator = 'conversations'"""
 ORACLES["tagged_items"] = f"""
-WITH RECURSIVE {ANSWERS} SELECT generator AS item_generator, '2024-01-20T00:00:00Z' AS item_timestamp, count(*)::BIGINT AS n_items FROM items GROUP BY 1"""
+WITH RECURSIVE {ANSWERS} SELECT generator AS item_generator, CASE shape WHEN 5 THEN '2024-02-02T00:00:00Z' ELSE '2024-01-20T00:00:00Z' END AS item_timestamp,
+  count(*)::BIGINT AS n_items FROM items GROUP BY 1, 2"""
 ORACLES["items_merged"] = f"""
-WITH RECURSIVE {ANSWERS} SELECT {_KEYS}, generator, CASE generator WHEN 'summaries' THEN 'a ' ELSE 'q ' END || tag AS lead FROM items WHERE generator <> 'conversations'"""
+WITH RECURSIVE {ANSWERS} SELECT {_KEYS}, generator, CASE generator WHEN 'summaries' THEN 'a ' ELSE 'q ' END || said AS lead FROM items WHERE generator <> 'conversations'"""
 ORACLES["items_of_two_runs"] = """
 SELECT doc_id, text AS question, lang, NULL::VARCHAR AS summary FROM documents UNION ALL SELECT item_id, NULL, NULL, text FROM benchmark"""
 ORACLES["items_override"] = f"""
@@ -311,17 +313,23 @@ SELECT stem, i::BIGINT AS block_no, '## Conversation ' || i || chr(10) || chr(10
   || array_to_string(list_transform(range(1, n + 1), lambda k: '**' || upper(left(roles[k], 1)) || substring(roles[k], 2) || ':** ' || said[k] || chr(10) || chr(10)), '')
   || '*Source: ' || stem || '.txt*' || chr(10) || chr(10) || '---' || chr(10) AS block FROM docs
 UNION ALL SELECT DISTINCT stem, 0::BIGINT, '# Conversation Training Data' || chr(10) || chr(10) || '**Total conversations:** ' || total || chr(10) FROM docs"""
-_QA = f"""{ANSWERS}, qa AS (SELECT doc_id, tag, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_id, item_no) AS i,
+
+
+def xml(x: str) -> str:
+    return f"replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+_QA = f"""{ANSWERS}, qa AS (SELECT doc_id, said, {xml('said')} AS shown, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_id, item_no) AS i,
   count(*) OVER (PARTITION BY doc_id) AS total FROM items WHERE generator = 'qa_pairs')"""
 ORACLES["render_xml"] = f"""
 WITH RECURSIVE {_QA}
-SELECT doc_id, i::BIGINT AS block_no, '  <qa_pair id="' || i || '">' || chr(10) || '    <question>q ' || tag || '</question>' || chr(10)
-  || '    <answer>a ' || tag || '</answer>' || chr(10) || '  </qa_pair>' AS block FROM qa
+SELECT doc_id, i::BIGINT AS block_no, '  <qa_pair id="' || i || '">' || chr(10) || '    <question>q ' || shown || '</question>' || chr(10)
+  || '    <answer>a ' || shown || '</answer>' || chr(10) || '  </qa_pair>' AS block FROM qa
 UNION ALL SELECT DISTINCT doc_id, 0::BIGINT, '<?xml version="1.0" ?>' || chr(10) || '<qa_pairs count="' || total || '">' FROM qa
 UNION ALL SELECT DISTINCT doc_id, (total + 1)::BIGINT, '</qa_pairs>' || chr(10) FROM qa"""
 ORACLES["render_json"] = f"""
 WITH RECURSIVE {_QA}
-SELECT doc_id, i::BIGINT AS block_no, CASE WHEN i > 1 THEN ',' ELSE '' END || '{{"question":"q ' || tag || '","answer":"a ' || tag || '"}}' AS block FROM qa
+SELECT doc_id, i::BIGINT AS block_no, CASE WHEN i > 1 THEN ',' ELSE '' END || '{{"question":' || to_json('q ' || said)::VARCHAR || ',"answer":' || to_json('a ' || said)::VARCHAR || '}}' AS block FROM qa
 UNION ALL SELECT DISTINCT doc_id, 0::BIGINT, '[' FROM qa UNION ALL SELECT DISTINCT doc_id, (total + 1)::BIGINT, ']' FROM qa"""
 ORACLES["render_summaries"] = """
 WITH n AS (SELECT source, text AS summary, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i,

@@ -264,10 +264,9 @@ def prompt_styles(spark, d):
 
 
 def _answers(spark, d) -> DataFrame:
-    """Chunks of all documents with the derived answers, joined as they would come back."""
+    """The derived answers to all chunks of all documents, which quote the chunks' whole texts."""
     chunks = chunking.explode_chunks(texts(spark, d), keep=["doc_id"])
-    asked = chunking.fan_out(chunks.select("doc_id", "chunk_id"), corpus.TEMPLATES).drop("template")
-    return items.attach_completions(asked, derived.completions_of(asked))
+    return derived.completions_of(chunking.fan_out(chunks, corpus.TEMPLATES))
 
 
 def _items(spark, d) -> DataFrame:
@@ -276,8 +275,10 @@ def _items(spark, d) -> DataFrame:
 
 @query
 def parse_completions(spark, d):
-    out = _items(spark, d)
-    return out.select("doc_id", big("chunk_id").alias("chunk_id"), "generator", big("item_no").alias("item_no"), F.to_json("item").alias("item"))
+    """Items of the answers, joined to what was asked as they would come back."""
+    asked = chunking.fan_out(chunking.explode_chunks(texts(spark, d), keep=["doc_id"]).select("doc_id", "chunk_id"), corpus.TEMPLATES)
+    out = items.explode_items(items.with_items(items.attach_completions(asked.drop("template"), _answers(spark, d))))
+    return out.select("doc_id", big("chunk_id").alias("chunk_id"), "generator", big("item_no").alias("item_no"), F.md5(F.to_json("item")).alias("item_md5"))
 
 
 @query
@@ -981,6 +982,9 @@ def write_and_read(spark, d):
 
 @query
 def stream_dedupe(spark, d):
-    docs = streaming.stream_table(spark, d, documents(spark, d).schema, "documents.parquet").select("doc_id", "text", "n_chars")
-    first = streaming.stream_dedupe(docs, F.col("text"), spread_by=F.col("doc_id")).select("content_hash", "n_chars")
+    """The documents as the arrivals of one day, by event time; state goes a day after the last of it."""
+    docs = streaming.stream_table(spark, d, documents(spark, d).schema, "documents.parquet")
+    arrived = docs.select("doc_id", "text", "n_chars", derived.minutes_after(F.col("doc_id") % (24 * 60)).alias("arrived_at"))
+    timed = streaming.stream_dedupe(arrived, F.col("text"), spread_by=F.col("doc_id"), event_time="arrived_at", delay="1 day")
+    first = timed.select("content_hash", "n_chars")
     return _run_stream(spark, first, "stream-dedupe")

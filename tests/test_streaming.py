@@ -49,6 +49,22 @@ def test_stream_dedupe_with_event_time(spark, documents, arrivals, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 189
 
 
+def test_stream_dedupe_forgets_after_the_delay(spark, tmp_path):
+    """A copy within the delay goes, one long after comes again, one older than the watermark is late and goes."""
+    source = str(tmp_path / "in")
+    out, cp = str(tmp_path / "out"), str(tmp_path / "cp")
+    days = [("a", 1, 1), ("a", 1, 2), ("b", 9, 3), ("a", 9, 4), ("c", 2, 5)]
+    got = []
+    for text, day, number in days:
+        row = spark.createDataFrame([(text, number)], "text string, doc_id long")
+        row.withColumn("at", F.make_timestamp(*map(F.lit, (2024, 1, day, 0, 0, 0)))).coalesce(1).write.mode("append").parquet(source)
+        stream = corpus.stream_table(spark, source, spark.read.parquet(source).schema, "*.parquet", max_files=1)
+        first = corpus.stream_dedupe(stream, F.col("text"), F.col("doc_id"), event_time="at", delay="1 day").select("doc_id")
+        corpus.append_to(first, out, cp).awaitTermination()
+        got.append(sorted(r[0] for r in spark.read.parquet(out).collect()))
+    assert got == [[1], [1], [1, 3], [1, 3, 4], [1, 3, 4]]
+
+
 def test_stream_files(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for i in range(3):
