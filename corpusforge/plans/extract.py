@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from typing import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusforge.functions.formats import file_ext, file_stem
 from corpusforge.functions.layout import keep_image
 from corpusforge.functions.text import clean_text, remove_header_lines
+from corpusforge.operators.manifest import remaining
 from corpusforge.operators.quality import admission, min_text_length, quality_status, route_processor
+from corpusforge.operators.runs import checkpoint_split
 from corpusforge.session import materialize
 from corpusforge.settings import Settings
 from corpusforge.sources.files import Extractor, epub_text, extract_batch, read_epub, read_text
@@ -105,3 +109,15 @@ def run_log(documents: DataFrame, seconds: str | None = None) -> DataFrame:
         (F.col(seconds) if seconds else F.lit(0.0)).alias("seconds"),
         F.when(~ok, F.col("error")).alias("error"),
     )
+
+
+def resume(files: DataFrame, log: DataFrame, run: Callable[[DataFrame], DataFrame], **limits) -> DataFrame:
+    """The log of a stopped run that goes on, with `run` telling `before` from `resumed`.
+
+    What the log holds before the row that stopped it stays; `run` handles all other files (rows with a `path`) and
+    returns their log. A log that never met its limits keeps all its rows. Files handled before, failed
+    or not, are not handled again.
+    """
+    done = checkpoint_split(log, **limits).filter("state = 'processed'").select("seq", "path")
+    kept = log.join(done.select("seq"), "seq", "left_semi").withColumn("run", F.lit("before"))
+    return kept.unionByName(run(remaining(files, done)).withColumn("run", F.lit("resumed")))

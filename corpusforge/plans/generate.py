@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusforge.operators.chunking import drop_blank_docs, explode_chunks, fan_out
-from corpusforge.operators.items import GENERATORS, Generator, complete, explode_items, rejects, retry_requests, with_items
+from corpusforge.operators.items import GENERATORS, Generator, complete, explode_items, override_union, rejects, retry_requests, with_items
 from corpusforge.plans.corpus import prompts_of, templates_of
 from corpusforge.session import materialize
 from corpusforge.settings import Settings
@@ -51,3 +51,16 @@ def generate(prompts: DataFrame, call: Callable[..., str], rounds: int = 3, gene
             again = again.join(prompts.select(*KEYS, calling["media"]), list(KEYS))
         asked = again.drop("attempt")
     return items, rejected
+
+
+def generate_full(documents: DataFrame, media: DataFrame, templates: dict[str, str], call: Callable[..., str],
+                  settings: Settings = Settings(), **calling) -> tuple[DataFrame, DataFrame]:
+    """Items and rejects of documents and their media (`doc_id`, `media_path`) together.
+
+    Where a media generator of `templates` has run for a document, its items replace that document's text items of the
+    same generator, even if it gave none. `call` gets the prompt, and for media the path too.
+    """
+    prompts = media_prompts(media, templates)
+    found, lost = generate(text_prompts(documents, settings), call, **calling)
+    seen, unseen = generate(prompts, call, media="media_path", **calling)
+    return override_union(found, seen, prompts), lost.unionByName(unseen)

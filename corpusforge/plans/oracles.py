@@ -272,6 +272,13 @@ WITH RECURSIVE {ANSWERS}, toxic AS (SELECT doc_id FROM labels WHERE toxic = 1),
 u AS (SELECT doc_id, generator, item FROM items WHERE NOT (generator = 'qa_pairs' AND doc_id IN (SELECT doc_id FROM toxic))
   UNION ALL SELECT doc_id, 'qa_pairs', '{{"question":"picture?"}}' FROM toxic)
 SELECT doc_id, generator, count(*)::BIGINT AS n_items, max(item) AS last_item FROM u GROUP BY 1, 2"""
+ORACLES["full_flow"] = f"""
+WITH RECURSIVE {GENERATORS}, {chunks("documents")}, toxic AS (SELECT doc_id FROM labels WHERE toxic = 1),
+p AS (SELECT doc_id, chunk_id, generator, lead || chunk AS asked FROM chunks, g
+  WHERE generator = 'summaries' OR generator = 'qa_pairs' AND doc_id NOT IN (SELECT doc_id FROM toxic)
+  UNION ALL SELECT doc_id, 0, 'qa_pairs', 'Describe the picture: img/' || doc_id || '.png' FROM toxic)
+SELECT doc_id, chunk_id::BIGINT AS chunk_id, 0::BIGINT AS item_no, generator, CASE generator WHEN 'qa_pairs' THEN md5(asked) END AS question,
+  CASE generator WHEN 'qa_pairs' THEN length(asked)::VARCHAR END AS answer, CASE generator WHEN 'summaries' THEN md5(asked) END AS summary FROM p"""
 ORACLES["items_by_generator"] = f"""
 WITH RECURSIVE {ANSWERS} SELECT generator, count(*)::BIGINT AS n_items, count(DISTINCT doc_id)::BIGINT AS n_docs FROM items GROUP BY 1"""
 ORACLES["items_per_document"] = f"WITH RECURSIVE {ANSWERS} SELECT doc_id, " + ", ".join(
@@ -442,6 +449,9 @@ WITH {STREAKS} SELECT seq, streak::BIGINT AS streak, successes::BIGINT AS succes
 ORACLES["checkpoint_split"] = f"""
 WITH {STREAKS}, m AS (SELECT min(seq) AS stop FROM streaks WHERE {reasons(4, 60)} IS NOT NULL)
 SELECT seq, path, CASE WHEN stop IS NULL OR seq < stop THEN 'processed' ELSE 'remaining' END AS state FROM log, m"""
+ORACLES["resume"] = f"""
+WITH {STREAKS}, m AS (SELECT min(seq) AS stop FROM streaks WHERE {reasons(4, 60)} IS NOT NULL)
+SELECT seq, path, success, text_chars::BIGINT AS text_chars, CASE WHEN stop IS NULL OR seq < stop THEN 'before' ELSE 'resumed' END AS run FROM log, m"""
 ORACLES["run_summary"] = f"""
 WITH {LOG} SELECT count(*)::BIGINT AS files_total, sum(success::INT)::BIGINT AS files_successful, sum((NOT success)::INT)::BIGINT AS files_failed,
   sum(text_chars)::BIGINT AS total_text_chars, sum(image_count)::BIGINT AS total_images FROM log"""

@@ -9,7 +9,7 @@ from corpusforge import fixed_values as fixed
 from corpusforge.functions import formats, layout, prompts, text
 from corpusforge.operators import catalog, chunking, conversations, dedupe, items, manifest, pages, quality, render, running, runs
 from corpusforge.operators import stores
-from corpusforge.plans import corpus, derived
+from corpusforge.plans import corpus, derived, extract, generate
 from corpusforge.session import materialize, shared_dir
 from corpusforge.sinks import committed, writers
 from corpusforge.settings import Settings
@@ -348,6 +348,24 @@ def items_override(spark, d):
     return out.groupBy("doc_id", "generator").agg(F.count(F.lit(1)).alias("n_items"), F.max("item").alias("last_item"))
 
 
+@query
+def full_flow(spark, d):
+    """Text and media items of the whole corpus by a completion function; toxic documents have a picture of their own."""
+    from hashlib import md5
+    from json import dumps
+
+    def call(prompt, *media):
+        asked = prompt + "".join(media)
+        digest = md5(asked.encode()).hexdigest()
+        return dumps({"items": [{"question": digest, "answer": str(len(asked)), "summary": digest}]})
+
+    pictures = read_table(spark, d, "labels").filter("toxic = 1").select("doc_id", F.format_string("img/%d.png", "doc_id").alias("media_path"))
+    chosen = Settings(text_generators=("qa_pairs", "summaries"))
+    found, _ = generate.generate_full(texts(spark, d), pictures, {"qa_pairs": "Describe the picture: "}, call, chosen, rounds=1)
+    out = items.all_typed_items(found)
+    return out.select("doc_id", big("chunk_id").alias("chunk_id"), big("item_no").alias("item_no"), "generator", "question", "answer", "summary")
+
+
 @query
 def items_by_generator(spark, d):
     return items.items_by_generator(_items(spark, d))
@@ -638,6 +656,14 @@ def checkpoint_split(spark, d):
     return runs.checkpoint_split(_log(spark, d), max_failures=4, max_files=60)
 
 
+@query
+def resume(spark, d):
+    """A run that stopped at its limits goes on over the files it had not handled."""
+    files = documents(spark, d).select("doc_id", "source", "n_chars", F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"))
+    out = extract.resume(files, _log(spark, d), derived.run_log_of, max_failures=4, max_files=60)
+    return out.select("seq", "path", "success", "text_chars", "run")
+
+
 @query
 def run_summary(spark, d):
     return runs.run_summary(_log(spark, d))

@@ -76,6 +76,40 @@ def test_generate_from_media_with_fallback(spark):
     assert lost.count() == 0
 
 
+def test_media_items_replace_text_items(spark):
+    docs = spark.createDataFrame([(i, f"Some plain text, id={i}") for i in range(3)], "doc_id long, text string")
+    media = spark.createDataFrame([(1, "a.png"), (2, "none.png"), (9, "only.png")], "doc_id long, media_path string")
+
+    def call(prompt, *path):
+        if path:
+            return "[]" if path[0] == "none.png" else json.dumps([{"question": path[0]}])
+        return json.dumps([{"question": "text", "summary": "text"}])
+
+    chosen = Settings(text_generators=("qa_pairs", "summaries"))
+    found, lost = generate.generate_full(docs, media, {"qa_pairs": "Describe"}, call, chosen, rounds=1, backoff=0.0)
+    qa = items.typed_items(found, "qa_pairs")
+    assert {r["doc_id"]: r["question"] for r in qa.collect()} == {0: "text", 1: "a.png", 9: "only.png"}
+    assert sorted(r["doc_id"] for r in items.typed_items(found, "summaries").collect()) == [0, 1, 2]
+    assert [(r["doc_id"], r["reason"]) for r in lost.collect()] == [(2, "empty")]
+
+
+@pytest.mark.parametrize("stop", [3, 99])
+def test_a_stopped_run_goes_on(spark, stop):
+    rows = [(i, f"f{i}", i % 4 != 1, 1.0, None) for i in range(8)]
+    log = spark.createDataFrame(rows, "seq long, path string, success boolean, seconds double, error string")
+    handled = []
+
+    def run(left):
+        handled.extend(sorted(r["path"] for r in left.collect()))
+        return left.select(F.col("n").alias("seq"), "path", F.lit(True).alias("success"), F.lit(0.5).alias("seconds"), F.lit(None).cast("string").alias("error"))
+
+    files = spark.createDataFrame([(f"f{i}", 100 + i) for i in range(10)], "path string, n long")
+    out = extract.resume(files, log, run, max_failures=9, max_files=stop)
+    kept = 3 if stop == 3 else 8
+    assert {r["path"]: (r["run"], r["seq"]) for r in out.collect()} == {f"f{i}": ("before", i) if i < kept else ("resumed", 100 + i) for i in range(10)}
+    assert handled == [f"f{i}" for i in range(kept, 10)]
+
+
 def test_a_format_and_a_writer_of_ones_own(spark, monkeypatch, tmp_path):
     from corpusforge.sinks import writers
 
