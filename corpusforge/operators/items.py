@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from typing import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
 from corpusforge import fixed_values as fixed
 from corpusforge.functions.prompts import retry_prompt
@@ -241,6 +243,48 @@ def csv_header(items: DataFrame) -> DataFrame:
     return items.select("generator", F.explode(fields).alias("field")).distinct()
 
 
+def item_schemas(items: DataFrame, generators: list[str]) -> dict[str, tuple[StructType, bool]]:
+    """Per generator the fields of its items with the type that holds all their values, and whether some
+    items are no objects.
+
+    One mergeable aggregate over all items, combined before its row per generator reaches the driver.
+    Numbers with a fraction are doubles; lists, objects and fields of mixed types are strings, which hold
+    their JSON. A generator without items has no fields.
+    """
+    is_object = F.schema_of_variant("item").startswith("OBJECT")
+    found = items.filter(F.col("generator").isin(generators)).groupBy("generator").agg(
+        F.schema_of_variant_agg(F.when(is_object, F.col("item"))).alias("schema"), F.max(~is_object).alias("loose")
+    )
+    out = dict.fromkeys(generators, (StructType(), False))
+    return out | {r["generator"]: (_plain_fields(r["schema"]), bool(r["loose"])) for r in found.collect()}
+
+
+def _plain_fields(schema: str) -> StructType:
+    """The top fields of an aggregated schema, each with a type that a CSV column can have."""
+    if not schema.startswith("OBJECT"):
+        return StructType()
+    # Names in backticks stay as they are.
+    ddl = "".join(part if part.startswith("`") else part.replace("OBJECT<", "STRUCT<") for part in re.findall(r"`(?:[^`]|``)*`|[^`]+", schema))
+    plain = {"long": LongType(), "double": DoubleType(), "float": DoubleType(), "decimal": DoubleType(), "boolean": BooleanType()}
+    whole = StructType.fromDDL(f"item {ddl}")["item"].dataType
+    return StructType([StructField(f.name, plain.get(f.dataType.typeName(), StringType())) for f in whole])
+
+
+def typed_columns(items: DataFrame, generator: str, schema: StructType, loose: bool = False,
+                  keys: tuple[str, ...] = ("doc_id", "chunk_id", "item_no")) -> DataFrame:
+    """The items of a generator with a column per field of `schema` (see `item_schemas`).
+
+    A field named like a key becomes `item.<name>`; with `loose`, items that are no objects keep their text
+    in a column `item`.
+    """
+    named = [F.col("_item").getField(f.name).alias(f"item.{f.name}" if f.name in (*keys, "item") else f.name) for f in schema]
+    is_object = F.schema_of_variant("item").startswith("OBJECT")
+    text = [F.when(~is_object, F.try_variant_get("item", "$", "string")).alias("item")] if loose else []
+    own = items.filter(F.col("generator") == generator)
+    values = own.withColumn("_item", F.from_json(F.to_json("item"), schema)) if named else own
+    return values.select(*keys, *named, *text)
+
+
 def sample_items(items: DataFrame, key: Column, n: int = fixed.SAMPLE_ITEMS, seed: int | None = 0) -> DataFrame:
     """`n` items: the first by `key`, or with a seed a repeatable random choice."""
     order = key if seed is None else F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed))))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusforge import fixed_values as fixed
 from corpusforge.functions.formats import file_ext, file_name, file_stem
 from corpusforge.operators.quality import admission, route_processor
-from corpusforge.operators.running import OrderedRows, RunningSum, number_rows
+from corpusforge.operators.running import PART_ROWS, OrderedRows, RunningSum, number_rows
 
 MB = 1024 * 1024
 
@@ -127,21 +127,74 @@ def reuse_extractions(manifest: DataFrame, store: DataFrame, now: Column, max_da
     return joined.withColumn("text", text).drop("_version", "_length", "_mtime", "cached_at", "stored_text")
 
 
-def retention(store: DataFrame, now: Column, max_bytes: float, max_days: int = fixed.STORE_MAX_DAYS, key: str = "path") -> DataFrame:
+#: Cells of one histogram of bytes over access time; each round looks into one cell of the last.
+RETENTION_CELLS = 65_536
+#: Microseconds of the year 1, the place of rows that were never used.
+NEVER = -62_135_596_800_000_000
+
+
+def retention(store: DataFrame, now: Column, max_bytes: float, max_days: int = fixed.STORE_MAX_DAYS, key: str = "path",
+              cell_rows: int = PART_ROWS) -> DataFrame:
     """Which stored rows to drop: those not used for `max_days`, then the least recently used
     ones until the rest fits `max_bytes`.
 
-    An entry stays when the entries used at least as recently as itself, with it, fit. Only key, size
-    and time are ordered; the verdict joins the stored rows by key, which must be unique.
+    An entry stays when the entries used at least as recently as itself (ties: those of greater `key`), with
+    it, fit. The first row that does not is found by `eviction_cut`; then the store is read once more and
+    each row compared with it. `key` must be unique, sizes at least zero; null sizes count nothing, a null
+    time is before all others and never expires.
     """
     age_days = (F.unix_micros(now) - F.unix_micros("accessed_at")) / (86400 * 1e6)
-    slim = store.select(key, "size", "accessed_at")
-    marked = slim.withColumn("_old", age_days > max_days) if max_days > 0 else slim.withColumn("_old", F.lit(False))
-    ordered = OrderedRows(marked, [], [F.col("accessed_at").desc(), F.col(key).desc()])
-    live = F.when(F.col("_old"), 0).otherwise(F.col("size"))
-    rows = ordered.add(_newer=RunningSum(live)).rows
-    verdict = F.when(F.col("_old"), "expired").when(F.col("_newer") > max_bytes, "evicted").otherwise("kept")
-    return store.join(rows.select(key, verdict.alias("verdict")), key)
+    old = F.coalesce(age_days > max_days, F.lit(False)) if max_days > 0 else F.lit(False)
+    cut = eviction_cut(store.filter(~old), max_bytes, key, cell_rows)
+    verdict = F.when(old, "expired")
+    if cut is not None:
+        kind = store.schema[key].dataType
+        at_cut = F.struct(F.lit(cut[0]).cast("long").alias("at"), F.lit(cut[1]).cast(kind).alias("key"))
+        verdict = verdict.when(F.struct(_used().alias("at"), F.col(key).alias("key")) <= at_cut, "evicted")
+    return store.withColumn("verdict", verdict.otherwise("kept"))
+
+
+def _used() -> Column:
+    return F.coalesce(F.unix_micros("accessed_at"), F.lit(NEVER))
+
+
+def eviction_cut(live: DataFrame, max_bytes: float, key: str = "path", cell_rows: int = PART_ROWS) -> tuple | None:
+    """Time (microseconds) and key of the most recently used row that does not fit `max_bytes`; None if all fit.
+
+    A selection, no order of the store: the range of access times is cut into cells, bytes are summed per
+    cell, and the cell in which the sum of the newest passes `max_bytes` is cut again, until it has at most
+    `cell_rows` rows or is one microsecond. Only its rows are ordered; rows of one moment that are more than
+    that are ordered in parts.
+    """
+    rows = live.select(_used().alias("_at"), F.col(key).alias("_key"), F.coalesce("size", F.lit(0)).alias("_size"), "accessed_at")
+    low, high, total, n = rows.agg(F.min("_at"), F.max("_at"), F.sum("_size"), F.count(F.lit(1))).first()
+    if n == 0 or total <= max_bytes:
+        return None
+    newer, first = 0, True
+    while first or (n > cell_rows and low < high):
+        first = False
+        width = (high - low) // RETENTION_CELLS + 1
+        cells = _between(rows, low, high).groupBy(F.expr(f"(_at - ({low}L)) div {width}L").alias("cell")).agg(
+            F.sum("_size").alias("bytes"), F.count(F.lit(1)).alias("n"), F.min("_at").alias("low"), F.max("_at").alias("high")
+        )
+        # At most RETENTION_CELLS rows.
+        upto = F.sum("bytes").over(Window.orderBy(F.col("cell").desc()).rowsBetween(Window.unboundedPreceding, 0))
+        crossed = cells.withColumn("upto", upto + newer).filter(F.col("upto") > max_bytes)
+        cell = crossed.orderBy(F.col("cell").desc()).first()
+        low, high, n, newer = cell["low"], cell["high"], cell["n"], cell["upto"] - cell["bytes"]
+    inside = _between(rows, low, high).select("_at", "_key", "_size")
+    order = [F.col("_at").desc(), F.col("_key").desc()]
+    if n > cell_rows:
+        summed = OrderedRows(inside, [], order).add(_newer=RunningSum(F.col("_size"))).rows
+    else:
+        summed = inside.withColumn("_newer", F.sum("_size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    return tuple(summed.filter(F.col("_newer") + newer > max_bytes).orderBy(*order).select("_at", "_key").first())
+
+
+def _between(rows: DataFrame, low: int, high: int) -> DataFrame:
+    """Rows used in this range; the filter names the stored column, so that a scan can skip what lies outside."""
+    used = (F.col("accessed_at") >= F.timestamp_micros(F.lit(low))) & (F.col("accessed_at") <= F.timestamp_micros(F.lit(high)))
+    return rows.filter(used | F.col("accessed_at").isNull() if low <= NEVER else used)
 
 
 def store_stats(store: DataFrame) -> DataFrame:

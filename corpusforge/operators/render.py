@@ -219,6 +219,6 @@ def csv_columns(items: DataFrame) -> DataFrame:
     nested = ("array", "struct", "map", "variant")
     columns = []
     for field in sorted(items.schema, key=lambda f: f.name):
-        value = F.col(field.name)
+        value = F.col("`" + field.name.replace("`", "``") + "`")
         columns.append(F.to_json(value).alias(field.name) if field.dataType.typeName() in nested else value)
     return items.select(*columns)

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusforge import fixed_values as fixed
-from corpusforge.operators.running import OrderedRows, RowNumber, RunningMax, RunningSum
+from corpusforge.operators.running import PART, PART_ROWS, OrderedRows, RowNumber, RunningSum
 
 
 @dataclass(frozen=True)
@@ -33,19 +33,50 @@ class RunState:
         return "quota exceeded" if on_quota and self.quota else None
 
 
-def failure_streaks(run_log: DataFrame, start: RunState = RunState()) -> DataFrame:
+def _segments(run_log: DataFrame, part_rows: int) -> DataFrame:
+    """The log in segments of `part_rows` places, with row number, successes, seconds and the row number of
+    the last success inside the segment. `seq` is the place in the run, so a segment has at most as many rows."""
+    span = Window.partitionBy(PART).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    ok = F.coalesce(F.col("success"), F.lit(False))
+    counted = run_log.withColumn(PART, F.floor(F.col("seq") / part_rows)).select(
+        "*",
+        F.count(F.lit(1)).over(span).alias("_n"),
+        F.sum(ok.cast("long")).over(span).alias("_ok"),
+        F.sum("seconds").over(span).alias("_seconds"),
+    )
+    return counted.withColumn("_last_ok", F.max(F.when(ok, F.col("_n"))).over(span))
+
+
+def _carried(segments: DataFrame, *more: Column) -> DataFrame:
+    """One row per segment: what the segments before it add up to, and `more` aggregates of its own rows.
+
+    Summaries combine in order: rows, successes and seconds add, the last success is the greatest
+    place of any. They are as many as segments and the only thing that comes together in one task.
+    """
+    own = segments.groupBy(PART).agg(
+        F.max("_n").alias("_rows"), F.max("_ok").alias("_oks"), F.sum("seconds").alias("_took"), F.max("_last_ok").alias("_at"), *more
+    )
+    before = Window.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    start = {"_rows_before": "_rows", "_ok_before": "_oks", "_seconds_before": "_took"}
+    summed = own.select("*", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(name) for name, c in start.items()])
+    return summed.withColumn("_last_before", F.max(F.col("_rows_before") + F.col("_at")).over(before))
+
+
+def failure_streaks(run_log: DataFrame, start: RunState = RunState(), part_rows: int = PART_ROWS) -> DataFrame:
     """The log with `streak` (failures in a row up to here), `successes` and `elapsed` so far,
-    going on from `start`."""
-    rows = OrderedRows(run_log, [], ["seq"]).add(
-        _n=RowNumber(), _ok=RunningSum(F.col("success").cast("long")), _seconds=RunningSum(F.col("seconds"))
+    going on from `start`. The rows move once; nothing is staged."""
+    segments = _segments(run_log, part_rows)
+    # At most one row per segment.
+    before = F.broadcast(_carried(segments).select(F.col(PART).alias("_of"), "_rows_before", "_ok_before", "_seconds_before", "_last_before"))
+    rows = segments.join(before, F.col(PART).eqNullSafe(F.col("_of")))
+    place = F.col("_rows_before") + F.col("_n")
+    last_ok = F.coalesce(F.col("_rows_before") + F.col("_last_ok"), "_last_before", F.lit(-start.streak))
+    return rows.select(
+        *run_log.columns,
+        (place - last_ok).alias("streak"),
+        (F.col("_ok_before") + F.col("_ok") + start.successes).alias("successes"),
+        (F.col("_seconds_before") + F.col("_seconds") + start.elapsed).alias("elapsed"),
     )
-    rows = rows.add(_last_ok=RunningMax(F.when(F.col("success"), F.col("_n"))))
-    added = {
-        "streak": F.col("_n") - F.coalesce(F.col("_last_ok"), F.lit(-start.streak)),
-        "successes": F.col("_ok") + start.successes,
-        "elapsed": F.col("_seconds") + start.elapsed,
-    }
-    return rows.rows.withColumns(added).drop("_n", "_ok", "_seconds", "_last_ok")
 
 
 def run_state(run_log: DataFrame, start: RunState = RunState()) -> RunState:
@@ -83,10 +114,48 @@ def stop_reason(max_failures: int = fixed.MAX_CONSECUTIVE_FAILURES, max_files: i
     return reason.when(~F.col("success") & _mentions_quota(), "quota exceeded") if on_quota else reason
 
 
-def auto_stop_point(run_log: DataFrame, **limits) -> DataFrame:
-    """The first row that stops the run, as one row of `stop_seq` and `reason`; nulls if none."""
+def stopping_segment(run_log: DataFrame, part_rows: int = PART_ROWS, max_failures: int = fixed.MAX_CONSECUTIVE_FAILURES,
+                     max_files: int | None = None, max_seconds: float | None = None, on_quota: bool = True) -> DataFrame:
+    """The first segment in which some row stops the run, with the sums before it: one row or none.
+
+    What a segment needs for that: its failures before the first success (they continue the streak from
+    before), its longest streak after one, its greatest running time, its successes, and any quota message.
+    """
+    segments = _segments(run_log, part_rows)
+    carried = _carried(
+        segments,
+        F.count_if(F.col("_last_ok").isNull()).alias("_prefix"),
+        F.coalesce(F.max(F.col("_n") - F.col("_last_ok")), F.lit(0)).alias("_longest"),
+        F.max("_seconds").alias("_reached"),
+        F.coalesce(F.max(~F.col("success") & _mentions_quota()), F.lit(False)).alias("_quota"),
+    )
+    streak = F.col("_rows_before") - F.coalesce("_last_before", F.lit(0))
+    longest = F.greatest("_longest", F.when(F.col("_prefix") > 0, streak + F.col("_prefix")))
+    stops = longest >= max_failures
+    if max_seconds is not None:
+        stops = stops | F.coalesce(F.col("_seconds_before") + F.col("_reached") >= max_seconds, F.lit(False))
+    if max_files is not None:
+        stops = stops | (F.col("_ok_before") + F.col("_oks") >= max_files)
+    if on_quota:
+        stops = stops | F.col("_quota")
+    first = carried.filter(stops).agg(
+        *[F.min_by(c, PART).alias(c) for c in (PART, "_ok_before", "_seconds_before")], F.min_by(streak, PART).alias("_streak")
+    )
+    return first.filter(F.col(PART).isNotNull())
+
+
+def auto_stop_point(run_log: DataFrame, part_rows: int = PART_ROWS, **limits) -> DataFrame:
+    """The first row that stops the run, as one row of `stop_seq` and `reason`; nulls if none.
+
+    Summaries of segments tell which one holds it (one row for the driver); then only that segment is read again."""
     needed = run_log.select("seq", "success", "seconds", "error")
-    marked = failure_streaks(needed).withColumn("reason", stop_reason(**limits)).filter("reason IS NOT NULL")
+    found = stopping_segment(needed, part_rows, **limits).first()
+    if found is None:
+        return run_log.sparkSession.range(1).select(F.lit(None).cast(run_log.schema["seq"].dataType).alias("stop_seq"), F.lit(None).cast("string").alias("reason"))
+    start = RunState(found["_streak"], successes=found["_ok_before"], elapsed=found["_seconds_before"])
+    low = found[PART] * part_rows
+    segment = needed.filter((F.col("seq") >= low) & (F.col("seq") < low + part_rows))
+    marked = failure_streaks(segment, start, part_rows).withColumn("reason", stop_reason(**limits)).filter("reason IS NOT NULL")
     return marked.agg(F.min("seq").alias("stop_seq"), F.min_by("reason", "seq").alias("reason"))
 
 

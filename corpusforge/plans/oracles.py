@@ -287,6 +287,12 @@ ORACLES["items_per_document"] = f"WITH RECURSIVE {ANSWERS} SELECT doc_id, " + ",
 ORACLES["item_stats"] = f"WITH RECURSIVE {ANSWERS} SELECT count(*)::BIGINT AS n_items, round(avg(length(item)) + 3e-9, 6) AS avg_length FROM items"
 ORACLES["csv_header"] = f"""
 WITH RECURSIVE {ANSWERS} SELECT DISTINCT generator, unnest(json_keys(item)) AS field FROM items WHERE item[1] = '{{'"""
+_OWN_TIME = "CASE shape WHEN 5 THEN '|2024-02-02T00:00:00Z' ELSE '' END"
+ORACLES["typed_csv"] = f"""
+WITH RECURSIVE {ANSWERS} SELECT {_KEYS}, generator, CASE generator WHEN 'embeddings' THEN 'chunk_id,doc_id,item_no,sentence1,sentence2,similarity,timestamp'
+    ELSE 'chunk_id,doc_id,item_no,messages,timestamp' END AS header,
+  md5(CASE generator WHEN 'embeddings' THEN 'q ' || said || '|a ' || said || '|0.5' ELSE json_extract(item, '$.messages')::VARCHAR END || {_OWN_TIME}) AS values_md5
+FROM items WHERE generator IN ('embeddings', 'conversations')"""
 ORACLES["sample_items"] = "SELECT doc_id, source FROM documents ORDER BY md5(doc_id || ':0'), doc_id LIMIT 5"
 
 # --- conversations and rendering ---------------------------------------------------------

@@ -10,7 +10,7 @@ from corpusforge.functions import formats, layout, prompts, text
 from corpusforge.operators import catalog, chunking, conversations, dedupe, items, manifest, pages, quality, render, running, runs
 from corpusforge.operators import stores
 from corpusforge.plans import corpus, derived, extract, generate
-from corpusforge.session import materialize, shared_dir
+from corpusforge.session import discard, materialize, shared_dir
 from corpusforge.sinks import committed, writers
 from corpusforge.settings import Settings
 from corpusforge.sources.books import read_books
@@ -386,6 +386,26 @@ def csv_header(spark, d):
     return items.csv_header(_items(spark, d))
 
 
+@query
+def typed_csv(spark, d):
+    """Items of two generators as CSV files whose headers come from the items, read back by those headers."""
+    import uuid
+
+    path = f"{shared_dir(spark)}/typed-csv-{uuid.uuid4().hex}"
+    found = materialize(_items(spark, d).filter("generator IN ('embeddings', 'conversations')"), "typed-items")
+    writers.write_typed_csv(found, path, ["embeddings", "conversations"])
+    discard(found)
+    back = {g: spark.read.options(**writers.CSV, multiLine="true").csv(f"{path}/{g}") for g in ("embeddings", "conversations")}
+    values = {"embeddings": ["sentence1", "sentence2", "similarity", "timestamp"], "conversations": ["messages", "timestamp"]}
+    fields = {
+        g: df.select("doc_id", "chunk_id", "item_no", F.lit(g).alias("generator"), F.lit(",".join(df.columns)).alias("header"),
+                     F.md5(F.concat_ws("|", *values[g])).alias("values_md5"))
+        for g, df in back.items()
+    }
+    out = fields["embeddings"].unionByName(fields["conversations"])
+    return out.select(*[big(c).alias(c) for c in ("doc_id", "chunk_id", "item_no")], "generator", "header", "values_md5")
+
+
 @query
 def sample_items(spark, d):
     return items.sample_items(documents(spark, d).select("doc_id", "source"), F.col("doc_id"))

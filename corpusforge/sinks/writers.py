@@ -7,6 +7,7 @@ from pathlib import PurePosixPath
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusforge.operators.items import item_schemas, typed_columns
 from corpusforge.operators.render import csv_columns, render_blocks
 
 FORMATS = ("jsonl", "json", "csv", "txt", "markdown", "xml")
@@ -14,6 +15,8 @@ FORMATS = ("jsonl", "json", "csv", "txt", "markdown", "xml")
 FORMAT_BY_SUFFIX = {".jsonl": "jsonl", ".json": "json", ".csv": "csv", ".txt": "txt", ".md": "markdown", ".xml": "xml"}
 
 
+# Values as they are, white space at their ends too.
+CSV = {"header": "true", "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 # Overwriting replaces the keys that are written, and no other.
 OVERWRITE = {"partitionOverwriteMode": "dynamic"}
 
@@ -36,10 +39,16 @@ def write_jsonl(items: DataFrame, path: str, partition_by: list[str] | None = No
 
 def write_csv(items: DataFrame, path: str, partition_by: list[str] | None = None, mode: str = "append") -> None:
     """Columns in name order with a header in every part file; nested values as JSON."""
-    writer = csv_columns(items).write.mode(mode).options(**OVERWRITE).options(header="true", quote='"', escape='"')
+    writer = csv_columns(items).write.mode(mode).options(**OVERWRITE).options(**CSV)
     (writer.partitionBy(*partition_by) if partition_by else writer).csv(path)
 
 
+def write_typed_csv(items: DataFrame, path: str, generators: list[str], mode: str = "append") -> None:
+    """A CSV folder per generator, its columns and types taken from the items themselves (`item_schemas`)."""
+    for generator, (schema, loose) in item_schemas(items, generators).items():
+        write_csv(typed_columns(items, generator, schema, loose), f"{path}/{generator}", mode=mode)
+
+
 def write_xml(items: DataFrame, path: str, root: str, row: str, mode: str = "append") -> None:
     """Rows as XML elements; fields named `_x` become attributes."""
     items.write.mode(mode).format("xml").options(rootTag=root, rowTag=row).save(path)

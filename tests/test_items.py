@@ -87,6 +87,26 @@ def test_override_keeps_empty_media_keys(spark):
     assert got == {(1, "summaries", "t"), (1, "qa_pairs", "m")}
 
 
+def test_columns_and_types_come_from_the_items(spark, tmp_path):
+    from corpusforge.sinks import writers
+
+    raw = '[{"n": 1, "x y": " a ", "m": [1, "z"], "OBJECT<": true, "doc_id": "k"}, {"n": 2.5, "m": {"o": "é"}, "v": 1}, {"v": "t", "q`": null}, "bare"]'
+    found = items.explode_items(listed(spark, ("own", raw), ("other", '[{"else": 1}]')))
+    schemas = items.item_schemas(found, ["own", "other", "none"])
+    types = {f.name: f.dataType.typeName() for f in schemas["own"][0]}
+    assert types == {"n": "double", "x y": "string", "m": "string", "OBJECT<": "boolean", "doc_id": "string", "v": "string", "q`": "string"}
+    rows = [r.asDict() for r in items.typed_columns(found, "own", *schemas["own"]).orderBy("item_no").collect()]
+    assert [r["n"] for r in rows] == [1.0, 2.5, None, None] and [r["v"] for r in rows] == [None, "1", "t", None]
+    assert [r["m"] for r in rows] == ['[1,"z"]', '{"o":"é"}', None, None] and rows[3]["item"] == "bare"
+    assert rows[0]["item.doc_id"] == "k" and rows[0]["x y"] == " a " and rows[0]["OBJECT<"] is True
+    writers.write_typed_csv(found, str(tmp_path / "csv"), ["own", "other"])
+    back = spark.read.options(**writers.CSV, multiLine="true").csv(str(tmp_path / "csv/own"))
+    assert back.columns == sorted([*types.keys() - {"doc_id"}, "item", "item.doc_id", "doc_id", "chunk_id", "item_no"])
+    assert back.filter("item_no = 0").select("x y").first()[0] == " a "
+    assert items.typed_columns(found, "none", *schemas["none"]).columns == ["doc_id", "chunk_id", "item_no"]
+    assert items.item_schemas(found.limit(0), ["own"])["own"][0].names == []
+
+
 def test_filter_sample_and_header(spark):
     found = items.explode_items(listed(spark, ("qa_pairs", '[{"b": 1, "a": 2}, {"c": 3}]')))
     assert sorted(r["field"] for r in items.csv_header(found).collect()) == ["a", "b", "c"]

@@ -26,6 +26,44 @@ def test_auto_stop_golden(spark):
     assert runs.auto_stop_point(log_of(spark, [1, 0], "QUOTA"), on_quota=False).first()["reason"] is None
 
 
+def brute_stop(rows, max_failures, max_files, max_seconds):
+    """Row by row: (streak, successes, elapsed) of all rows, and the first row that stops."""
+    streak = done = 0
+    elapsed, seen, stop = 0.0, [], (None, None)
+    for seq, ok, seconds, error in rows:
+        streak, done, elapsed = (0 if ok else streak + 1), done + bool(ok), elapsed + seconds
+        seen.append((seq, streak, done, elapsed))
+        reason = (
+            "consecutive failures" if streak >= max_failures
+            else "time limit" if max_seconds is not None and elapsed >= max_seconds
+            else "file limit" if max_files is not None and done >= max_files
+            else "quota exceeded" if not ok and error else None
+        )
+        if reason and stop[0] is None:
+            stop = (seq, reason)
+    return seen, stop
+
+
+def test_segments_equal_a_row_by_row_run(spark):
+    """Streaks and stops over many segments, with gaps in the places, equal one pass over all rows."""
+    import random
+
+    rng = random.Random(5)
+    for trial in range(6):
+        places = sorted(rng.sample(range(400), 150))
+        rows = [(seq, rng.random() < 0.4, rng.randrange(64) / 64, None) for seq in places]
+        rows = [(s, ok, t, "HTTP 429" if not ok and trial == 5 and s > 200 else None) for s, ok, t, _ in rows]
+        log = spark.createDataFrame(rows, "seq long, success boolean, seconds double, error string").repartition(5)
+        limits = [(3, None, None), (50, 40, None), (50, None, 30.0), (9, 60, 70.0), (50, None, None), (50, None, None)][trial]
+        seen, stop = brute_stop(rows, *limits)
+        got = runs.failure_streaks(log, part_rows=7).orderBy("seq").collect()
+        assert [(r["seq"], r["streak"], r["successes"], r["elapsed"]) for r in got] == seen
+        named = dict(zip(("max_failures", "max_files", "max_seconds"), limits))
+        for part_rows in (1, 7, 1000):
+            assert tuple(runs.auto_stop_point(log, part_rows, **named).first()) == stop, (trial, part_rows)
+    assert tuple(runs.auto_stop_point(log.limit(0)).first()) == (None, None)
+
+
 def test_state_goes_on_from_batch_to_batch(spark):
     flags = [1, 0, 0, 0, 1, 1, 0, 0]
     whole = runs.run_state(log_of(spark, flags, "429"))
@@ -72,6 +110,28 @@ def test_retention_goldens(spark):
     assert verdicts([("old", 50, "2023-12-01"), *rows], 9, 0) == {"old": "evicted", "a": "kept", "b": "kept", "c": "kept"}
 
 
+def test_retention_equals_a_full_order(spark):
+    """Cuts inside cells, inside one moment that many rows share, and among rows never used."""
+    import random
+    from datetime import datetime, timedelta
+
+    rng = random.Random(3)
+    start = datetime(2024, 1, 1)
+    times = [None, *(start + timedelta(microseconds=rng.choice([0, 1, 5, 10**6, 86_400 * 10**6, 9 * 10**11])) for _ in range(60))]
+    rows = [(f"{rng.choice('aé文')}{i}", rng.choice([0, 1, 7, 100]), rng.choice(times)) for i in range(300)]
+    store = spark.createDataFrame(rows, "path string, size long, accessed_at timestamp")
+    order = sorted(rows, key=lambda r: (r[2] or datetime(1, 1, 1), r[0].encode()), reverse=True)
+    total = sum(r[1] for r in rows)
+    for max_bytes, cell_rows in [(0, 1), (1, 4), (total // 3, 1), (total // 2, 1000), (total - 1, 2), (total, 5)]:
+        expected, newer = {}, 0
+        for path, size, _ in order:
+            newer += size
+            expected[path] = "evicted" if newer > max_bytes else "kept"
+        out = manifest.retention(store, F.lit("2024-02-01").cast("timestamp"), max_bytes, 0, cell_rows=cell_rows)
+        assert {r["path"]: r["verdict"] for r in out.collect()} == expected, (max_bytes, cell_rows)
+    assert manifest.retention(store.limit(0), F.lit("2024-02-01").cast("timestamp"), 5).count() == 0
+
+
 def test_same_snapshot_has_no_changes(documents):
     files = derived.files_of(documents)
     assert manifest.snapshot_diff(files, files).count() == 0

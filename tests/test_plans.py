@@ -48,5 +48,22 @@ def test_top_n_is_not_a_full_sort(plans):
 
 def test_windows_are_split_into_parts(plans):
     """Running values work on parts of the order; only the table of parts is put in one place."""
-    for name in ("file_batches", "retention", "run_progress", "auto_stop_limits"):
+    for name in ("file_batches", "run_progress", "auto_stop_limits"):
         assert "_part" in plans[name], name
+
+
+def test_retention_orders_nothing(plans):
+    """The cut is selected by histograms; the verdict compares each row with it."""
+    for step in ("rangepartitioning", "Window", "Sort ["):
+        assert step not in plans["retention"], step
+
+
+def test_auto_stop_moves_rows_once(spark):
+    from corpusforge.operators import runs
+    from corpusforge.plans import derived
+
+    log = derived.run_log_of(spark.read.parquet(f"{SMALL}/documents.parquet")).select("seq", "success", "seconds", "error")
+    shown = plan(runs.stopping_segment(log, max_files=40, max_seconds=600))
+    assert shown.count("Exchange") - shown.count("ReusedExchange") <= 4 and "rangepartitioning" not in shown
+    tree = shown.split("\n\n")[0]
+    assert sum(line.strip(" +-:*").startswith("Exchange") for line in tree.splitlines()) == 2, tree
