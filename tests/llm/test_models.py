@@ -303,3 +303,32 @@ def test_grades_without_texts_are_not_learned(spark):
     assert grades([(98, 1), (99, 0)]) == ((), {None})
     learned, predicted = grades([(1, 1), (2, 3), (99, 2)])
     assert learned == (1.0, 3.0) and predicted <= {1.0, 3.0}
+
+
+@pytest.mark.parametrize("sizes, total, level", [([], 10, 0), ([3, 4], 10, 4), ([1, 100, 100], 21, 10), ([50] * 4, 100, 25), ([0, 0, 7], 7, 7)])
+def test_short_texts_leave_their_room_to_long_ones(sizes, total, level):
+    assert language.fill_level(sizes, total) == level
+    assert sum(min(s, level) for s in sizes) <= total
+
+
+def test_few_long_texts_fill_the_bound(spark):
+    """Five long texts give as many letters as many short ones; rows that share an id count once."""
+    long_text, short = "wörter aus silben " * 600, "mots courts "
+    rows = [(i, long_text, "de") for i in range(5)] + [(5, short * 3, "de")] * 3 + [(100 + i, short * 20, "fr") for i in range(150)]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 150, 20_000)
+    learned = dict(zip(model.languages, map(len, model.texts)))
+    assert 0.98 * 20_000 <= learned["de"] <= 20_200 and 0.98 * 20_000 <= learned["fr"] <= 20_200
+
+
+def test_stretches_change_no_prediction(spark, monkeypatch):
+    """Counts of phrases broken at stretches are within 1 % of an unbroken parse, and the same language wins."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = language.train(docs.filter("doc_id % 3 <> 1"))
+    texts = [(r["text"] or "").encode() for r in docs.select("text").collect()]
+    raw, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    broken, lengths = language.phrases(raw, offsets, model)
+    monkeypatch.setattr(language, "STRETCH", 1 << 22)
+    whole, _ = language.phrases(raw, offsets, model)
+    bits = model.machines()[2][:, None]
+    assert ((broken * bits).argmin(0) == (whole * bits).argmin(0)).all()
+    assert (np.abs(broken - whole) <= 1 + lengths // 1024).all() and abs(broken.sum() / whole.sum() - 1) < 0.01
