@@ -64,6 +64,5 @@ def test_auto_stop_moves_rows_once(spark):
 
     log = derived.run_log_of(spark.read.parquet(f"{SMALL}/documents.parquet")).select("seq", "success", "seconds", "error")
     shown = plan(runs.stopping_segment(log, max_files=40, max_seconds=600))
-    assert shown.count("Exchange") - shown.count("ReusedExchange") <= 4 and "rangepartitioning" not in shown
-    tree = shown.split("\n\n")[0]
-    assert sum(line.strip(" +-:*").startswith("Exchange") for line in tree.splitlines()) == 2, tree
+    assert sum(line.strip(" +-:").startswith("Exchange") for line in shown.splitlines()) == 2, shown
+    assert "rangepartitioning" not in shown
