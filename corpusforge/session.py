@@ -33,12 +33,13 @@ def build_session(app: str = "corpusforge", master: str | None = None, **conf: s
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: `spark.checkpoint.dir` of the session.
 
-    Only a local session may fall back to a temporary folder of this machine.
+    Only a session whose tasks run in this process may fall back to a temporary folder of this machine.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
-    if not spark.conf.get("spark.master", "local").startswith("local"):
+    master = spark.conf.get("spark.master", None) or spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     folder = tempfile.mkdtemp(prefix="corpusforge-")
     spark.conf.set("spark.checkpoint.dir", folder)

@@ -184,3 +184,20 @@ def test_rerun_replaces_files_and_keeps_others(spark, tmp_path):
     text = spark.read.text(str(tmp_path / "data/x/markdown/qa_pairs/stem=a"), wholetext=True).collect()
     assert sum(r["value"].count("# Q&A") for r in text) == 2
     assert spark.read.json(str(tmp_path / "data/x/jsonl/final_qa_pairs")).count() == 3
+
+
+@pytest.mark.parametrize("master, local", [("local", True), ("local[8]", True), ("local-cluster[2,1,1024]", False), ("yarn", False)])
+def test_only_one_process_may_use_a_folder_of_its_own(master, local):
+    from types import SimpleNamespace
+    from unittest.mock import MagicMock
+
+    from corpusforge.session import shared_dir
+
+    conf = {"spark.master": master}
+    session = MagicMock(conf=SimpleNamespace(get=conf.get, set=conf.__setitem__))
+    session.sparkContext.getCheckpointDir.return_value = None
+    if local:
+        assert shared_dir(session) == conf["spark.checkpoint.dir"]
+    else:
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            shared_dir(session)
