@@ -82,13 +82,10 @@ def op9_line_rules(spark: SparkSession, d: str) -> DataFrame:
 def op10_token_files(spark: SparkSession, d: str) -> DataFrame:
     docs = read_table(spark, d, "documents")
     folder = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    shards = wavelet.write_tokens(docs, folder, public_tokenizers.path("byte_bpe_50k.json"), 0).collect()
-    if not shards:
+    shards = materialize(wavelet.write_tokens(docs, folder, public_tokenizers.path("byte_bpe_50k.json"), 0), "token-shards")
+    if shards.isEmpty():
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
-    shards.sort(key=lambda s: (s["part"], s["shard"]))
-    before = wavelet.token_index([(s["file"], s["tokens"]) for s in shards])
-    places = spark.createDataFrame(list(before.items()), "file string, before long")
-    rows = wavelet.read_tokens(spark, folder).join(places, "file")
+    rows = wavelet.read_tokens(spark, folder).join(wavelet.token_places(shards), "file")
     return rows.select("doc_id", (F.col("before") + F.col("place")).alias("start"), "n_tokens", "ids_crc32")
 
 

@@ -11,7 +11,7 @@ from urllib.parse import urlparse
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
@@ -248,6 +248,19 @@ def read_tokens(spark, folder: str, with_ids: bool = False) -> DataFrame:
     return files.mapInArrow(read, schema)
 
 
+def token_places(shards: DataFrame) -> DataFrame:
+    """`token_index` for any number of shards: file and the ids `before` it, of the rows `write_tokens` returned.
+
+    Shards are summed inside their part, parts (as many as tasks wrote) among themselves. `shards` must be a
+    written table: reading it twice must not write the files twice.
+    """
+    earlier = (Window.unboundedPreceding, -1)
+    parts = shards.groupBy("part").agg(F.sum("tokens").alias("_all"))
+    parts = parts.select("part", F.coalesce(F.sum("_all").over(Window.orderBy("part").rowsBetween(*earlier)), F.lit(0)).alias("_parts"))
+    inside = F.coalesce(F.sum("tokens").over(Window.partitionBy("part").orderBy("shard").rowsBetween(*earlier)), F.lit(0))
+    return shards.select("part", "file", inside.alias("_inside")).join(parts, "part").select("file", (F.col("_parts") + F.col("_inside")).alias("before"))
+
+
 def token_index(shards: list[tuple[str, int]]) -> dict[str, int]:
     """Ids before each file, for files in order. One entry per shard of millions of ids."""
     before, out = 0, {}

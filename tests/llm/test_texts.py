@@ -123,3 +123,13 @@ def test_token_files_round_trip(spark, odd, tmp_path, shard):
 
 def test_token_files_of_nothing(nothing, tmp_path):
     assert wavelet.write_tokens(nothing, str(tmp_path / "t"), public_tokenizers.path("byte_bpe_50k.json"), 0).collect() == []
+
+
+def test_places_of_shards_equal_the_index(spark):
+    from corpusforge.llm import wavelet
+
+    rows = [(part, shard, f"{part}-{shard}", 1, 3 * part + shard + 1) for part in (0, 2, 11) for shard in range(part % 3 + 2)]
+    shards = spark.createDataFrame(rows, "part long, shard long, file string, docs long, tokens long").repartition(4)
+    got = {r["file"]: r["before"] for r in wavelet.token_places(shards).collect()}
+    assert got == wavelet.token_index([(r[2], r[4]) for r in rows])
+    assert wavelet.token_places(shards.limit(0)).collect() == []
