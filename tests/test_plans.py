@@ -66,3 +66,36 @@ def test_auto_stop_moves_rows_once(spark):
     shown = plan(runs.stopping_segment(log, max_files=40, max_seconds=600))
     assert sum(line.strip(" +-:").startswith("Exchange") for line in shown.splitlines()) == 2, shown
     assert "rangepartitioning" not in shown
+
+
+def parses(df):
+    """How often the optimised plan names the JSON parser."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count("parseJson")
+
+
+def test_answers_are_parsed_once(spark):
+    from corpusforge.operators import items
+    from corpusforge.plans import queries
+
+    listed = items.with_items(queries._answers(spark, SMALL))
+    once = str(items.with_items(spark.createDataFrame([], "generator string, raw string"))._jdf.queryExecution().analyzed()).count("parse_json")
+    assert once > 0 and parses(items.explode_items(listed)) == parses(items.rejects(listed)) == once
+    for name in ("items_merged", "items_override", "tagged_items", "item_stats", "csv_header", "items_per_document", "items_by_generator", "parse_completions"):
+        assert parses(queries.QUERIES[name](spark, SMALL)) == once, name
+
+
+def test_answers_quote_their_chunk_once(spark):
+    from corpusforge.plans import queries
+
+    shown = queries._answers(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert shown.count("StructsToJson") == 1
+
+
+def test_rendering_parses_before_it_numbers(spark, monkeypatch):
+    from corpusforge.plans import queries
+
+    given = []
+    number = queries.render.number_items
+    monkeypatch.setattr(queries.render, "number_items", lambda rows, *more: given.append(parses(rows)) or number(rows, *more))
+    queries.QUERIES["render_json"](spark, SMALL)
+    assert given == [0]

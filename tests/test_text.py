@@ -221,3 +221,24 @@ def test_hidden_elements_as_plain_patterns_find_them(one):
         hidden = re.sub(r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<template\b[^>]*>.*?</template\s*>", "﷐", page)
         shown = re.sub(r"(?s)</?[A-Za-z][^>]*>|<[!?][^>]*>", "﷐", hidden).replace("&amp;", "&")
         assert one(text.html_to_text(F.col("t")), t=page) == " ".join(p.strip() for p in shown.split("﷐") if p.strip()), page
+
+
+def test_code_fences_by_lines_equal_regular_expressions(spark):
+    import random
+
+    rng = random.Random(3)
+    parts = ["```", "`", "\n", "\n", "a", "json", "\r", "\r\n", "\x0b", "\x85", " ", " ", " ", "é", "😀", '{"a":1}', "42"]
+    rows = [("```" * (i % 2) + "".join(rng.choice(parts) for _ in range(rng.randrange(9))),) for i in range(4000)] + [(None,)]
+    df = spark.createDataFrame(rows, "t string")
+    body = F.regexp_replace(F.regexp_replace("t", text.LINE_BREAK, "\n"), r"\A```[^\n]*\n?", "")
+    body = F.regexp_replace(F.regexp_replace(body, r"\n?\z", ""), r"(?:\A|\n)```[^\n]*\z", "")
+    want = F.when(F.col("t").startswith("```"), body).otherwise(F.col("t"))
+    assert df.filter(~text.strip_code_fence(F.col("t")).eqNullSafe(want)).count() == 0
+
+
+def test_answers_are_stripped_of_any_white_space(spark):
+    from corpusforge.operators.items import parse_json
+
+    rows = [(" [1] ",), (" 42 ",), (' {"a": 1}\n',), (" ",), ("x",), (None,)]
+    df = spark.createDataFrame(rows, "raw string")
+    assert [r["j"] for r in df.select(F.to_json(parse_json(F.col("raw"))).alias("j")).collect()] == ["[1]", "42", '{"a":1}', None, None, None]
