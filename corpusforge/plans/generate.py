@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from typing import Callable
 
 from pyspark.sql import DataFrame
@@ -10,10 +11,12 @@ from pyspark.sql import functions as F
 from corpusforge.operators.chunking import drop_blank_docs, explode_chunks, fan_out
 from corpusforge.operators.items import GENERATORS, Generator, complete, explode_items, override_union, rejects, retry_requests, with_items
 from corpusforge.plans.corpus import prompts_of, templates_of
-from corpusforge.session import materialize
+from corpusforge.session import discard, materialize, shared_dir
 from corpusforge.settings import Settings
 
 KEYS = ("doc_id", "chunk_id", "generator")
+#: Bytes of prompts one task of a round asks, about.
+TASK_BYTES = 1 << 28
 
 
 def text_prompts(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -28,6 +31,33 @@ def media_prompts(media: DataFrame, templates: dict[str, str]) -> DataFrame:
     return fan_out(whole, templates).select(*KEYS, "media_path", F.col("template").alias("prompt"))
 
 
+def answered(prompts: DataFrame, call: Callable[..., str], attempt: int, concurrency: int = 8, **calling) -> DataFrame:
+    """The answers of one round, written down.
+
+    `concurrency` calls at a time means as many tasks at a time, so prompts of more than `TASK_BYTES` a task are
+    dealt into waves, each a table of its own that is asked when the one before it is done.
+    """
+    media = [calling["media"]] if calling.get("media") else []
+    asked = prompts.select(*KEYS, "prompt", *media)
+    size = asked.agg(F.sum(F.octet_length("prompt"))).first()[0] or 0
+    waves = max(1, -(-size // (concurrency * TASK_BYTES)))
+
+    def answers(some: DataFrame) -> DataFrame:
+        return complete(some, call, keys=KEYS, concurrency=concurrency, **calling).withColumn("attempt", F.lit(attempt))
+
+    if waves == 1:
+        return materialize(answers(asked), "answers")
+    wave = F.floor(F.spark_partition_id() / concurrency).cast("int")
+    dealt = materialize(asked.repartition(waves * concurrency, *KEYS).withColumn("_wave", wave), "prompts")
+    path = f"{shared_dir(prompts.sparkSession)}/answers-{uuid.uuid4().hex}"
+    for number in range(waves):
+        # Files of other waves are passed over by their statistics.
+        found = answers(dealt.filter(F.col("_wave") == number))
+        found.write.option("compression", "zstd").mode("append").parquet(path)
+    discard(dealt)
+    return prompts.sparkSession.read.schema(found.schema).parquet(path)
+
+
 def generate(prompts: DataFrame, call: Callable[..., str], rounds: int = 3, generators: dict[str, Generator] = GENERATORS,
              **calling) -> tuple[DataFrame, DataFrame]:
     """Items and rejects of all prompts.
@@ -39,7 +69,7 @@ def generate(prompts: DataFrame, call: Callable[..., str], rounds: int = 3, gene
     items, rejected = None, None
     asked = prompts
     for attempt in range(1, rounds + 1):
-        answers = materialize(complete(asked, call, keys=KEYS, **calling).withColumn("attempt", F.lit(attempt)), "answers")
+        answers = answered(asked, call, attempt, **calling)
         failed = F.col("raw").isNull() & F.col("error").isNotNull()
         listed = with_items(answers, generators=generators).withColumn("reason", F.when(failed, "call_failed").otherwise(F.col("reason")))
         again = retry_requests(listed, max_retries=rounds, keys=KEYS, generators=generators)

@@ -158,3 +158,29 @@ def test_costs_of_output_and_images(spark):
     prices = spark.createDataFrame([("p", "m", 1.0, 2.0, 0.5)], "provider string, model string, input_per_1k double, output_per_1k double, image_price double")
     assert sorted(r["cost"] for r in catalog.with_cost(calls, prices, output_tokens="out", images="images").collect()) == [2.0, 3.0]
     assert catalog.cost_report(calls, prices, ["provider"], output_tokens="out", images="images").first()["cost"] == 5.0
+
+
+def test_prompts_of_a_round_are_dealt_into_waves(spark, monkeypatch):
+    """A task asks a bounded part of the prompts, however many there are, and never more tasks than calls run at a time."""
+    def call(prompt):
+        from pyspark.taskcontext import TaskContext
+
+        task = TaskContext.get()
+        return json.dumps({"qa_pairs": [{"question": f"{task.stageId()}/{task.partitionId()}", "answer": prompt}]})
+
+    prompts = spark.range(400).select(F.col("id").alias("doc_id"), F.lit(0).alias("chunk_id"), F.lit("qa_pairs").alias("generator"), F.format_string("prompt %090d", "id").alias("prompt"))
+    monkeypatch.setattr(generate, "TASK_BYTES", 2000)
+    found, lost = generate.generate(prompts, call, rounds=1, concurrency=3)
+    rows = items.typed_items(found, "qa_pairs").collect()
+    assert sorted(r["answer"] for r in rows) == [f"prompt {i:090d}" for i in range(400)] and lost.count() == 0
+    tasks = {}
+    for r in rows:
+        tasks[r["question"]] = tasks.get(r["question"], 0) + len(r["answer"])
+    assert max(tasks.values()) <= 2 * 2000
+    assert {int(t.split("/")[1]) for t in tasks} <= {0, 1, 2}
+
+
+def test_no_prompts_give_no_answers(spark):
+    prompts = spark.createDataFrame([], "doc_id long, chunk_id int, generator string, prompt string")
+    found, lost = generate.generate(prompts, lambda prompt: "x", concurrency=2)
+    assert found.count() == 0 and lost.count() == 0
