@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import itemgetter
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -24,29 +24,31 @@ class PathState(StatefulProcessor):
         self.handle = handle
         self.seen = handle.getValueState("seen", "stamp long, listing long, at long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        listed = pd.concat(list(rows)).sort_values("listing")
-        out = []
-        for stamp, listing, at in zip(listed["stamp"], listed["listing"], listed["at"]):
-            known = self.seen.get() if self.seen.exists() else None
-            if known is not None:
-                self.handle.deleteTimer(int(known[2]) + 1)
-                if listing > known[1] + 1:
-                    # Missing in a listing between: gone, and now here again.
-                    out.append((key[0], "deleted", int(known[1]) + 1))
-                    known = None
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        # State is read and written once per path and batch: each access is a message to the JVM.
+        out, known = [], self.seen.get()
+        before = known
+        for stamp, listing, at in sorted(((r["stamp"], r["listing"], r["at"]) for r in rows), key=itemgetter(1)):
+            if known is not None and listing > known[1] + 1:
+                # Missing in a listing between: gone, and now here again.
+                out.append(Row(path=key[0], change="deleted", listing=known[1] + 1))
+                known = None
             if known is None:
-                out.append((key[0], "added", int(listing)))
+                out.append(Row(path=key[0], change="added", listing=listing))
             elif known[0] != stamp:
-                out.append((key[0], "modified", int(listing)))
-            self.seen.update((int(stamp), int(listing), int(at)))
-            self.handle.registerTimer(int(at) + 1)
-        yield pd.DataFrame(out, columns=["path", "change", "listing"])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+                out.append(Row(path=key[0], change="modified", listing=listing))
+            known = (stamp, listing, at)
+        if before is not None and before[2] != known[2]:
+            self.handle.deleteTimer(before[2] + 1)
+        self.seen.update(known)
+        if before is None or before[2] != known[2]:
+            self.handle.registerTimer(known[2] + 1)
+        return iter(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         known = self.seen.get()
         self.seen.clear()
-        yield pd.DataFrame([(key[0], "deleted", int(known[1]) + 1)], columns=["path", "change", "listing"])
+        yield Row(path=key[0], change="deleted", listing=known[1] + 1)
 
     def close(self) -> None:
         pass
@@ -63,7 +65,7 @@ def file_changes(listings: DataFrame, apart: str = "1 second") -> DataFrame:
     rows = listings.withWatermark("listed_at", apart).select(
         "path", F.unix_micros("mtime").alias("stamp"), F.col("listing").cast("long").alias("listing"), F.unix_millis("listed_at").alias("at"), "listed_at"
     )
-    return rows.groupBy("path").transformWithStateInPandas(PathState(), CHANGES, "Append", "eventTime")
+    return rows.groupBy("path").transformWithState(PathState(), CHANGES, "Append", "eventTime")
 
 
 def use_rocksdb(spark: SparkSession) -> None:

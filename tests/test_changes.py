@@ -36,3 +36,42 @@ def test_changes_equal_the_differences(spark, tmp_path, at_once):
     query.awaitTermination()
     got = [tuple(r) for r in spark.read.schema(changes.CHANGES).parquet(str(tmp_path / "out")).collect()]
     assert sorted(got) == sorted(want)
+
+
+def test_state_is_read_and_written_once_per_batch():
+    """Each access is a message to the JVM, so a path of many listings in one batch costs as many as a path of one."""
+    from pyspark.sql import Row
+
+    class Handle:
+        calls, timers, value = [], set(), None
+
+        def getValueState(self, name, schema):
+            return self
+
+        def get(self):
+            self.calls.append("get")
+            return self.value
+
+        def exists(self):
+            self.calls.append("exists")
+            return self.value is not None
+
+        def update(self, value):
+            self.calls.append("update")
+            self.value = value
+
+        def registerTimer(self, at):
+            self.calls.append("register")
+            self.timers.add(at)
+
+        def deleteTimer(self, at):
+            self.calls.append("delete")
+            self.timers.discard(at)
+
+    path, handle = changes.PathState(), Handle()
+    path.init(handle)
+    rows = [Row(stamp=s, listing=n, at=10 * n) for n, s in ((5, 8), (0, 7), (2, 8), (1, 7), (3, 8))]
+    out = [(r["change"], r["listing"]) for r in path.handleInputRows(("p",), iter(rows), None)]
+    assert out == [("added", 0), ("modified", 2), ("deleted", 4), ("added", 5)]
+    assert handle.calls == ["get", "update", "register"] and handle.timers == {51}
+    assert list(path.handleInputRows(("p",), iter([Row(stamp=8, listing=6, at=60)]), None)) == [] and handle.timers == {61}
