@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusforge.llm.arrays import Words, fold_table, give_back, ragged, slices, text_bytes
-from corpusforge.llm.components import connect
+from corpusforge.llm.components import _roots, connect
 from corpusforge.session import materialize
 
 BITS = 64
@@ -183,20 +183,6 @@ def signatures(prints: DataFrame, plan: list[tuple[list[int], int]]) -> DataFram
     return prints.select("fingerprint", kind.cast("int").alias("kind")).mapInArrow(run, "part int, value long, fingerprint long, probe boolean")
 
 
-def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Least member of each component of the links between a and b, over 0..n-1."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[a], root[b])
-        before = root.copy()
-        np.minimum.at(root, root[a], low)
-        np.minimum.at(root, root[b], low)
-        while (root[root] != root).any():
-            root = root[root]
-        if (before == root).all():
-            return root
-
-
 def _verified(keys: np.ndarray, prints: np.ndarray, probe: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows sorted by key: spanning links among verified pairs of equal key that are not both probes."""
     n, pairs = len(keys), []
@@ -233,8 +219,8 @@ def links(prints: DataFrame, distance: int = 4, block: int = BLOCK, kinds: int =
     With `kinds`, the table has that many kinds of fingerprints of each text, told by the column kind (from
     0), and only prints of one kind are linked.
 
-    Buckets are read in sorted runs; all their pairs are verified but only spanning links leave the
-    task, at most one per member. A bucket of more than `block` rows is dealt out in blocks, each
+    Buckets are read in sorted runs; all their pairs are verified but only links that span what a run has linked
+    leave the task, at most one per member, and none twice. A bucket of more than `block` rows is dealt out in blocks, each
     two of which meet in one task, so no task holds more than two blocks of a bucket at once.
     """
     n, both = bit_statistics(prints)
@@ -268,6 +254,11 @@ def links(prints: DataFrame, distance: int = 4, block: int = BLOCK, kinds: int =
             held[:] = table.slice(stop).to_batches()
             pairs = np.unique(np.stack([values[a], values[b]], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
             pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+            # A group meets again in every part: of all its buckets here one link per member stays, to its least print.
+            names, place = np.unique(pairs, return_inverse=True)
+            place = place.reshape(-1, 2)
+            away, root = _spanning(len(names), (place[:0, 0], place[:0, 1]), [(place[:, 0], place[:, 1])])
+            pairs = np.stack([names[away], names[root]], 1) if len(away) else pairs[:0]
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
 
         for batch in batches:
@@ -280,7 +271,7 @@ def links(prints: DataFrame, distance: int = 4, block: int = BLOCK, kinds: int =
         give_back()
 
     dealt = rows.repartition(*keys).sortWithinPartitions(*keys)
-    return dealt.mapInArrow(run, "u long, v long")
+    return dealt.mapInArrow(run, "u long, v long").distinct()
 
 
 def classes(prints: DataFrame, distance: int = 4) -> DataFrame:

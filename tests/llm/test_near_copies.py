@@ -96,3 +96,26 @@ def test_odd_rows_and_nothing(odd, nothing):
     ids = [r["doc_id"] for r in kept.collect()]
     # Copies 2, 2; 12 and 14 equal and 13 near them or not; 3, 4, 5 and a null id without words: the least of each stays.
     assert ids.count(2) == 1 and 12 in ids and 14 not in ids and 3 in ids and not {4, 5} & set(ids) and ids.count(None) == 1
+
+
+def test_links_of_a_large_group_do_not_multiply(spark):
+    """Texts of one group are found in many buckets and kinds: what is joined stays a few links per text."""
+    from pyspark.sql import functions as F
+
+    from corpusforge.llm import components, simhash
+
+    rng = random.Random(5)
+    base = [rng.getrandbits(64) for _ in range(3)]
+    rows = {(k, base[k] ^ sum({1 << rng.randrange(64) for _ in range(3)})) for k in range(3) for _ in range(400)}
+    signed = [(k, p - (1 << 64) if p >> 63 else p, i) for i, (k, p) in enumerate(sorted(rows))]
+    prints = spark.createDataFrame(signed, "kind int, fingerprint long, node long")
+    found = simhash.links(prints, 7, kinds=3)
+    links = [tuple(r) for r in found.collect()]
+    parts = found.rdd.getNumPartitions()
+    assert len(links) == len(set(links))
+    thin = components._thinned(found, len(links)).collect()
+    assert len(thin) == len(rows) - 3, (len(thin), len(links), parts)
+    roots = {r["node"]: r["root"] for r in components.connect(found).collect()}
+    least = {k: min(p for kind, p, _ in signed if kind == k) for k in range(3)}
+    assert all(roots[p] == least[k] for k, p, _ in signed)
+    assert components.connect(found.filter(F.lit(False))).count() == 0
